@@ -15,11 +15,12 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from checks import oracles  # noqa: E402
 from lendwell.functions import credit as fx  # noqa: E402
+from lendwell.functions.columns import rounded as exact  # noqa: E402
 from lendwell.operators import evaluation, quality  # noqa: E402
 from lendwell.plans import (  # noqa: E402
     dashboard, feature_queries as fq, features as feat, jobs, reports as rq, requests as req, scoring, training,
 )
-from lendwell.sources.adapter import LendingTables, VIEWS, lending_tables, view  # noqa: E402
+from lendwell.sources.adapter import LendingTables, lending_tables, stream, view  # noqa: E402
 from lendwell.session import scratch_path  # noqa: E402
 from lendwell.streaming import daily, scoring as stream_scoring  # noqa: E402
 
@@ -32,7 +33,7 @@ def rounded(df: DataFrame, digits: int | dict[str, int]) -> DataFrame:
     """Pin doubles to a number of digits, for one column set or for every double."""
     if isinstance(digits, int):
         digits = {name: digits for name, kind in df.dtypes if kind == "double"}
-    return df.withColumns({name: F.round(name, n) for name, n in digits.items()})
+    return df.withColumns({name: exact(c(name), n) for name, n in digits.items()})
 
 
 def wide_features(t: LendingTables) -> DataFrame:
@@ -59,7 +60,7 @@ def scored(t: LendingTables) -> DataFrame:
     rules = wide_features(t).select(
         F.lit("rule_scorecard").alias("model_name"),
         c("default_flag").cast("int").alias("label"),
-        F.round(rule_probability(), 6).alias("probability"),
+        exact(rule_probability(), 6).alias("probability"),
     )
     return stored.unionByName(rules)
 
@@ -84,7 +85,7 @@ def union(parts: list[DataFrame]) -> DataFrame:
 
 def loan_feature(name: str, column, digits: int | None = 6) -> Callable[[LendingTables], DataFrame]:
     def run(t: LendingTables) -> DataFrame:
-        value = column() if digits is None else F.round(column(), digits)
+        value = column() if digits is None else exact(column(), digits)
         return wide_features(t).select("loan_id", value.alias(name))
 
     return run
@@ -92,7 +93,7 @@ def loan_feature(name: str, column, digits: int | None = 6) -> Callable[[Lending
 
 def of(table: str, key: str, name: str, column, digits: int | None = 6) -> Callable[[LendingTables], DataFrame]:
     def run(t: LendingTables) -> DataFrame:
-        value = column() if digits is None else F.round(column(), digits)
+        value = column() if digits is None else exact(column(), digits)
         return getattr(t, table).select(key, value.alias(name))
 
     return run
@@ -147,7 +148,7 @@ TABLE_QUERIES: dict[str, Callable[[LendingTables], DataFrame]] = {
         {k: 6 for k in ("employment_stability_score", "delinquency_score", "avg_monthly_spending",
                         "transaction_volatility", "payment_consistency_score", "loan_to_income_ratio")}),
     "fq_customer_profile": lambda t: rounded(
-        fq.customer_profile(*t.staging), {"avg_transaction_amount": 6, "transaction_volatility": 6}),
+        fq.customer_profile(*t.staging), {"avg_transaction_amount": 8, "transaction_volatility": 8}),
     "fq_transaction_features": lambda t: rounded(
         fq.transaction_totals(t.transactions),
         {"avg_monthly_spending": 6, "spending_volatility": 6, "total_debits": 4, "total_credits": 4}),
@@ -175,9 +176,8 @@ TABLE_QUERIES: dict[str, Callable[[LendingTables], DataFrame]] = {
     "rq_purpose_risk": lambda t: rq.purpose_risk(t.loan_applications, t.risk_scores),
     "rq_segments": lambda t: rq.segments(t.customers, t.credit_history, t.risk_scores, AS_OF),
     "rq_calibration": lambda t: rq.calibration(t.risk_scores, t.loan_applications, AS_OF),
-    "rq_potential_loss": lambda t: rounded(
-        rq.potential_loss(t.customers, t.credit_history, t.loan_applications, t.risk_scores, AS_OF),
-        {"potential_loss": 4}),
+    "rq_potential_loss": lambda t: rq.potential_loss(
+        t.customers, t.credit_history, t.loan_applications, t.risk_scores, AS_OF),
     "rq_feature_distribution": lambda t: rq.feature_distribution(
         t.customers, t.credit_history, t.loan_applications),
     "rq_weekly_alerts": lambda t: rq.weekly_alerts(t.risk_scores, AS_OF),
@@ -318,24 +318,32 @@ def req_batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return req.batch_summary(req.with_status(request_frame(spark, sf_dir)))
 
 
-# Queries that fit models; one fit serves all queries of a session and folder.
-_FITTED: dict[tuple, training.Trained] = {}
+# Queries that fit models; rows and fits are kept for all queries of a session and folder.
+_ROWS: dict[tuple, training.Rows] = {}
+_FITTED: dict[tuple, training.PipelineModel] = {}
 
 
-def fitted(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = ("random_forest",)) -> training.Trained:
-    key = (spark.sparkContext.applicationId, sf_dir, names)
+def rows(spark: SparkSession, sf_dir: str) -> training.Rows:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ROWS:
+        _ROWS[key] = training.prepare(wide_features(lending_tables(spark, sf_dir)))
+    return _ROWS[key]
+
+
+def fitted(spark: SparkSession, sf_dir: str, name: str) -> training.PipelineModel:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _FITTED:
-        _FITTED[key] = training.train_models(wide_features(lending_tables(spark, sf_dir)), names)
+        _FITTED[key] = training.fit(rows(spark, sf_dir), name)
     return _FITTED[key]
 
 
-def ml_model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = ("logistic", "random_forest", "gradient_boosting")
-    return training.model_comparison(fitted(spark, sf_dir, every))
+def forest(spark: SparkSession, sf_dir: str) -> training.PipelineModel:
+    return fitted(spark, sf_dir, "random_forest")
 
 
-def forest(spark: SparkSession, sf_dir: str):
-    return fitted(spark, sf_dir).models["random_forest"]
+def ml_model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    models = {name: fitted(spark, sf_dir, name) for name in training.MODELS}
+    return training.model_comparison(training.test_scores(rows(spark, sf_dir), models))
 
 
 def ml_feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -356,16 +364,9 @@ def req_batch_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Streams over the order table, run until the input is used up.
-def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    source, columns = VIEWS[name]
-    schema = spark.read.parquet(f"{sf_dir}/{source}.parquet").schema
-    raw = spark.readStream.schema(schema).parquet(f"{sf_dir}/{source}.parquet")
-    return raw.selectExpr(*[f"{sql.format(ntz='TIMESTAMP_NTZ')} AS {column}" for column, sql in columns.items()])
-
-
 def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "daily-counts")
-    daily.write_daily(stream_of(spark, sf_dir, "risk_scores"), out, f"{out}-progress").awaitTermination()
+    daily.write_daily(stream(spark, sf_dir, "risk_scores"), out, f"{out}-progress").awaitTermination()
     return spark.read.parquet(out)
 
 
@@ -373,7 +374,7 @@ def stream_request_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lending_tables(spark, sf_dir)
     out = scratch_path(spark, "request-scores")
     stream_scoring.score_stream(
-        stream_of(spark, sf_dir, "requests"), forest(spark, sf_dir),
+        stream(spark, sf_dir, "requests"), forest(spark, sf_dir),
         t.customers, t.credit_history, t.transactions, out, f"{out}-progress",
     ).awaitTermination()
     return spark.read.parquet(out).drop("batch")

@@ -95,8 +95,8 @@ def report(source: str) -> str:
                      count(*) FILTER (label = 1 AND probability <= 0.5) AS fn,
                      count(*) FILTER (label = 0 AND probability <= 0.5) AS tn
               FROM {source} GROUP BY model_name)
-        JOIN (SELECT model_name, sum((tps - pos / 2) * neg) / (max(p) * max(n)) AS auc_roc,
-                     sum(pos * tps / (tps + fps)) / max(p) AS average_precision
+        JOIN (SELECT model_name, sum((tps - pos / 2) * neg) / nullif(max(p) * max(n), 0) AS auc_roc,
+                     sum(pos * tps / (tps + fps)) / nullif(max(p), 0) AS average_precision
               FROM ({curve(source)}) GROUP BY model_name) USING (model_name)"""
 
 
@@ -449,8 +449,8 @@ BODIES: dict[str, str] = {
         SELECT c.customer_id, c.age, c.annual_income, c.years_employed, c.employment_status, c.home_ownership,
                h.credit_score, h.credit_utilization_ratio, h.num_delinquent_accounts, h.total_debt, h.bankruptcy_flag,
                count(DISTINCT t.transaction_id) AS total_transactions,
-               round(avg(t.transaction_amount), 6) AS avg_transaction_amount,
-               round(stddev_samp(t.transaction_amount), 6) AS transaction_volatility,
+               round(avg(t.transaction_amount), 8) AS avg_transaction_amount,
+               round(stddev_samp(t.transaction_amount), 8) AS transaction_volatility,
                count(DISTINCT l.loan_id) AS total_loans,
                CAST(sum(CASE WHEN l.default_flag THEN 1 ELSE 0 END) AS BIGINT) AS defaulted_loans
         FROM customers c LEFT JOIN credit_history h ON c.customer_id = h.customer_id
@@ -584,7 +584,7 @@ BODIES: dict[str, str] = {
         WHERE s.prediction_date >= {AS_OF} - INTERVAL 6 MONTH GROUP BY 1""",
     "rq_potential_loss": f"""
         SELECT c.customer_id, c.annual_income, h.credit_score, l.loan_amount, s.risk_score, s.risk_category,
-               round(l.loan_amount * s.default_probability, 4) AS potential_loss, l.loan_id, s.prediction_id
+               l.loan_amount * s.default_probability AS potential_loss, l.loan_id, s.prediction_id
         FROM customers c JOIN credit_history h ON c.customer_id = h.customer_id
         JOIN loan_applications l ON c.customer_id = l.customer_id
         JOIN risk_scores s ON c.customer_id = s.customer_id
@@ -802,5 +802,22 @@ BODIES: dict[str, str] = {
 }
 
 
+def exact_rounding(sql: str) -> str:
+    """Round as decimals: ``round(x, n)`` becomes a rounding of x cast to a decimal."""
+    out, start = "", 0
+    while (at := sql.find("round(", start)) >= 0:
+        depth, comma, end = 1, -1, at + 6
+        while depth:
+            char = sql[end]
+            depth += (char == "(") - (char == ")")
+            if char == "," and depth == 1:
+                comma = end
+            end += 1
+        value, digits = exact_rounding(sql[at + 6:comma]), sql[comma + 1:end - 1].strip()
+        out += sql[start:at] + f"CAST(round(CAST({value} AS DECIMAL(38,10)), {digits}) AS DOUBLE)"
+        start = end
+    return out + sql[start:]
+
+
 def oracle_sql() -> dict[str, str]:
-    return {name: with_tables(body) for name, body in BODIES.items()}
+    return {name: exact_rounding(with_tables(body)) for name, body in BODIES.items()}

@@ -28,6 +28,15 @@ def flag(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False)).cast("int")
 
 
+def rounded(column: Column, digits: int) -> Column:
+    """Round halves away from zero as decimal arithmetic would.
+
+    Sums of doubles depend on the order of the rows in their last digits; these are
+    taken off first, so that a half is always seen as a half.
+    """
+    return F.round(F.round(column.cast("double"), 10), digits)
+
+
 def below_bands(column: Column, edges: Sequence[float], labels: Sequence[str]) -> Column:
     """Left-closed bands: first edge above the value names it, null takes the last label."""
     bands = F.when(column < edges[0], labels[0])

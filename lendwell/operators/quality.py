@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType
 
-from lendwell.functions.columns import ratio
+from lendwell.functions.columns import ratio, rounded
 from lendwell.schemas import DOMAINS, LOAN_TERMS
 from lendwell.session import day
 
@@ -417,7 +417,7 @@ def impute(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) ->
 
     Value counts are aggregated per column first; only one row of fill values is read.
     """
-    means = df.agg(F.struct(*[F.round(F.avg(c), 2).alias(c) for c in numeric]).alias("m")).scalar()
+    means = df.agg(F.struct(*[rounded(F.avg(c), 2).alias(c) for c in numeric]).alias("m")).scalar()
     values = df.select(
         F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in categorical]))
     ).filter(F.col("value").isNotNull())

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendwell.functions import credit as fx
-from lendwell.functions.columns import ratio
+from lendwell.functions.columns import ratio, rounded
 
 # Histogram layout over the 0-100 score.
 BINS = 30
@@ -19,7 +19,7 @@ def category_share(scores: DataFrame) -> DataFrame:
     # One row per category by now.
     everything = Window.partitionBy(F.lit(0))
     share = ratio(F.col("assessments"), F.sum("assessments").over(everything)) * 100
-    return counts.withColumn("share", F.round(share, 1))
+    return counts.withColumn("share", rounded(share, 1))
 
 
 def score_histogram(scores: DataFrame, bins: int = BINS) -> DataFrame:
@@ -34,7 +34,7 @@ def score_histogram(scores: DataFrame, bins: int = BINS) -> DataFrame:
 
 def recent_predictions(scores: DataFrame, limit: int = 100) -> DataFrame:
     """Newest scores with the probability as text; halves round to even."""
-    percent = F.bround(F.col("default_probability") * 100, 2)
+    percent = F.bround(F.round(F.col("default_probability") * 100, 10), 2)
     return (
         scores.orderBy(F.col("prediction_date").desc_nulls_last(), F.col("prediction_id").desc())
         .limit(limit)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lendwell.functions import credit as fx
-from lendwell.functions.columns import below_bands, ratio
+from lendwell.functions.columns import below_bands, ratio, rounded
 from lendwell.operators.picks import top_per_key
 from lendwell.operators.skew import spread_join
 from lendwell.session import days_before, months_before
@@ -225,7 +225,7 @@ def default_by_purpose(loans: DataFrame) -> DataFrame:
         .agg(
             total.alias("total_loans"),
             defaults.alias("defaulted_loans"),
-            F.round(ratio(defaults, total) * 100, 2).alias("default_rate"),
+            rounded(ratio(defaults, total) * 100, 2).alias("default_rate"),
             F.avg("loan_amount").alias("avg_loan_amount"),
             F.avg("interest_rate").alias("avg_interest_rate"),
         )

@@ -7,8 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendwell.operators import quality
-from lendwell.operators.evaluation import report
+from lendwell.operators import evaluation, quality
 from lendwell.plans import scoring, training
 from lendwell.plans.features import risk_features
 from lendwell.schemas import FEATURE_IMPORTANCE, MODEL_METRICS
@@ -30,9 +29,10 @@ def build_features(spark: SparkSession, staging: str, out: str) -> int:
 
 def train(spark: SparkSession, features_path: str, model_root: str) -> dict:
     """Fit all models, save the serving one with importances and metrics."""
-    trained = training.train_models(tables.read_features(spark, features_path))
-    metrics = training.model_comparison(trained)
-    serving = trained.models[SERVING_MODEL]
+    rows = training.prepare(tables.read_features(spark, features_path))
+    fitted = {name: training.fit(rows, name) for name in training.MODELS}
+    metrics = training.model_comparison(training.test_scores(rows, fitted))
+    serving = fitted[SERVING_MODEL]
     models.save_model(serving, f"{model_root}/model")
     tables.write_json(training.feature_importance(serving), f"{model_root}/feature_importance")
     kept = metrics.filter(F.col("model_name") == SERVING_MODEL).drop("model_name")
@@ -70,9 +70,18 @@ def score(
     return tables.read_predictions(spark, predictions_path, at.date()).count() - before
 
 
-def full_evaluation(trained: training.Trained) -> DataFrame:
-    """Metrics, counts and areas of every trained model on the test rows."""
-    return report(training.test_scores(trained))
+def full_evaluation(scores: DataFrame, importance: DataFrame | None = None, top: int = 20) -> dict[str, DataFrame]:
+    """Every evaluation table of the given test scores, and the top importances."""
+    tables_of = {
+        "report": evaluation.report(scores),
+        "confusion_matrix": evaluation.confusion_matrix(scores),
+        "roc_curve": evaluation.roc_curve(scores),
+        "pr_curve": evaluation.pr_curve(scores),
+    }
+    if importance is not None:
+        ranked = importance.orderBy(F.col("importance").desc(), "feature")
+        tables_of["feature_importance"] = ranked.limit(top)
+    return tables_of
 
 
 def run_summary(

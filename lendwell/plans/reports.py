@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lendwell.functions.columns import below_bands, ratio
+from lendwell.functions.columns import below_bands, ratio, rounded
 from lendwell.operators.ordered import in_runs, neighbour, numbered
 from lendwell.operators.picks import top_per_key
 from lendwell.session import day, days_before, months_before
@@ -38,7 +38,7 @@ def high() -> Column:
 
 
 def percent(part: Column, whole: Column, digits: int = 2) -> Column:
-    return F.round(ratio(part, whole) * 100, digits)
+    return rounded(ratio(part, whole) * 100, digits)
 
 
 def weighted(total: str, weight: str) -> Column:
@@ -70,8 +70,8 @@ def daily_summary(scores: DataFrame, as_of: dt.date | None = None) -> DataFrame:
             F.count_if(category == "Low").alias("low_risk_count"),
             F.count_if(category == "Medium").alias("medium_risk_count"),
             high().alias("high_risk_count"),
-            F.round(F.avg("risk_score"), 2).alias("avg_risk_score"),
-            F.round(F.avg("default_probability"), 4).alias("avg_default_probability"),
+            rounded(F.avg("risk_score"), 2).alias("avg_risk_score"),
+            rounded(F.avg("default_probability"), 4).alias("avg_default_probability"),
         )
         .orderBy(F.col("report_date").desc())
     )
@@ -86,7 +86,7 @@ def model_metrics(metadata: DataFrame, limit: int = 5) -> DataFrame:
         .limit(limit)
         .select(
             "model_name", "model_version", "algorithm",
-            *[F.round(m, 4).alias(renamed.get(m, m)) for m in metrics],
+            *[rounded(F.col(m), 4).alias(renamed.get(m, m)) for m in metrics],
             "training_date",
         )
     )
@@ -101,7 +101,7 @@ def risk_by_demographics(
         .groupBy(below_bands(F.col("age"), *AGE_BANDS).alias("age_group"), "employment_status")
         .agg(
             F.sum("score_rows").alias("customer_count"),
-            F.round(ratio(F.sum("score_sum"), F.sum("scored")), 2).alias("avg_risk_score"),
+            rounded(ratio(F.sum("score_sum"), F.sum("scored")), 2).alias("avg_risk_score"),
             F.sum("high_rows").alias("high_risk_count"),
         )
         .orderBy("age_group", F.col("employment_status").asc_nulls_last())
@@ -116,8 +116,8 @@ def loans_by_amount(loans: DataFrame) -> DataFrame:
             rows().alias("total_loans"),
             defaults.alias("defaults"),
             percent(defaults, rows()).alias("default_rate"),
-            F.round(F.avg("interest_rate") * 100, 2).alias("avg_interest_rate"),
-            F.round(F.avg("debt_to_income_ratio"), 2).alias("avg_dti"),
+            rounded(F.avg("interest_rate") * 100, 2).alias("avg_interest_rate"),
+            rounded(F.avg("debt_to_income_ratio"), 2).alias("avg_dti"),
         )
         .orderBy("loan_range")
     )
@@ -172,7 +172,7 @@ def risk_factors(
         return F.struct(
             F.lit(label).alias("risk_factor"),
             F.coalesce(weighted("score_rows", column), zero).alias("customer_count"),
-            F.round(ratio(total, weighted("scored", column)), 2).alias("avg_risk_score"),
+            rounded(ratio(total, weighted("scored", column)), 2).alias("avg_risk_score"),
         )
 
     factors = joined.agg(F.array(*[factor(k, v) for k, v in labels.items()]).alias("factors"))
@@ -187,7 +187,7 @@ def monthly_trend(scores: DataFrame, as_of: dt.date | None = None) -> DataFrame:
         .groupBy(F.date_trunc("month", "prediction_date").cast("timestamp_ntz").alias("month"))
         .agg(
             rows().alias("total_predictions"),
-            F.round(F.avg("risk_score"), 2).alias("avg_risk_score"),
+            rounded(F.avg("risk_score"), 2).alias("avg_risk_score"),
             high().alias("high_risk_count"),
             percent(high(), rows()).alias("high_risk_percentage"),
         )
@@ -215,10 +215,10 @@ def purpose_risk(loans: DataFrame, scores: DataFrame) -> DataFrame:
             weighted("loans", "copies").alias("total_applications"),
             weighted("defaults", "copies").alias("defaults"),
             percent(weighted("defaults", "copies"), weighted("loans", "copies")).alias("default_rate"),
-            F.round(ratio(weighted("score_sum", "loans"), weighted("scored", "loans")), 2).alias(
+            rounded(ratio(weighted("score_sum", "loans"), weighted("scored", "loans")), 2).alias(
                 "avg_predicted_risk"
             ),
-            F.round(ratio(weighted("amount_sum", "copies"), weighted("amounts", "copies")), 2).alias(
+            rounded(ratio(weighted("amount_sum", "copies"), weighted("amounts", "copies")), 2).alias(
                 "avg_loan_amount"
             ),
             percent(weighted("rate_sum", "copies"), weighted("rates", "copies")).alias("avg_interest_rate"),
@@ -242,7 +242,7 @@ def segments(
         .groupBy("income_segment", "credit_segment")
         .agg(
             rows().alias("customer_count"),
-            F.round(ratio(weighted("score_sum", "records"), weighted("scored", "records")), 2).alias(
+            rounded(ratio(weighted("score_sum", "records"), weighted("scored", "records")), 2).alias(
                 "avg_risk_score"
             ),
             weighted("high_rows", "records").alias("high_risk_count"),
@@ -336,8 +336,8 @@ def feature_distribution(customers: DataFrame, credit: DataFrame, loans: DataFra
     def spread(df: DataFrame, label: str, column: str) -> DataFrame:
         return df.agg(
             F.lit(label).alias("feature"),
-            F.round(F.avg(column), 2).alias("mean_value"),
-            F.round(F.stddev_samp(column), 2).alias("std_dev"),
+            rounded(F.avg(column), 2).alias("mean_value"),
+            rounded(F.stddev_samp(column), 2).alias("std_dev"),
             F.min(column).cast("double").alias("min_value"),
             F.max(column).cast("double").alias("max_value"),
         )
@@ -418,15 +418,15 @@ def profitability(scores: DataFrame, loans: DataFrame, as_of: dt.date | None = N
         .groupBy("risk_category")
         .agg(
             weighted("loans", "score_rows").alias("loan_count"),
-            F.round(ratio(weighted("amount_sum", "score_rows"), weighted("amounts", "score_rows")), 2).alias(
+            rounded(ratio(weighted("amount_sum", "score_rows"), weighted("amounts", "score_rows")), 2).alias(
                 "avg_loan_amount"
             ),
             percent(weighted("rate_sum", "score_rows"), weighted("rates", "score_rows")).alias(
                 "avg_interest_rate"
             ),
-            F.round(revenue, 2).alias("total_interest_revenue"),
-            F.round(lost, 2).alias("total_loss_from_defaults"),
-            F.round(revenue - lost, 2).alias("net_profit"),
+            rounded(revenue, 2).alias("total_interest_revenue"),
+            rounded(lost, 2).alias("total_loss_from_defaults"),
+            rounded(revenue - lost, 2).alias("net_profit"),
         )
         .orderBy(c("risk_category").asc_nulls_last())
     )

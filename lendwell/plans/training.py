@@ -18,7 +18,7 @@ from lendwell.functions.columns import ratio
 from lendwell.operators.evaluation import MODEL, report
 from lendwell.operators.split import stratified_split
 from lendwell.schemas import CATEGORICAL_FEATURES, FEATURE_IMPORTANCE, NUMERIC_FEATURES
-from lendwell.session import scratch_path, shared_folder
+from lendwell.session import scratch_path
 
 ENCODED = [f"{c}_encoded" for c in CATEGORICAL_FEATURES]
 FEATURES = NUMERIC_FEATURES + ENCODED
@@ -30,6 +30,8 @@ FOREST_DEPTH = 10
 BOOST_DEPTH = 5
 BOOST_STEP = 0.1
 MAX_ITERATIONS = 1000
+TREE_MEMORY = 1024
+MODELS = ("logistic", "random_forest", "gradient_boosting")
 ALERT_DROP = 0.05
 AUC_FLOOR = 0.75
 
@@ -82,17 +84,22 @@ def assembly(scaled: bool = False) -> list:
     return stages
 
 
-def classifiers(rows: int) -> dict:
-    """The three models; the logistic penalty 1/rows weighs the loss like C = 1."""
-    return {
-        "logistic": LogisticRegression(
+def classifier(name: str, rows: int):
+    """One of the three models; the logistic penalty 1/rows weighs the loss like C = 1.
+
+    Trees get room to split many nodes per pass over the data.
+    """
+    if name == "logistic":
+        return LogisticRegression(
             maxIter=MAX_ITERATIONS, regParam=1.0 / max(rows, 1), standardization=False, tol=1e-4
-        ),
-        "random_forest": RandomForestClassifier(numTrees=TREES, maxDepth=FOREST_DEPTH, seed=SEED),
-        "gradient_boosting": GBTClassifier(
-            maxIter=TREES, stepSize=BOOST_STEP, maxDepth=BOOST_DEPTH, seed=SEED
-        ),
-    }
+        )
+    if name == "random_forest":
+        return RandomForestClassifier(
+            numTrees=TREES, maxDepth=FOREST_DEPTH, seed=SEED, maxMemoryInMB=TREE_MEMORY, cacheNodeIds=True
+        )
+    return GBTClassifier(
+        maxIter=TREES, stepSize=BOOST_STEP, maxDepth=BOOST_DEPTH, seed=SEED, maxMemoryInMB=TREE_MEMORY
+    )
 
 
 def with_class_weights(train: DataFrame) -> DataFrame:
@@ -106,43 +113,47 @@ def with_class_weights(train: DataFrame) -> DataFrame:
 
 
 @dataclass(frozen=True)
-class Trained:
-    """Fitted models by name with the rows they were fitted and tested on."""
+class Rows:
+    """Assembled train rows, their number and preparation, and the raw test rows."""
 
-    models: dict[str, PipelineModel]
     train: DataFrame
+    train_size: int
     test: DataFrame
+    preparation: PipelineModel
 
 
-def train_models(
-    features: DataFrame,
-    names: tuple[str, ...] = ("logistic", "random_forest", "gradient_boosting"),
-    balanced: bool = False,
-    scaled: bool = False,
-) -> Trained:
-    """Fit the named models on the train split.
+def prepare(features: DataFrame, balanced: bool = False, scaled: bool = False) -> Rows:
+    """Split, encode and assemble the rows that models are fitted on.
 
-    The prepared rows are written once to the shared folder: training passes over
-    them many times, and a lost executor then re-reads instead of re-joining.
+    Both steps are written to the shared folder: training passes over the rows many
+    times, and a lost executor then re-reads instead of joining again.
     """
     spark = features.sparkSession
-    shared_folder(spark)
-    path = scratch_path(spark, "training-rows")
-    training_rows(features).write.partitionBy("split").parquet(path)
-    rows = spark.read.parquet(path)
-    train = rows.filter(F.col("split") == "train")
+    split = scratch_path(spark, "split-rows")
+    training_rows(features).write.partitionBy("split").parquet(split)
+    rows = spark.read.parquet(split)
+    train = rows.filter(F.col("split") == "train").drop("split")
     if balanced:
         train = with_class_weights(train)
-    size = train.count()
-    prepare = Pipeline(stages=assembly(scaled)).fit(train)
-    ready = prepare.transform(train)
-    models = {}
-    for name, classifier in classifiers(size).items():
-        if name in names:
-            if balanced:
-                classifier = classifier.setWeightCol("weight")
-            models[name] = PipelineModel(stages=[*prepare.stages, classifier.fit(ready)])
-    return Trained(models, train, rows.filter(F.col("split") == "test"))
+    preparation = Pipeline(stages=assembly(scaled)).fit(train)
+    assembled = scratch_path(spark, "train-rows")
+    kept = ["label", "features", *(["weight"] if balanced else [])]
+    ready = preparation.transform(train).select(kept)
+    # Fitting is bound by processors, not bytes: few small files would idle most of them.
+    cores = spark.sparkContext.defaultParallelism
+    if ready.rdd.getNumPartitions() < cores:
+        ready = ready.repartition(cores)
+    ready.write.parquet(assembled)
+    ready = spark.read.parquet(assembled)
+    return Rows(ready, ready.count(), rows.filter(F.col("split") == "test").drop("split"), preparation)
+
+
+def fit(rows: Rows, name: str) -> PipelineModel:
+    """Fit one model; the result holds the encoding and the feature order with it."""
+    chosen = classifier(name, rows.train_size)
+    if "weight" in rows.train.columns:
+        chosen = chosen.setWeightCol("weight")
+    return PipelineModel(stages=[*rows.preparation.stages, chosen.fit(rows.train)])
 
 
 def default_probability() -> Column:
@@ -156,21 +167,19 @@ def with_probability(model: PipelineModel, rows: DataFrame, name: str = "default
     return scored.drop(*working).withColumnRenamed("_p", name)
 
 
-def test_scores(trained: Trained) -> DataFrame:
+def test_scores(rows: Rows, models: dict[str, PipelineModel]) -> DataFrame:
     """Label and probability of every test row under every model."""
     parts = [
-        with_probability(model, trained.test, "probability").select(
+        with_probability(model, rows.test, "probability").select(
             F.lit(name).alias(MODEL), "label", "probability"
         )
-        for name, model in trained.models.items()
+        for name, model in models.items()
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
-def model_comparison(trained: Trained) -> DataFrame:
-    return report(test_scores(trained)).select(
-        MODEL, "accuracy", "precision", "recall", "f1_score", "auc_roc"
-    )
+def model_comparison(scores: DataFrame) -> DataFrame:
+    return report(scores).select(MODEL, "accuracy", "precision", "recall", "f1_score", "auc_roc")
 
 
 def feature_importance(model: PipelineModel) -> DataFrame | None:

@@ -7,10 +7,10 @@ that Spark and DuckDB read alike; ``{ntz}`` stands for the zoneless timestamp ty
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
-
-from lendwell import schemas
+from pyspark.sql.types import StructType
 
 VIEWS: dict[str, tuple[str, dict[str, str]]] = {
     "customers": ("customer", {
@@ -124,12 +124,30 @@ class LendingTables:
         return self.customers, self.credit_history, self.transactions, self.loan_applications
 
 
-def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    source, columns = VIEWS[name]
-    raw = spark.read.parquet(f"{folder}/{source}.parquet")
+@lru_cache
+def stored_schema(path: str) -> StructType:
+    """Schema of a source table; its footers are read once per process."""
+    return SparkSession.active().read.parquet(path).schema
+
+
+def projected(raw: DataFrame, name: str) -> DataFrame:
+    columns = VIEWS[name][1]
     return raw.selectExpr(*[f"{sql.format(ntz='TIMESTAMP_NTZ')} AS {column}" for column, sql in columns.items()])
 
 
+def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    path = f"{folder}/{VIEWS[name][0]}.parquet"
+    return projected(spark.read.schema(stored_schema(path)).parquet(path), name)
+
+
+def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The same table as a stream of its files."""
+    source = VIEWS[name][0]
+    # A pattern, so that the table may be one file or a folder of files.
+    reader = spark.readStream.schema(stored_schema(f"{folder}/{source}.parquet"))
+    return projected(reader.parquet(f"{folder}/{source}[.]parquet"), name)
+
+
 def lending_tables(spark: SparkSession, folder: str) -> LendingTables:
     return LendingTables(**{name: view(spark, folder, name) for name in LendingTables.__annotations__})
 
@@ -140,5 +158,3 @@ def duckdb_view(name: str) -> str:
     body = ", ".join(f"{sql.format(ntz='TIMESTAMP')} AS {column}" for column, sql in columns.items())
     return f"SELECT {body} FROM {source}"
 
-
-SCHEMAS = {**schemas.STAGING, "risk_scores": schemas.RISK_SCORES, "requests": schemas.REQUESTS}

@@ -6,6 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lendwell.functions.columns import rounded
+
+
+def utc_instant(column: str):
+    """A zoneless timestamp as the instant of the same clock time in UTC.
+
+    Watermarks need instants, and windows of a day start at midnight UTC.
+    """
+    micros = f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST({column} AS TIMESTAMP_NTZ))"
+    return F.expr(f"timestamp_micros({micros})")
+
 
 def daily_counts(scores: DataFrame, lateness: str = "1 day") -> DataFrame:
     """Per day: assessments by category and mean score and probability.
@@ -15,8 +26,9 @@ def daily_counts(scores: DataFrame, lateness: str = "1 day") -> DataFrame:
     """
     category = F.col("risk_category")
     return (
-        scores.withWatermark("prediction_date", lateness)
-        .groupBy(F.window("prediction_date", "1 day").alias("day"))
+        scores.withColumn("scored_at", utc_instant("prediction_date"))
+        .withWatermark("scored_at", lateness)
+        .groupBy(F.window("scored_at", "1 day").alias("day"))
         .agg(
             F.count(F.lit(1)).alias("total_assessments"),
             F.count_if(category == "Low").alias("low_risk_count"),
@@ -26,10 +38,10 @@ def daily_counts(scores: DataFrame, lateness: str = "1 day") -> DataFrame:
             F.avg("default_probability").alias("avg_default_probability"),
         )
         .select(
-            F.to_date("day.start").alias("report_date"),
+            F.date_from_unix_date((F.unix_seconds("day.start") / 86400).cast("int")).alias("report_date"),
             "total_assessments", "low_risk_count", "medium_risk_count", "high_risk_count",
-            F.round("avg_risk_score", 2).alias("avg_risk_score"),
-            F.round("avg_default_probability", 4).alias("avg_default_probability"),
+            rounded(F.col("avg_risk_score"), 2).alias("avg_risk_score"),
+            rounded(F.col("avg_default_probability"), 4).alias("avg_default_probability"),
         )
     )
 
