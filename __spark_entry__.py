@@ -255,7 +255,7 @@ def dq_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dq_value_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return union([
-        quality.range_rules(view(spark, sf_dir, name), name, quality.RANGES[rules])
+        quality.count_rules(view(spark, sf_dir, name), name, quality.range_rules(quality.RANGES[rules]))
         for name, rules in (("dirty_customers", "customers"), ("credit_history", "credit_history"))
     ])
 
@@ -294,8 +294,8 @@ def dq_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def request_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lending_tables(spark, sf_dir)
-    requests = view(spark, sf_dir, "requests")
-    return req.request_features(requests, t.customers, t.credit_history, t.transactions)
+    people = req.customer_table(t.customers, t.credit_history, t.transactions)
+    return req.request_features(view(spark, sf_dir, "requests"), people)
 
 
 def req_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -372,10 +372,12 @@ def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_request_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lending_tables(spark, sf_dir)
+    people = scratch_path(spark, "customers")
+    req.customer_table(t.customers, t.credit_history, t.transactions).write.parquet(people)
     out = scratch_path(spark, "request-scores")
     stream_scoring.score_stream(
-        stream(spark, sf_dir, "requests"), forest(spark, sf_dir),
-        t.customers, t.credit_history, t.transactions, out, f"{out}-progress",
+        stream(spark, sf_dir, "requests"), forest(spark, sf_dir), spark.read.parquet(people),
+        out, f"{out}-progress",
     ).awaitTermination()
     return spark.read.parquet(out).drop("batch")
 

@@ -16,7 +16,7 @@ PRELUDE = {
     "spending": """
         SELECT customer_id, avg(transaction_amount) AS avg_monthly_spending,
                stddev_samp(transaction_amount) AS spending_volatility,
-               sum(transaction_amount) AS total_spending, count(transaction_id) AS transaction_count
+               coalesce(sum(transaction_amount), 0) AS total_spending, count(transaction_id) AS transaction_count
         FROM transactions WHERE customer_id IS NOT NULL GROUP BY customer_id""",
     "features": """
         SELECT l.*, c.age, c.gender, c.marital_status, c.education_level, c.employment_status,
@@ -110,8 +110,9 @@ PRELUDE["metadata"] = f"""
           FROM by_version GROUP BY model_name) USING (model_name)"""
 
 
-def with_tables(body: str) -> str:
-    tables = ", ".join(f"{name} AS ({sql})" for name, sql in PRELUDE.items())
+def with_tables(body: str, given: tuple[str, ...] = ()) -> str:
+    """Put the table definitions before a statement, but for those that exist already."""
+    tables = ", ".join(f"{name} AS ({sql})" for name, sql in PRELUDE.items() if name not in given)
     return f"WITH {tables} {body}"
 
 
@@ -416,8 +417,9 @@ BODIES: dict[str, str] = {
         SELECT customer_id, round(avg(transaction_amount), 6) AS avg_transaction_amount,
                round(coalesce(stddev_samp(transaction_amount), 0), 6) AS transaction_volatility,
                min(transaction_amount) AS min_transaction_amount, max(transaction_amount) AS max_transaction_amount,
-               round(sum(transaction_amount), 4) AS total_transaction_amount, count(transaction_id) AS transaction_count
-        FROM transactions GROUP BY customer_id""",
+               round(coalesce(sum(transaction_amount), 0), 4) AS total_transaction_amount,
+               count(transaction_id) AS transaction_count
+        FROM transactions WHERE customer_id IS NOT NULL GROUP BY customer_id""",
     "fe_rate_tier": "SELECT credit_id, rate_low, rate_high, rate_mid FROM rate",
     "fe_rule_scorecard": "SELECT loan_id, round(rule_probability, 6) AS default_probability FROM scorecard",
     "fe_base_credit_score": """
@@ -477,7 +479,8 @@ BODIES: dict[str, str] = {
                round(f.delinquency_score, 6) AS delinquency_score, s.prediction_id, s.risk_score, s.risk_category
         FROM risk_features f JOIN risk_scores s ON f.customer_id = s.customer_id
         WHERE s.risk_category = 'High' AND s.prediction_date >= {AS_OF} - INTERVAL 30 DAY
-        ORDER BY s.risk_score DESC NULLS LAST, f.customer_id, s.prediction_id, f.loan_id LIMIT 100""",
+        ORDER BY s.risk_score DESC NULLS LAST, f.customer_id, s.prediction_id, f.loan_id,
+                 f.credit_score NULLS LAST, f.delinquency_score NULLS LAST LIMIT 100""",
     "fq_loan_capacity": """
         SELECT customer_id, annual_income, round(annual_income * 3, 4) AS max_recommended_loan,
                round(annual_income * 0.43::DOUBLE, 4) AS max_monthly_payment,
@@ -819,5 +822,5 @@ def exact_rounding(sql: str) -> str:
     return out + sql[start:]
 
 
-def oracle_sql() -> dict[str, str]:
-    return {name: exact_rounding(with_tables(body)) for name, body in BODIES.items()}
+def oracle_sql(given: tuple[str, ...] = ()) -> dict[str, str]:
+    return {name: exact_rounding(with_tables(body, given)) for name, body in BODIES.items()}

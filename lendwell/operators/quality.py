@@ -1,8 +1,9 @@
 """Data-quality checks.
 
-Row-level rules of one table are counted together in one aggregate pass and then
-turned into rows. A check frame has the columns ``check``, ``subject``, ``status``
-(pass, warning or fail), ``bad`` (rows, keys or messages found) and ``messages``.
+Row-level rules of one table, whatever check they belong to, are counted together in
+one aggregate pass and then turned into rows. A check frame has the columns ``check``,
+``subject``, ``status`` (pass, warning or fail), ``bad`` (rows, keys or messages found)
+and ``messages``.
 """
 
 from __future__ import annotations
@@ -41,6 +42,7 @@ class Rule:
     bad: Column
     text: str
     needs: tuple[str, ...]
+    check: str = "business_rules"
 
 
 def business_rules(table: str) -> list[Rule]:
@@ -115,22 +117,34 @@ def documented_rules(table: str, as_of: dt.date | None = None) -> list[Rule]:
     return rules[table]
 
 
+def missing_rules(df: DataFrame) -> list[Rule]:
+    return [Rule(c, F.col(c).isNull(), "missing", (c,), "missing_values") for c in df.columns]
+
+
+def range_rules(specs: dict[str, dict[str, float]]) -> list[Rule]:
+    """Rules for the ``min`` and ``max`` of each column; nulls do not violate."""
+    rules = []
+    for column, limits in specs.items():
+        if "min" in limits:
+            text = f"{column} values below minimum {limits['min']}"
+            rules.append(Rule(f"{column}_min", F.col(column) < limits["min"], text, (column,), "value_ranges"))
+        if "max" in limits:
+            text = f"{column} values above maximum {limits['max']}"
+            rules.append(Rule(f"{column}_max", F.col(column) > limits["max"], text, (column,), "value_ranges"))
+    return rules
+
+
+def applicable(df: DataFrame, rules: Sequence[Rule]) -> list[Rule]:
+    return [r for r in rules if set(r.needs) <= set(df.columns)]
+
+
 def count_rules(df: DataFrame, table: str, rules: Sequence[Rule]) -> DataFrame:
     """One row per rule whose columns exist: table_name, rule, bad_rows, total_rows, text."""
-    rules = [r for r in rules if set(r.needs) <= set(df.columns)]
-    counted = df.agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        F.array(
-            *[
-                F.struct(
-                    F.lit(r.name).alias("rule"),
-                    F.count_if(r.bad).alias("bad_rows"),
-                    F.lit(r.text).alias("text"),
-                )
-                for r in rules
-            ]
-        ).alias("rules"),
-    )
+    rows = [
+        F.struct(F.lit(r.name).alias("rule"), F.count_if(r.bad).alias("bad_rows"), F.lit(r.text).alias("text"))
+        for r in applicable(df, rules)
+    ]
+    counted = df.agg(F.count(F.lit(1)).alias("total_rows"), F.array(*rows).alias("rules"))
     return counted.select(F.lit(table).alias("table_name"), "total_rows", F.inline("rules"))
 
 
@@ -144,25 +158,45 @@ def as_check(name: str, subject: Column, status: Column, bad: Column, messages:
     ]
 
 
-def warn_when_any(counted: DataFrame, name: str) -> DataFrame:
-    """Collapse rule rows to one check per table; a rule's message is its count and text."""
-    message = F.concat_ws(" ", F.col("bad_rows").cast("string"), F.col("text"))
-    hits = counted.groupBy("table_name").agg(
-        F.array_sort(F.collect_list(F.when(F.col("bad_rows") > 0, message))).alias("hits")
-    )
-    found = F.size("hits")
-    status = F.when(found > 0, "warning").otherwise("pass")
-    return hits.select(
-        *as_check(name, F.col("table_name"), status, found, F.array_join("hits", "; "))
+def row_checks(
+    df: DataFrame, table: str, checks: Sequence[str], rules: Sequence[Rule],
+    threshold: float = 0.3, strict: bool = False,
+) -> DataFrame:
+    """One check row per name in ``checks`` from a single pass over the table.
+
+    A check with a broken rule is a warning. With ``strict``, a share of missing
+    values above the threshold is a failure.
+    """
+    rules = applicable(df, rules)
+    counted = df.agg(
+        F.count(F.lit(1)).alias("total"), *[F.count_if(r.bad).alias(f"rule_{i}") for i, r in enumerate(rules)]
     )
 
+    def message(i: int, rule: Rule) -> Column:
+        bad = F.col(f"rule_{i}")
+        if rule.check == "missing_values":
+            share = ratio(bad, F.col("total")) * 100
+            return F.when(bad > 0, F.format_string(f"{rule.name} has %.2f%% missing values", share))
+        return F.when(bad > 0, F.concat_ws(" ", bad.cast("string"), F.lit(rule.text)))
+
+    def check_row(name: str) -> Column:
+        own = [(i, r) for i, r in enumerate(rules) if r.check == name]
+        texts = F.array(*[message(i, r) for i, r in own]).cast("array<string>")
+        hits = F.array_sort(F.filter(texts, lambda text: text.isNotNull()))
+        status = F.when(F.size(hits) > 0, "warning").otherwise("pass")
+        if strict and name == "missing_values":
+            for i, _ in own:
+                status = F.when(ratio(F.col(f"rule_{i}"), F.col("total")) > threshold, "fail").otherwise(status)
+        return F.struct(*as_check(name, F.lit(table), status, F.size(hits), F.array_join(hits, "; ")))
+
+    return counted.select(F.inline(F.array(*[check_row(name) for name in checks])))
+
 
 def missing_values(df: DataFrame, table: str, threshold: float = 0.3) -> DataFrame:
     """Columns with missing values: share of rows, and error above the threshold."""
-    rules = [Rule(c, F.col(c).isNull(), "missing", (c,)) for c in df.columns]
     share = ratio(F.col("bad_rows"), F.col("total_rows"))
     return (
-        count_rules(df, table, rules)
+        count_rules(df, table, missing_rules(df))
         .filter(F.col("bad_rows") > 0)
         .select(
             "table_name",
@@ -178,23 +212,15 @@ def missing_values(df: DataFrame, table: str, threshold: float = 0.3) -> DataFra
 def check_missing_values(
     df: DataFrame, table: str, threshold: float = 0.3, strict: bool = False
 ) -> DataFrame:
-    """Pass or warning; with ``strict`` a share above the threshold fails."""
-    rules = [Rule(c, F.col(c).isNull(), "missing", (c,)) for c in df.columns]
-    counted = count_rules(df, table, rules)
-    share = ratio(F.col("bad_rows"), F.col("total_rows"))
-    percent = F.format_string("%s has %.2f%% missing values", "rule", share * 100)
-    hit = F.col("bad_rows") > 0
-    found = counted.groupBy("table_name").agg(
-        F.array_sort(F.collect_list(F.when(hit, percent))).alias("hits"),
-        F.count_if(share > threshold).alias("errors"),
-    )
-    status = F.when(F.size("hits") > 0, "warning").otherwise("pass")
-    if strict:
-        status = F.when(F.col("errors") > 0, "fail").otherwise(status)
-    return found.select(
-        *as_check("missing_values", F.col("table_name"), status, F.size("hits"),
-                  F.array_join("hits", "; "))
-    )
+    return row_checks(df, table, ["missing_values"], missing_rules(df), threshold, strict)
+
+
+def check_value_ranges(df: DataFrame, table: str, specs: dict[str, dict[str, float]]) -> DataFrame:
+    return row_checks(df, table, ["value_ranges"], range_rules(specs))
+
+
+def check_business_rules(df: DataFrame, table: str) -> DataFrame:
+    return row_checks(df, table, ["business_rules"], business_rules(table))
 
 
 def duplicates(df: DataFrame, table: str, keys: Sequence[str]) -> DataFrame:
@@ -209,27 +235,6 @@ def duplicates(df: DataFrame, table: str, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def range_rules(df: DataFrame, table: str, specs: dict[str, dict[str, float]]) -> DataFrame:
-    """Counted violations of the ``min`` and ``max`` of each column; nulls do not violate."""
-    rules = []
-    for column, limits in specs.items():
-        if "min" in limits:
-            rules.append(Rule(f"{column}_min", F.col(column) < limits["min"],
-                              f"{column} values below minimum {limits['min']}", (column,)))
-        if "max" in limits:
-            rules.append(Rule(f"{column}_max", F.col(column) > limits["max"],
-                              f"{column} values above maximum {limits['max']}", (column,)))
-    return count_rules(df, table, rules)
-
-
-def check_value_ranges(df: DataFrame, table: str, specs: dict[str, dict[str, float]]) -> DataFrame:
-    return warn_when_any(range_rules(df, table, specs), "value_ranges")
-
-
-def check_business_rules(df: DataFrame, table: str) -> DataFrame:
-    return warn_when_any(count_rules(df, table, business_rules(table)), "business_rules")
-
-
 def data_types(df: DataFrame, table: str, expected: dict[str, str]) -> DataFrame:
     """Compare declared column types by simple name; reads the schema, not the rows."""
     actual = {f.name: f.dataType.simpleString() for f in df.schema.fields}
@@ -291,10 +296,10 @@ def outlier_counts(df: DataFrame, table: str, columns: Sequence[str]) -> DataFra
 
 def check_anomalies(df: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:
     """Warn about columns where outliers exceed five percent of the rows."""
-    counted = outlier_counts(df, table, columns)
     percent = ratio(F.col("bad_rows"), F.col("total_rows")) * 100
     text = F.format_string("%s: %d outliers (%.2f%%)", "rule", "bad_rows", percent)
-    found = counted.groupBy("table_name").agg(
+    # One row per column of the table.
+    found = outlier_counts(df, table, columns).groupBy("table_name").agg(
         F.array_sort(F.collect_list(F.when(percent > OUTLIER_SHARE, text))).alias("hits")
     )
     return found.select(
@@ -367,21 +372,22 @@ def suite(
 ) -> DataFrame:
     """The thirteen standard checks over the four staging tables."""
     key = "customer_id"
+
+    def rows_of(df: DataFrame, table: str) -> DataFrame:
+        rules = missing_rules(df) + range_rules(RANGES.get(table, {})) + business_rules(table)
+        names = ["missing_values", *(["value_ranges"] if table in RANGES else []), "business_rules"]
+        return row_checks(df, table, names, rules, threshold, strict)
+
     checks = [
-        check_missing_values(customers, "customers", threshold, strict),
+        rows_of(customers, "customers"),
+        rows_of(credit, "credit_history"),
+        rows_of(loans, "loan_applications"),
         duplicates(customers, "customers", [key]),
-        check_value_ranges(customers, "customers", RANGES["customers"]),
-        check_business_rules(customers, "customers"),
-        check_missing_values(credit, "credit_history", threshold, strict),
         duplicates(credit, "credit_history", [key]),
-        check_value_ranges(credit, "credit_history", RANGES["credit_history"]),
-        check_business_rules(credit, "credit_history"),
         *[
             referential_integrity(customers, child, key, key, relation)
             for child, relation in zip((credit, transactions, loans), RELATIONS)
         ],
-        check_missing_values(loans, "loan_applications", threshold, strict),
-        check_business_rules(loans, "loan_applications"),
     ]
     return reduce(DataFrame.unionByName, checks)
 

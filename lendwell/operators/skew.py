@@ -9,11 +9,12 @@ SALT = "salt"
 ROWS_PER_TASK = 1_000_000
 
 
-def hot_keys(df: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def hot_keys(df: DataFrame, key: str, rows_per_task: int | None = None) -> DataFrame:
     """Keys with more rows than one task should take, and how many parts to cut them in.
 
     At most ``rows / rows_per_task`` keys come out, so the result may be broadcast.
     """
+    rows_per_task = rows_per_task or ROWS_PER_TASK
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("key_rows"))
     return counts.filter(F.col("key_rows") > rows_per_task).select(
         F.col(key).alias("hot_key"),
@@ -27,7 +28,7 @@ def spread_join(
     key: str,
     row_id: str,
     how: str = "left",
-    rows_per_task: int = ROWS_PER_TASK,
+    rows_per_task: int | None = None,
 ) -> DataFrame:
     """Join ``left`` with each lookup on ``key``, cutting hot keys of ``left`` into parts.
 

@@ -129,10 +129,12 @@ def high_risk_customers(
     wanted = features.select(KEY, "loan_id", "credit_score", "debt_to_income", "delinquency_score")
     # ``best`` holds at most ``limit`` rows.
     held = wanted.join(F.broadcast(best.select(KEY).distinct()), KEY, "left_semi")
-    held = top_per_key(held, [KEY], [c("loan_id")], limit)
+    # A loan has one feature row per credit record of its customer.
+    record = [c("loan_id"), c("credit_score").asc_nulls_last(), c("delinquency_score").asc_nulls_last()]
+    held = top_per_key(held, [KEY], record, limit)
     return (
         held.join(F.broadcast(best), KEY)
-        .orderBy(*ranked, "loan_id")
+        .orderBy(*ranked, *record)
         .limit(limit)
         .select(KEY, "loan_id", "credit_score", "debt_to_income", "delinquency_score",
                 "prediction_id", "risk_score", "risk_category")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,11 +58,12 @@ def append_predictions(predictions: DataFrame, path: str) -> None:
 def read_predictions(spark: SparkSession, path: str, first_day: dt.date | None = None) -> DataFrame:
     """Stored scores, or no rows when nothing was stored yet."""
     schema = f"{schemas.RISK_SCORES}, prediction_day date"
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(folder):
+    try:
+        stored = read_table(spark, path, schema)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    stored = read_table(spark, path, schema)
     return stored if first_day is None else stored.filter(F.col("prediction_day") >= first_day)
 
 
