@@ -278,6 +278,11 @@ def dq_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.outlier_counts(view(spark, sf_dir, "dirty_customers"), "dirty_customers", ["age", "annual_income"])
 
 
+def dq_data_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    expected = {"request_id": "bigint", "customer_id": "bigint", "loan_amount": "double", "loan_term_months": "int"}
+    return quality.unreadable_values(view(spark, sf_dir, "requests"), "requests", expected)
+
+
 def dq_business_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = {"dirty_customers": "customers", "customers": "customers",
               "credit_history": "credit_history", "loan_applications": "loan_applications"}
@@ -386,7 +391,7 @@ FOLDER_QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         dq_missing_values, dq_duplicates, dq_value_ranges, dq_referential_integrity, dq_anomalies,
-        dq_business_rules, dq_impute, req_validate, req_features, req_batch_status, req_batch_summary,
+        dq_data_types, dq_business_rules, dq_impute, req_validate, req_features, req_batch_status, req_batch_summary,
         ml_model_comparison, ml_feature_importance, ml_batch_scores, ml_explain, req_batch_scores,
         stream_daily_counts, stream_request_scores,
     )

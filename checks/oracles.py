@@ -668,6 +668,13 @@ BODIES: dict[str, str] = {
                      AS status FROM {t}"""
         for t in ("customers", "credit_history", "transactions", "loan_applications")
     ),
+    "dq_data_types": " UNION ALL ".join(
+        f"""SELECT 'requests' AS table_name, '{name}' AS column_name, '{actual}' AS actual_type, '{kind}' AS expected_type,
+                   count(*) FILTER ({name} IS NOT NULL AND try_cast({name} AS {kind}) IS NULL) AS unreadable_rows,
+                   count(*) AS total_rows FROM requests"""
+        for name, actual, kind in (("request_id", "bigint", "bigint"), ("customer_id", "string", "bigint"),
+                                   ("loan_amount", "string", "double"), ("loan_term_months", "string", "int"))
+    ),
     "dq_business_rules": " UNION ALL ".join(
         rule_rows(t, RULES[t]) for t in ("dirty_customers", "customers", "credit_history", "loan_applications")
     ),

@@ -249,6 +249,28 @@ def data_types(df: DataFrame, table: str, expected: dict[str, str]) -> DataFrame
     )
 
 
+def unreadable_values(df: DataFrame, table: str, expected: dict[str, str]) -> DataFrame:
+    """Per column: declared and expected type, and values that cannot be read as expected.
+
+    Serves tables that arrive as text, where the declared type says little.
+    """
+    declared = dict(df.dtypes)
+    present = {name: kind for name, kind in expected.items() if name in declared}
+    rules = [
+        Rule(name, F.col(name).isNotNull() & F.col(name).try_cast(kind).isNull(), kind, (name,), "data_types")
+        for name, kind in present.items()
+    ]
+    actual = F.create_map(*[F.lit(v) for name in present for v in (name, declared[name])])
+    return count_rules(df, table, rules).select(
+        "table_name",
+        F.col("rule").alias("column_name"),
+        F.element_at(actual, F.col("rule")).alias("actual_type"),
+        F.col("text").alias("expected_type"),
+        F.col("bad_rows").alias("unreadable_rows"),
+        "total_rows",
+    )
+
+
 def orphan_keys(parent: DataFrame, child: DataFrame, parent_key: str, child_key: str) -> DataFrame:
     """Distinct child keys without a parent; a null key is an orphan unless a parent has one."""
     keys = child.select(F.col(child_key).alias("orphan_key")).distinct()

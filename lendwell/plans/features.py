@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lendwell.functions import credit as fx
+from lendwell.operators.picks import top_per_key
 from lendwell.operators.skew import spread_join
 
 
@@ -65,10 +66,24 @@ def derived() -> dict[str, Column]:
     }
 
 
+def newest_credit(credit: DataFrame) -> DataFrame:
+    """The last credit record of every customer."""
+    order = [F.col("created_at").desc_nulls_last(), F.col("credit_id")]
+    return top_per_key(credit.filter(F.col("customer_id").isNotNull()), ["customer_id"], order, 1)
+
+
 def risk_features(
-    customers: DataFrame, credit: DataFrame, transactions: DataFrame, loans: DataFrame, **spread
+    customers: DataFrame, credit: DataFrame, transactions: DataFrame, loans: DataFrame,
+    one_record: bool = False, **spread,
 ) -> DataFrame:
-    """Loans with the features of their customer; loans without a match keep nulls."""
+    """Loans with the features of their customer; loans without a match keep nulls.
+
+    A customer has one credit record; the duplicate check of the standard suite
+    fails otherwise. Where more are let in, a loan appears once per record unless
+    ``one_record`` keeps only the newest.
+    """
+    if one_record:
+        credit = newest_credit(credit)
     lookups = [
         customers.drop("created_at"),
         credit.drop("created_at"),
