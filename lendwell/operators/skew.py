@@ -12,7 +12,7 @@ ROWS_PER_TASK = 1_000_000
 def hot_keys(df: DataFrame, key: str, rows_per_task: int | None = None) -> DataFrame:
     """Keys with more rows than one task should take, and how many parts to cut them in.
 
-    At most ``rows / rows_per_task`` keys come out, so the result may be broadcast.
+    At most ``rows / rows_per_task`` keys come out, few enough to collect and broadcast.
     """
     rows_per_task = rows_per_task or ROWS_PER_TASK
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("key_rows"))
@@ -32,19 +32,27 @@ def spread_join(
 ) -> DataFrame:
     """Join ``left`` with each lookup on ``key``, cutting hot keys of ``left`` into parts.
 
-    Rows of a hot key are dealt over its parts by ``row_id``; lookup rows of that
-    key are copied once per part. All joins share one partitioning of ``left``.
-    Null keys are dealt out too, although they match nothing.
+    Keys are counted first. Without a hot key the joins are plain ones. Otherwise rows
+    of a hot key are dealt over its parts by ``row_id`` and lookup rows of that key are
+    copied once per part; all joins share one partitioning of ``left``. Null keys are
+    dealt out too, although they match nothing.
     """
-    hot = F.broadcast(hot_keys(left, key, rows_per_task))
+    counted = hot_keys(left, key, rows_per_task)
+    hot_rows = counted.collect()
+    lookups = [lookup.filter(F.col(key).isNotNull()) for lookup in lookups]
+    if not hot_rows:
+        for lookup in lookups:
+            left = left.join(lookup, key, how)
+        return left
+    hot = F.broadcast(left.sparkSession.createDataFrame(hot_rows, counted.schema))
 
     def with_parts(df: DataFrame) -> DataFrame:
         return df.join(hot, F.col(key).eqNullSafe(F.col("hot_key")), "left").drop("hot_key")
 
     dealt = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64(row_id), F.col("parts")))
     joined = with_parts(left).withColumn(SALT, F.coalesce(dealt, F.lit(0)).cast("int")).drop("parts")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))
     for lookup in lookups:
-        copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))
-        copied = with_parts(lookup.filter(F.col(key).isNotNull())).withColumn(SALT, copies)
-        joined = joined.join(copied.drop("parts"), [key, SALT], how)
+        copied = with_parts(lookup).withColumn(SALT, copies).drop("parts")
+        joined = joined.join(copied, [key, SALT], how)
     return joined.drop(SALT)
