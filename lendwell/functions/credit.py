@@ -29,6 +29,17 @@ HOME_CODES = {"Own": 0, "Rent": 1, "Mortgage": 2}
 RATE_TIERS = [(750, 0.03, 0.06), (700, 0.06, 0.10), (650, 0.10, 0.15)]
 RATE_FALLBACK = (0.15, 0.25)
 HIGH_DTI = 0.43
+# What the rule scorecard adds to a default probability, and its cap.
+SCORECARD = {
+    "base": 0.05,
+    "score below 600": 0.3,
+    "score below 700": 0.15,
+    "dti above 0.43": 0.2,
+    "dti above 0.35": 0.1,
+    "unemployed": 0.25,
+    "per delinquency": 0.1,
+    "cap": 0.9,
+}
 
 
 def income_category(income: Column, include_lowest: bool = False) -> Column:
@@ -158,14 +169,15 @@ def rate_tier(score: Column) -> dict[str, Column]:
 
 def rule_scorecard(score: Column, dti: Column, employment: Column, delinquent: Column) -> Column:
     """Rule-based default probability, at most 0.9; unknown inputs add nothing."""
-    return F.least(
-        F.lit(0.05)
-        + F.when(score < 600, 0.3).when(score < 700, 0.15).otherwise(0.0)
-        + F.when(dti > HIGH_DTI, 0.2).when(dti > 0.35, 0.1).otherwise(0.0)
-        + F.when(employment == "Unemployed", 0.25).otherwise(0.0)
-        + F.coalesce(delinquent, F.lit(0)) * 0.1,
-        F.lit(0.9),
+    add = SCORECARD
+    by_score = F.when(score < 600, add["score below 600"]).when(score < 700, add["score below 700"])
+    by_dti = F.when(dti > HIGH_DTI, add["dti above 0.43"]).when(dti > 0.35, add["dti above 0.35"])
+    by_work = F.when(employment == "Unemployed", add["unemployed"])
+    by_delinquency = F.coalesce(delinquent, F.lit(0)) * add["per delinquency"]
+    total = (
+        F.lit(add["base"]) + by_score.otherwise(0.0) + by_dti.otherwise(0.0) + by_work.otherwise(0.0) + by_delinquency
     )
+    return F.least(total, F.lit(add["cap"]))
 
 
 def base_credit_score(income: Column, years_employed: Column) -> Column:

@@ -47,6 +47,7 @@ class Rule:
 
 def business_rules(table: str) -> list[Rule]:
     c = F.col
+    # Limits and wording.
     rules = {
         "customers": [
             Rule("age", (c("age") < 18) | (c("age") > 100), "customers with invalid age", ("age",)),
