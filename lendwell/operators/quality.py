@@ -347,10 +347,9 @@ def freshness(
     else:
         stamp = F.expr(f"try_cast({date_column} AS timestamp_ntz)")
     newest = df.agg(F.max(stamp).alias("newest"))
-    seconds = F.unix_timestamp(day(as_of).cast("timestamp")) - F.unix_timestamp(
-        F.col("newest").cast("timestamp")
-    )
-    age = F.floor(seconds / 86400).cast("int")
+    # Difference of clock times, so that the session's zone plays no part.
+    micros = F.timestamp_diff("MICROSECOND", F.col("newest"), day(as_of).cast("timestamp_ntz"))
+    age = F.floor(micros / 86_400_000_000).cast("int")
     return newest.select(
         F.lit(table).alias("table_name"),
         "newest",
