@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -407,9 +408,32 @@ def entry(spark: SparkSession) -> DataFrame:
     return etl_risk_features(lending_tables(spark, "/root/testdata/sf0.001"))
 
 
+def training_data_queries() -> dict[str, Query]:
+    """Queries of the optional subpackage for training data, and its pipeline."""
+    found: dict[str, Query] = {}
+    if importlib.util.find_spec("lendwell.llm"):
+        from lendwell.llm.queries import QUERIES
+
+        found.update(QUERIES)
+    if importlib.util.find_spec("corpus_pipeline"):
+        import corpus_pipeline
+
+        found["pipeline"] = corpus_pipeline.run
+    return found
+
+
+def training_data_sql() -> dict[str, str]:
+    if importlib.util.find_spec("lendwell.llm"):
+        from lendwell.llm.oracles import ORACLE_SQL
+
+        return ORACLE_SQL
+    return {}
+
+
 def queries() -> dict[str, Query]:
-    return {**{name: over_tables(plan) for name, plan in TABLE_QUERIES.items()}, **FOLDER_QUERIES}
+    tables = {name: over_tables(plan) for name, plan in TABLE_QUERIES.items()}
+    return {**tables, **FOLDER_QUERIES, **training_data_queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.oracle_sql()
+    return {**oracles.oracle_sql(), **training_data_sql()}
