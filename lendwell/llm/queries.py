@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lendwell.llm import mixing
+from lendwell.llm import exact_topk, html_extract, mixing, url_rules
 from lendwell.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,7 +17,20 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_rules.judged(pages, url_rules.page_labels(pages, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op2_mixing,)
+    for f in (op1_html_extraction, op2_mixing, op5_exact_topk, op10_url_filter)
 }
