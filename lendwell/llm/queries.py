@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendwell.llm import exact_topk, fingerprints, html_extract, mixing, url_rules
+from lendwell.llm import exact_topk, fingerprints, html_extract, licenses, mixing, quality_model, sentence_pieces, url_rules
 from lendwell.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,10 +25,22 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classified(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.encoded(table(spark, sf_dir, "documents"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_rules.judged(pages, url_rules.page_labels(pages, table(spark, sf_dir, "labels")))
@@ -36,5 +48,14 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_html_extraction, op2_mixing, op3_fingerprints, op5_exact_topk, op10_url_filter)
+    for f in (
+        op1_html_extraction,
+        op2_mixing,
+        op3_fingerprints,
+        op4_quality_classifier,
+        op5_exact_topk,
+        op8_sentence_pieces,
+        op9_license_scan,
+        op10_url_filter,
+    )
 }
