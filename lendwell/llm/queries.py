@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendwell.llm import exact_topk, fingerprints, html_extract, licenses, mixing, quality_model, sentence_pieces, url_rules
-from lendwell.llm.common import table
+from lendwell.llm import exact_topk, fingerprints, html_extract, jaccard_join, licenses, mixing, quality_model, sentence_pieces, url_rules
+from lendwell.llm.common import send_package, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +34,10 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.joined(table(spark, sf_dir, "documents"))
+
+
 def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encoded(table(spark, sf_dir, "documents"))
 
@@ -46,14 +51,26 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judged(pages, url_rules.page_labels(pages, table(spark, sf_dir, "labels")))
 
 
+def with_package(query: Query) -> Query:
+    """The query, after the package's modules were sent to the executors."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        send_package(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f
+    f.__name__: with_package(f)
     for f in (
         op1_html_extraction,
         op2_mixing,
         op3_fingerprints,
         op4_quality_classifier,
         op5_exact_topk,
+        op7_jaccard_join,
         op8_sentence_pieces,
         op9_license_scan,
         op10_url_filter,
