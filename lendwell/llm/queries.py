@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendwell.llm import exact_topk, fingerprints, html_extract, jaccard_join, licenses, mixing, quality_model, sentence_pieces, url_rules
+from lendwell.llm import exact_topk, fingerprints, html_extract, jaccard_join, language_model, licenses, mixing, quality_model, sentence_pieces, url_rules
 from lendwell.llm.common import send_package, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scored(table(spark, sf_dir, "documents"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.joined(table(spark, sf_dir, "documents"))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Query] = {
         op3_fingerprints,
         op4_quality_classifier,
         op5_exact_topk,
+        op6_language_model,
         op7_jaccard_join,
         op8_sentence_pieces,
         op9_license_scan,
