@@ -146,7 +146,7 @@ def taken(size: Column) -> Column:
     """Words the mix takes from a document, from its hash and its source's plan."""
     rest = F.col("budget") - F.col("spent")
     nearer = F.when(2 * rest >= F.col("edge_words"), size).otherwise(0)
-    shared = F.floor(size * rest / F.col("edge_words"))
+    shared = F.floor(F.try_divide(size * rest, F.col("edge_words")))
     part = (
         F.when(F.col("mix_hash") < F.col("edge"), size)
         .when(F.col("mix_hash") > F.col("edge"), 0)

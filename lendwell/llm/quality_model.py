@@ -148,8 +148,9 @@ def features(texts: list[str], table: np.ndarray) -> np.ndarray:
     data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint32)
     code = (data[:-2] << np.uint32(16) | data[1:-1] << np.uint32(8) | data[2:]) * np.uint32(2654435761)
     slot = (code >> np.uint32(32 - FEATURE_BITS)).astype(np.int64)
-    owner = np.repeat(np.arange(len(raw)), [len(r) for r in raw])[:-2]
-    flat = np.bincount(owner * FEATURES + slot, minlength=len(raw) * FEATURES)
+    owner = np.repeat(np.arange(len(raw)), [len(r) for r in raw])
+    inside = owner[:-2] == owner[2:]
+    flat = np.bincount(owner[:-2][inside] * FEATURES + slot[inside], minlength=len(raw) * FEATURES)
     grams = np.sqrt(flat.reshape(len(raw), FEATURES))
     grams /= np.maximum(np.linalg.norm(grams, axis=1, keepdims=True), 1e-9)
     bins = np.minimum((np.sqrt(np.clip(table, 0, None)) * BINS).astype(np.uint64), np.uint64(3 * BINS))
@@ -266,7 +267,8 @@ def scorer(model: Model):
             for piece in in_pieces(batch.tolist()):
                 table, count = signals(piece)
                 pattern = pattern_of(votes(table, count))
-                line = features(piece, table) @ model.weights[:-1] + model.weights[-1]
+                # Summed row by row: a matrix product may round rows differently by their place.
+                line = (features(piece, table) * model.weights[:-1]).sum(axis=1) + model.weights[-1]
                 score = np.where(count > 0, 1 / (1 + np.exp(-line)), 0.0)
                 label = [model.chances.get(p, model.share) for p in pattern.tolist()]
                 parts.append(pd.DataFrame({"label_probability": label, "score": score}))
