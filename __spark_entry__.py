@@ -230,8 +230,7 @@ TABLE_QUERIES: dict[str, Callable[[LendingTables], DataFrame]] = {
 
 def documented(t: LendingTables) -> DataFrame:
     """Documented rules of the four tables; credit records meet their customer's age."""
-    ages = t.customers.select("customer_id", "age")
-    credit = t.credit_history.join(ages, "customer_id", "left")
+    credit = quality.with_owner_age(t.credit_history, t.customers)
     frames = [t.customers, credit, t.transactions, t.loan_applications]
     names = ["customers", "credit_history", "transactions", "loan_applications"]
     return union([
@@ -373,7 +372,7 @@ def req_batch_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "daily-counts")
     daily.write_daily(stream(spark, sf_dir, "risk_scores"), out, f"{out}-progress").awaitTermination()
-    return spark.read.parquet(out)
+    return daily.read_daily(spark, out)
 
 
 def stream_request_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,6 @@ tables in full, so that agreement also proves the rewrite.
 
 from __future__ import annotations
 
-from lendwell.operators.evaluation import SWEEP
 from lendwell.sources.adapter import VIEWS, duckdb_view
 
 AS_OF = "DATE '2001-08-02'"
@@ -18,6 +17,9 @@ PRELUDE = {
                stddev_samp(transaction_amount) AS spending_volatility,
                coalesce(sum(transaction_amount), 0) AS total_spending, count(transaction_id) AS transaction_count
         FROM transactions WHERE customer_id IS NOT NULL GROUP BY customer_id""",
+    "newest_credit": """
+        SELECT * FROM credit_history WHERE customer_id IS NOT NULL
+        QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY created_at DESC NULLS LAST, credit_id) = 1""",
     "features": """
         SELECT l.*, c.age, c.gender, c.marital_status, c.education_level, c.employment_status,
                c.annual_income, c.years_employed, c.home_ownership, c.num_dependents,
@@ -33,7 +35,7 @@ PRELUDE = {
                loan_amount / nullif(annual_income, 0) AS loan_to_income_ratio
         FROM loan_applications l
         LEFT JOIN customers c ON l.customer_id = c.customer_id
-        LEFT JOIN credit_history h ON l.customer_id = h.customer_id
+        LEFT JOIN newest_credit h ON l.customer_id = h.customer_id
         LEFT JOIN spending s ON l.customer_id = s.customer_id""",
     "risk_features": """
         SELECT customer_id, loan_id, credit_score, credit_utilization_ratio AS credit_utilization,
@@ -330,7 +332,7 @@ SWEEP_ROWS = f"""
                        count(*) FILTER (label = 0 AND probability >= threshold) AS false_positives,
                        count(*) FILTER (label = 1 AND probability < threshold) AS false_negatives,
                        count(*) FILTER (label = 0 AND probability < threshold) AS true_negatives
-                FROM scored, (VALUES {', '.join(f"(CAST('{t!r}' AS DOUBLE))" for t in SWEEP)}) v(threshold)
+                FROM scored, (SELECT 0.1::DOUBLE + i * ((0.1::DOUBLE + 0.05::DOUBLE) - 0.1::DOUBLE) AS threshold FROM range(18) r(i)) v
                 GROUP BY model_name, threshold))"""
 
 CONSISTENCY = """
@@ -491,7 +493,7 @@ BODIES: dict[str, str] = {
                h.num_credit_accounts, h.credit_utilization_ratio, h.num_delinquent_accounts, h.total_debt,
                h.years_credit_history, l.loan_id, l.loan_amount, l.loan_term_months, l.interest_rate,
                l.debt_to_income_ratio, l.default_flag
-        FROM customers c JOIN credit_history h ON c.customer_id = h.customer_id
+        FROM customers c JOIN newest_credit h ON c.customer_id = h.customer_id
         JOIN loan_applications l ON c.customer_id = l.customer_id
         WHERE l.application_date >= {AS_OF} - INTERVAL 2 YEAR""",
     "fq_employment_stability": """
@@ -800,15 +802,14 @@ BODIES: dict[str, str] = {
                CASE WHEN credit_utilization_ratio < 0.3 THEN 'Good' ELSE 'High' END AS utilization_label,
                CASE WHEN loan_to_income_ratio < 3 THEN 'Good' ELSE 'High' END AS loan_to_income_label,
                CASE WHEN employment_stability_score > 10 THEN 'Good' ELSE 'Low' END AS stability_label FROM features""",
-    # Streams: days that are closed once every score has been read
+    # Streams
     "stream_daily_counts": """
         SELECT CAST(prediction_date AS DATE) AS report_date, count(*) AS total_assessments,
                count(*) FILTER (risk_category = 'Low') AS low_risk_count,
                count(*) FILTER (risk_category = 'Medium') AS medium_risk_count,
                count(*) FILTER (risk_category = 'High') AS high_risk_count,
                round(avg(risk_score), 2) AS avg_risk_score, round(avg(default_probability), 4) AS avg_default_probability
-        FROM risk_scores GROUP BY 1
-        HAVING report_date + 1 <= (SELECT max(prediction_date) FROM risk_scores) - INTERVAL 1 DAY""",
+        FROM risk_scores GROUP BY 1""",
 }
 
 

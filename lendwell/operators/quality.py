@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType
 
 from lendwell.functions.columns import ratio, rounded
+from lendwell.operators.skew import spread_join
 from lendwell.schemas import DOMAINS, LOAN_TERMS
 from lendwell.session import day
 
@@ -118,6 +119,12 @@ def documented_rules(table: str, as_of: dt.date | None = None) -> list[Rule]:
     return rules[table]
 
 
+def with_owner_age(credit: DataFrame, customers: DataFrame, **spread) -> DataFrame:
+    """Credit records beside the age of their customer, for rules that compare the two."""
+    ages = customers.select("customer_id", "age")
+    return spread_join(credit, [ages], "customer_id", "credit_id", **spread)
+
+
 def missing_rules(df: DataFrame) -> list[Rule]:
     return [Rule(c, F.col(c).isNull(), "missing", (c,), "missing_values") for c in df.columns]
 

@@ -7,16 +7,21 @@ from pyspark.sql import functions as F
 
 SALT = "salt"
 ROWS_PER_TASK = 1_000_000
+MOST_HOT_KEYS = 10_000
 
 
 def hot_keys(df: DataFrame, key: str, rows_per_task: int | None = None) -> DataFrame:
     """Keys with more rows than one task should take, and how many parts to cut them in.
 
-    At most ``rows / rows_per_task`` keys come out, few enough to collect and broadcast.
+    A hot key also has more than one row in ``MOST_HOT_KEYS`` of all, so that at most so many come
+    out, whatever the size; keys below that share are left to adaptive execution.
     """
     rows_per_task = rows_per_task or ROWS_PER_TASK
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("key_rows"))
-    return counts.filter(F.col("key_rows") > rows_per_task).select(
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return counts.filter(
+        (F.col("key_rows") > rows_per_task) & (F.col("key_rows") * MOST_HOT_KEYS > total)
+    ).select(
         F.col(key).alias("hot_key"),
         F.ceil(F.col("key_rows") / rows_per_task).cast("int").alias("parts"),
     )
@@ -29,15 +34,17 @@ def spread_join(
     row_id: str,
     how: str = "left",
     rows_per_task: int | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``left`` with each lookup on ``key``, cutting hot keys of ``left`` into parts.
 
-    Keys are counted first. Without a hot key the joins are plain ones. Otherwise rows
+    Keys are counted first, by a job of its own, unless the caller passes ``hot`` with what
+    ``hot_keys`` found in the same frame, as for several queries over one table. Without a hot key the joins are plain ones. Otherwise rows
     of a hot key are dealt over its parts by ``row_id`` and lookup rows of that key are
     copied once per part; all joins share one partitioning of ``left``. Null keys are
     dealt out too, although they match nothing.
     """
-    counted = hot_keys(left, key, rows_per_task)
+    counted = hot_keys(left, key, rows_per_task) if hot is None else hot
     hot_rows = counted.collect()
     lookups = [lookup.filter(F.col(key).isNotNull()) for lookup in lookups]
     if not hot_rows:

@@ -15,6 +15,7 @@ from lendwell.functions import credit as fx
 from lendwell.functions.columns import below_bands, ratio, rounded
 from lendwell.operators.picks import top_per_key
 from lendwell.operators.skew import spread_join
+from lendwell.plans.features import newest_credit
 from lendwell.session import days_before, months_before
 
 KEY = "customer_id"
@@ -37,7 +38,7 @@ def customer_profile(
 
     The totals are those of the customer's transactions paired with the customer's
     loans, worked out from per-customer sums: pairing n transactions with m loans
-    repeats every transaction m times and every default n times.
+    repeats every transaction m times and every default n times. Ids are counted once.
     """
     facts = ["credit_score", "credit_utilization_ratio", "num_delinquent_accounts",
              "total_debt", "bankruptcy_flag"]
@@ -46,12 +47,15 @@ def customer_profile(
     amount = F.col("transaction_amount")
     spending = transactions.filter(known).groupBy(KEY).agg(
         F.count(F.lit(1)).alias("n"),
+        F.count_distinct("transaction_id").alias("transactions"),
         F.count(amount).alias("n_amounts"),
         F.avg(amount).alias("mean"),
         (F.var_pop(amount) * F.count(amount)).alias("squares"),
     )
     borrowing = loans.filter(known).groupBy(KEY).agg(
-        F.count(F.lit(1)).alias("m"), F.count_if(F.col("default_flag")).alias("defaults")
+        F.count(F.lit(1)).alias("m"),
+        F.count_distinct("loan_id").alias("loans"),
+        F.count_if(F.col("default_flag")).alias("defaults"),
     )
     joined = (
         customers.join(spending, KEY, "left").join(borrowing, KEY, "left").join(records, KEY, "left")
@@ -63,10 +67,10 @@ def customer_profile(
     return joined.select(
         KEY, "age", "annual_income", "years_employed", "employment_status", "home_ownership",
         *facts,
-        F.coalesce(c("n"), F.lit(0)).alias("total_transactions"),
+        F.coalesce(c("transactions"), F.lit(0)).alias("total_transactions"),
         c("mean").alias("avg_transaction_amount"),
         F.when(pairs > 1, F.sqrt(c("squares") * repeats / (pairs - 1))).alias("transaction_volatility"),
-        F.coalesce(c("m"), F.lit(0)).alias("total_loans"),
+        F.coalesce(c("loans"), F.lit(0)).alias("total_loans"),
         (
             F.coalesce(c("defaults"), F.lit(0))
             * F.greatest(F.coalesce(c("n"), one), one)
@@ -154,9 +158,15 @@ def loan_capacity(customers: DataFrame) -> DataFrame:
 
 
 def retraining_set(
-    customers: DataFrame, credit: DataFrame, loans: DataFrame, as_of: dt.date | None = None, **spread
+    customers: DataFrame, credit: DataFrame, loans: DataFrame, as_of: dt.date | None = None,
+    every_record: bool = False, **spread,
 ) -> DataFrame:
-    """Inputs and label of every loan applied for in the last two years."""
+    """Inputs and label of every loan applied for in the last two years.
+
+    Credit records count as in the feature table; ``every_record`` forms all pairs.
+    """
+    if not every_record:
+        credit = newest_credit(credit)
     recent = loans.filter(F.col("application_date") >= months_before(as_of, 24)).select(
         KEY, "loan_id", "loan_amount", "loan_term_months", "interest_rate",
         "debt_to_income_ratio", "default_flag",

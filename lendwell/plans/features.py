@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lendwell.functions import credit as fx
-from lendwell.operators.picks import top_per_key
 from lendwell.operators.skew import spread_join
 
 
@@ -67,22 +66,29 @@ def derived() -> dict[str, Column]:
 
 
 def newest_credit(credit: DataFrame) -> DataFrame:
-    """The last credit record of every customer."""
-    order = [F.col("created_at").desc_nulls_last(), F.col("credit_id")]
-    return top_per_key(credit.filter(F.col("customer_id").isNotNull()), ["customer_id"], order, 1)
+    """The last credit record of every customer, the smallest id among equally old ones.
+
+    Written as an aggregate: its result has one row per customer, so a join to it that gives no
+    column is dropped from the plan.
+    """
+    own = [c for c in credit.columns if c != "customer_id"]
+    newest = F.max_by(F.struct(*own), F.struct("created_at", -F.col("credit_id"))).alias("newest")
+    found = credit.filter(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(newest)
+    return found.select(
+        *[F.col("customer_id") if c == "customer_id" else F.col(f"newest.{c}").alias(c) for c in credit.columns]
+    )
 
 
 def risk_features(
     customers: DataFrame, credit: DataFrame, transactions: DataFrame, loans: DataFrame,
-    one_record: bool = False, **spread,
+    every_record: bool = False, **spread,
 ) -> DataFrame:
     """Loans with the features of their customer; loans without a match keep nulls.
 
-    A customer has one credit record; the duplicate check of the standard suite
-    fails otherwise. Where more are let in, a loan appears once per record unless
-    ``one_record`` keeps only the newest.
+    Of a customer's credit records the newest counts. With ``every_record`` a loan appears
+    once per record instead: that forms all pairs of a customer's loans and records.
     """
-    if one_record:
+    if not every_record:
         credit = newest_credit(credit)
     lookups = [
         customers.drop("created_at"),

@@ -124,19 +124,20 @@ def loans_by_amount(loans: DataFrame) -> DataFrame:
 
 
 def default_by_score(credit: DataFrame, loans: DataFrame) -> DataFrame:
-    """Loans and defaults by credit-score band; loan ids are unique, so a band counts
-    a customer's loans once and their defaults once per credit record."""
+    """Loans and defaults by credit-score band; a band counts a loan id once, and loan
+    rows and their defaults once per credit record of the customer in the band."""
     known = F.col(KEY).isNotNull()
     band = below_bands(F.col("credit_score"), *SCORE_BANDS).alias("credit_score_range")
     records = credit.filter(known).groupBy(KEY, band).agg(rows().alias("records"))
-    borrowing = loans.filter(known).groupBy(KEY).agg(
+    # One row per loan id; a customer has a few bands at most.
+    borrowing = loans.filter(known).groupBy(KEY, "loan_id").agg(
         rows().alias("loans"), F.count_if(F.col("default_flag")).alias("defaults")
     )
     return (
-        records.join(borrowing, KEY)
+        borrowing.join(records, KEY)
         .groupBy("credit_score_range")
         .agg(
-            F.sum("loans").alias("total_loans"),
+            F.count_distinct("loan_id").alias("total_loans"),
             weighted("defaults", "records").alias("defaults"),
             percent(weighted("defaults", "records"), weighted("loans", "records")).alias("default_rate"),
         )
@@ -241,7 +242,7 @@ def segments(
         .join(records, KEY)
         .groupBy("income_segment", "credit_segment")
         .agg(
-            rows().alias("customer_count"),
+            F.count_distinct(KEY).alias("customer_count"),
             rounded(ratio(weighted("score_sum", "records"), weighted("scored", "records")), 2).alias(
                 "avg_risk_score"
             ),

@@ -1,59 +1,63 @@
-"""Daily counts of incoming scores, closed day by day."""
+"""Daily counts of incoming scores, complete at any time.
+
+Every micro-batch stores its own sums per day; a reader adds them up and divides last, so late
+scores count and a day needs no end.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from lendwell.functions.columns import rounded
-
-
-def utc_instant(column: str):
-    """A zoneless timestamp as the instant of the same clock time in UTC.
+from lendwell.functions.columns import ratio, rounded
 
-    Watermarks need instants, and windows of a day start at midnight UTC.
-    """
-    micros = f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST({column} AS TIMESTAMP_NTZ))"
-    return F.expr(f"timestamp_micros({micros})")
+PARTS = (
+    "report_date date, total_assessments bigint, low_risk_count bigint, medium_risk_count bigint, "
+    "high_risk_count bigint, score_sum double, scores bigint, probability_sum double, probabilities bigint"
+)
 
 
-def daily_counts(scores: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Per day: assessments by category and mean score and probability.
-
-    A day is final, and later rows for it are dropped, once scores more than
-    ``lateness`` past its end have been seen.
-    """
+def daily_parts(scores: DataFrame) -> DataFrame:
+    """Per day: rows, rows by category, and sums and counts of what is known."""
     category = F.col("risk_category")
-    return (
-        scores.withColumn("scored_at", utc_instant("prediction_date"))
-        .withWatermark("scored_at", lateness)
-        .groupBy(F.window("scored_at", "1 day").alias("day"))
-        .agg(
-            F.count(F.lit(1)).alias("total_assessments"),
-            F.count_if(category == "Low").alias("low_risk_count"),
-            F.count_if(category == "Medium").alias("medium_risk_count"),
-            F.count_if(category == "High").alias("high_risk_count"),
-            F.avg("risk_score").alias("avg_risk_score"),
-            F.avg("default_probability").alias("avg_default_probability"),
-        )
-        .select(
-            F.date_from_unix_date((F.unix_seconds("day.start") / 86400).cast("int")).alias("report_date"),
-            "total_assessments", "low_risk_count", "medium_risk_count", "high_risk_count",
-            rounded(F.col("avg_risk_score"), 2).alias("avg_risk_score"),
-            rounded(F.col("avg_default_probability"), 4).alias("avg_default_probability"),
-        )
+    return scores.groupBy(F.to_date("prediction_date").alias("report_date")).agg(
+        F.count(F.lit(1)).alias("total_assessments"),
+        F.count_if(category == "Low").alias("low_risk_count"),
+        F.count_if(category == "Medium").alias("medium_risk_count"),
+        F.count_if(category == "High").alias("high_risk_count"),
+        F.sum("risk_score").alias("score_sum"),
+        F.count("risk_score").alias("scores"),
+        F.sum("default_probability").alias("probability_sum"),
+        F.count("default_probability").alias("probabilities"),
     )
 
 
-def write_daily(stream: DataFrame, out: str, checkpoint: str, lateness: str = "1 day") -> StreamingQuery:
-    """Append finished days to ``out`` and stop when the input is used up."""
+def write_daily(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Store the sums of every micro-batch below ``out`` and stop when the input is used up."""
+    spark = stream.sparkSession
+    # So that a reader finds a table before the first batch.
+    spark.createDataFrame([], PARTS).write.mode("overwrite").parquet(f"{out}/batch=-1")
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        # One folder per micro-batch: a repeated batch replaces its own sums.
+        daily_parts(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
     return (
-        daily_counts(stream, lateness)
-        .writeStream.outputMode("append")
-        .format("parquet")
-        .option("path", out)
+        stream.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def read_daily(spark: SparkSession, out: str) -> DataFrame:
+    """Per day: assessments by category and mean score and probability of all batches so far."""
+    sums = spark.read.schema(PARTS).parquet(out).groupBy("report_date").agg(
+        *[F.sum(c).alias(c) for c in spark.createDataFrame([], PARTS).columns[1:]]
+    )
+    return sums.select(
+        "report_date", "total_assessments", "low_risk_count", "medium_risk_count", "high_risk_count",
+        rounded(ratio(F.col("score_sum"), F.col("scores")), 2).alias("avg_risk_score"),
+        rounded(ratio(F.col("probability_sum"), F.col("probabilities")), 4).alias("avg_default_probability"),
+    )

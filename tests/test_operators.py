@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lendwell.operators import ordered
+from lendwell.operators import ordered, skew
 from lendwell.operators.picks import top_per_key
 from lendwell.operators.skew import hot_keys, spread_join
 from lendwell.operators.split import stratified_split
@@ -28,6 +28,25 @@ def test_hot_keys(spark):
     assert found == {1: 4}
 
 
+def test_the_list_of_hot_keys_has_a_bound(spark, monkeypatch):
+    """Many warm keys: no more come out than the bound, whatever their number."""
+    monkeypatch.setattr(skew, "MOST_HOT_KEYS", 20)
+    warm = spark.range(4000).select((F.col("id") % 400).alias("k"), F.lit("x").alias("v"))
+    assert hot_keys(warm, "k", 5).count() == 0
+    hot = warm.union(spark.range(2000).select(F.lit(7).cast("long"), F.lit("y")))
+    assert [r["hot_key"] for r in hot_keys(hot, "k", 5).collect()] == [7]
+
+
+def test_a_known_hot_list_is_used(spark):
+    left = skewed(spark)
+    right = spark.range(40).select(F.col("id").cast("int").alias("k"), F.col("id").alias("r"))
+    known = hot_keys(left, "k", 10)
+    again = spread_join(left, [right], "k", "id", rows_per_task=10, hot=known)
+    assert sorted(map(str, again.collect())) == sorted(
+        map(str, spread_join(left, [right], "k", "id", rows_per_task=10).collect())
+    )
+
+
 @pytest.mark.parametrize("how", ["left", "inner"])
 def test_spread_join_equals_plain_join(spark, how):
     left = skewed(spark)

@@ -1,4 +1,4 @@
-"""All table queries on tables where one customer holds a third of everything.
+"""All table queries on tables where one customer holds a third of everything, and on tables with repeated ids.
 
 The tables also hold null and unknown customers, several credit records per customer
 and gaps in the measured columns. DuckDB joins them in full.
@@ -77,6 +77,42 @@ def skewed(spark, tmp_path_factory):
     return LendingTables(**frames), con
 
 
+@pytest.fixture(scope="module")
+def repeated(spark, tmp_path_factory):
+    """Loans, transactions, credit records and customers of which some occur twice."""
+    folder = tmp_path_factory.mktemp("repeated")
+    con = duckdb.connect()
+    frames = {}
+    for name, (rows, columns) in TABLES.items():
+        path = f"{folder}/{name}"
+        again = "id % 4 = 0" if name != "risk_scores" else "false"
+        spark.range(rows).createOrReplaceTempView("ids")
+        spark.sql(f"SELECT {columns} FROM ids UNION ALL SELECT {columns} FROM ids WHERE {again}").write.parquet(path)
+        frames[name] = spark.read.parquet(path)
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{path}/*.parquet'")
+    return LendingTables(**frames), con
+
+
+@pytest.mark.parametrize("name", ["rq_default_by_score", "rq_segments"])
+def test_ids_that_repeat_count_once(repeated, name):
+    tables, con = repeated
+    df = entry.TABLE_QUERIES[name](tables)
+    cursor = con.execute(SQL[name])
+    names = [d[0] for d in cursor.description]
+    assert canonical(df.columns, [tuple(r) for r in df.collect()]) == canonical(names, cursor.fetchall())
+
+
+def test_profile_counts_ids_once(repeated):
+    tables, con = repeated
+    found = entry.TABLE_QUERIES["fq_customer_profile"](tables).select(
+        "customer_id", "total_transactions", "total_loans").distinct().collect()
+    want = con.execute("""
+        SELECT c.customer_id, (SELECT count(DISTINCT transaction_id) FROM transactions t WHERE t.customer_id = c.customer_id),
+               (SELECT count(DISTINCT loan_id) FROM loan_applications l WHERE l.customer_id = c.customer_id)
+        FROM (SELECT DISTINCT customer_id FROM customers) c""").fetchall()
+    assert sorted(map(tuple, found)) == sorted(want)
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_equal_under_skew(spark, skewed, many_runs, monkeypatch, name):
     monkeypatch.setattr(skew, "ROWS_PER_TASK", 25)

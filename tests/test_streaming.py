@@ -1,4 +1,4 @@
-"""Streams equal their batch twins, survive restarts and drop late rows."""
+"""Streams equal their batch twins, survive restarts and count late rows."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -21,19 +21,32 @@ def scores(spark, days):
 
 def run_daily(spark, source, out, progress):
     daily.write_daily(spark.readStream.schema(SCORES).parquet(source), out, progress).awaitTermination()
-    found = spark.read.schema("report_date date, total_assessments bigint").parquet(out)
-    return {str(r["report_date"]): r["total_assessments"] for r in found.collect()}
+    return {str(r["report_date"]): r["total_assessments"] for r in daily.read_daily(spark, out).collect()}
 
 
-def test_days_close_and_late_rows_drop(spark, tmp_path):
+def test_late_rows_count_and_restarts_do_not(spark, tmp_path):
     source, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
     scores(spark, ["2001-01-01", "2001-01-01 23:00:00", "2001-01-02", "2001-01-05"]).write.mode("append").parquet(source)
-    assert run_daily(spark, source, out, progress) == {"2001-01-01": 2, "2001-01-02": 1}
+    assert run_daily(spark, source, out, progress) == {"2001-01-01": 2, "2001-01-02": 1, "2001-01-05": 1}
     # A restart without new files adds nothing.
-    assert run_daily(spark, source, out, progress) == {"2001-01-01": 2, "2001-01-02": 1}
-    # A row for a closed day is late; new days close the open one.
+    assert run_daily(spark, source, out, progress) == {"2001-01-01": 2, "2001-01-02": 1, "2001-01-05": 1}
+    # A row for an old day counts for that day, in a second and a third delivery.
     scores(spark, ["2001-01-01", "2001-01-05 10:00:00", "2001-01-09"]).write.mode("append").parquet(source)
-    assert run_daily(spark, source, out, progress) == {"2001-01-01": 2, "2001-01-02": 1, "2001-01-05": 2}
+    want = {"2001-01-01": 3, "2001-01-02": 1, "2001-01-05": 2, "2001-01-09": 1}
+    assert run_daily(spark, source, out, progress) == want
+    scores(spark, ["2000-12-31", "2001-01-02"]).write.mode("append").parquet(source)
+    want |= {"2000-12-31": 1, "2001-01-02": 2}
+    assert run_daily(spark, source, out, progress) == want
+    # All deliveries together equal one batch over the table.
+    whole = daily.daily_parts(spark.read.parquet(source)).collect()
+    assert {str(r["report_date"]): r["total_assessments"] for r in whole} == want
+    assert all(r["avg_risk_score"] == 70.0 for r in daily.read_daily(spark, out).collect())
+
+
+def test_no_scores_yet(spark, tmp_path):
+    source, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    scores(spark, []).write.parquet(source)
+    assert run_daily(spark, source, out, progress) == {}
 
 
 def test_days_do_not_depend_on_the_session_zone(spark, tmp_path):
@@ -41,7 +54,7 @@ def test_days_do_not_depend_on_the_session_zone(spark, tmp_path):
     try:
         source, out, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
         scores(spark, ["2001-01-01", "2001-01-01 23:00:00", "2001-01-05"]).write.parquet(source)
-        assert run_daily(spark, source, out, progress) == {"2001-01-01": 2}
+        assert run_daily(spark, source, out, progress) == {"2001-01-01": 2, "2001-01-05": 1}
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
