@@ -10,21 +10,24 @@ similarity of the two texts' anchors (exact for up to 64 anchors together), with
 error of at most 0.0625.
 
 The edited text of a document is its text with the last half replaced by the start of the next
-document's. Next documents are found on ids alone, in range runs; texts are shuffled once.
+document's. Ids are cut into runs, ranges of about 2,000 documents; each run gets a copy of the
+first document of the run after it, so that texts are shuffled once, by run. Rows that share an
+id would make a run as large as they are many: one of them stands for the id in its run, and
+all of them meet their next document in a join.
 
 Cases: a null text is empty; a text below k code points has one anchor, the whole of it, and
 an empty text has none; two texts without anchors are alike (1), one without and one with are
-not (0). Rows may share an id: they have one next document, and as a next document that id is
-the row whose text has the lowest hash. A null id comes after all others. A single id is its
-own next document. No documents give no rows.
+not (0). Rows that share an id have one next document, and as a next document that id is the
+row whose text has the lowest hash. A null id comes after all others. A single id is its own
+next document. No documents give no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lendwell.llm.common import text_of
+from lendwell.llm.common import small_side, text_of
 from lendwell.operators.ordered import in_runs, neighbour
 from lendwell.session import checkpointed
 
@@ -32,6 +35,8 @@ INNER = 5
 INNER_COUNT = 8  # inner substrings of a k-mer
 KMER = INNER + INNER_COUNT - 1
 SKETCH = 64
+RUN_ROWS = 2000
+COARSE_RUNS = 64
 
 
 def anchor_expression(text: str) -> str:
@@ -99,56 +104,102 @@ def id_key(doc_id: str) -> Column:
     return F.coalesce(F.col(doc_id).cast("string"), F.lit("none"))
 
 
-def next_ids(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """``doc_key, next_key`` for each id, and the hash of the text that stands for a repeated id."""
-    ids = checkpointed(
-        docs.groupBy("doc_id").agg(
-            F.count(F.lit(1)).alias("id_rows"), F.min(F.xxhash64(text_of("text"))).alias("id_text")
-        )
+def run_of(ids: DataFrame, count: int) -> Column:
+    """Number of the run that an id falls into: ascending with the ids, -1 for null."""
+    parts = min(COARSE_RUNS, -(-count // RUN_ROWS))
+    shares = [i / parts for i in range(1, parts)]
+    low, high, *inner = ids.agg(
+        F.min("doc_id"), F.max("doc_id"), *[F.percentile_approx("doc_id", share, 1000) for share in shares]
+    ).first()
+    doc_id = F.col("doc_id")
+    if low is None:
+        return F.lit(-1).cast("long")
+    borders = sorted({low, *inner, high + 1})
+    fine = -(-count // (parts * RUN_ROWS))
+    run = F.lit(-1)
+    for i, (start, end) in enumerate(zip(borders, borders[1:])):
+        within = F.floor((doc_id - start).cast("double") / F.lit(float(end - start)) * fine)
+        run = F.when(doc_id >= start, i * fine + F.least(within, F.lit(fine - 1))).otherwise(run)
+    return F.when(doc_id.isNull(), -1).otherwise(run).cast("long")
+
+
+def neighbours(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Add ``next_body, next_sketch`` to rows (sketched) that have an id each to themselves."""
+    run = run_of(ids, ids.count())
+    firsts = ids.groupBy(run.alias("run")).agg(F.max("doc_id").alias("first_id"))
+    # One row per run; the first document of a run is copied to the run before it, in descending order.
+    around = Window.orderBy(F.col("run").desc())
+    borders = checkpointed(
+        firsts.withColumn("to_run", F.lag("run").over(around)).withColumn("lowest", F.min("run").over(Window.partitionBy()))
+    ).select("run", "first_id", F.coalesce("to_run", "lowest").alias("to_run"))
+    copies = F.when(
+        F.col("doc_id").eqNullSafe(F.col("first_id")),
+        F.array(F.struct(F.col("run"), F.lit(False).alias("copy")), F.struct(F.col("to_run").alias("run"), F.lit(True).alias("copy"))),
+    ).otherwise(F.array(F.struct(F.col("run"), F.lit(False).alias("copy"))))
+    dealt = (
+        rows.withColumn("run", run)
+        .join(small_side(borders, borders.count()), "run")
+        .withColumn("place", F.explode(copies))
+        .select(*rows.columns, "place.run", "place.copy")
     )
+    inside = Window.partitionBy("run").orderBy("copy", F.col("doc_id").desc_nulls_last())
+    return dealt.withColumns(
+        {"next_body": F.lead("body").over(inside), "next_sketch": F.lead("sketch").over(inside)}
+    ).filter(~F.col("copy")).select(*rows.columns, "next_body", "next_sketch")
+
+
+def by_join(rows: DataFrame, ids: DataFrame, shared: DataFrame) -> DataFrame:
+    """Add ``next_body, next_sketch`` to the rows whose id is shared; rows of one id are a skewed join's."""
     last = ids.agg(F.max("doc_id")).first()[0]
     runs = in_runs(ids.select("doc_id", F.lit(1).alias("here")), [], ["doc_id"])
     before = neighbour(runs, [], ["doc_id"], ["doc_id", "here"])
     wrapped = F.lit("none" if last is None else str(last))
-    mapping = before.select(
-        id_key("doc_id").alias("doc_key"),
-        F.when(F.col("near_here").isNull(), wrapped).otherwise(id_key("near_doc_id")).alias("next_key"),
+    following = F.when(F.col("near_here").isNull(), wrapped).otherwise(id_key("near_doc_id"))
+    mapping = before.select(id_key("doc_id").alias("doc_key"), following.alias("next_key")).join(
+        shared.select("doc_key"), "doc_key", "left_semi"
     )
-    repeated = ids.filter("id_rows > 1").select(id_key("doc_id").alias("body_key"), "id_text")
-    return checkpointed(mapping), repeated if repeated.head(1) else None
+    after = standing(rows, shared).select(
+        id_key("doc_id").alias("next_key"), F.col("body").alias("next_body"), F.col("sketch").alias("next_sketch")
+    )
+    found = mapping.join(after, "next_key").drop("next_key")
+    return rows.withColumn("doc_key", id_key("doc_id")).join(found, "doc_key").drop("doc_key")
+
+
+def standing(rows: DataFrame, shared: DataFrame | None) -> DataFrame:
+    """One row per id: of a shared id the one whose text has the lowest hash."""
+    if shared is None:
+        return rows
+    marked = rows.withColumn("doc_key", id_key("doc_id")).join(shared, "doc_key", "left")
+    single = marked.filter("id_text IS NULL")
+    chosen = marked.filter(F.xxhash64("body") == F.col("id_text")).dropDuplicates(["doc_key"])
+    return single.unionByName(chosen).select(*rows.columns)
 
 
 def compared(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how alike they and the next text's are."""
-    mapping, repeated = next_ids(docs)
-    rows = sketched(docs)
-    after = rows.select(
-        id_key("doc_id").alias("body_key"), F.col("body").alias("next_body"), F.col("sketch").alias("next_sketch")
-    )
-    if repeated is not None:
-        chosen = F.col("id_text").isNull() | (F.xxhash64("next_body") == F.col("id_text"))
-        after = after.join(repeated, "body_key", "left").filter(chosen).drop("id_text").dropDuplicates(["body_key"])
-    kept = rows.select(
-        "doc_id",
-        "n_chars",
-        "kept_chars",
-        F.substring("body", F.lit(1), F.col("kept_chars")).alias("kept"),
-        "sketch",
-        "kept_sketch",
-        id_key("doc_id").alias("doc_key"),
-    ).join(mapping, "doc_key")
-    joined = kept.join(after, F.col("next_key") == F.col("body_key")).withColumn(
-        "inserted", F.substring("next_body", F.lit(1), (F.col("n_chars") - F.col("kept_chars")).cast("int"))
+    ids = checkpointed(
+        docs.groupBy("doc_id").agg(
+            F.count(F.lit(1)).alias("id_rows"), F.min(F.xxhash64(text_of("text"))).alias("id_text")
+        )
     )
-    seam = f"concat(right(kept, {KMER - 1}), inserted)"
-    edited = joined.select(
+    shared = ids.filter("id_rows > 1").select(id_key("doc_id").alias("doc_key"), "id_text")
+    shared = shared if shared.head(1) else None
+    rows = sketched(docs)
+    joined = neighbours(standing(rows, shared), ids)
+    if shared is not None:
+        alone = joined.withColumn("doc_key", id_key("doc_id")).join(shared, "doc_key", "left_anti")
+        joined = alone.drop("doc_key").unionByName(by_join(rows, ids, shared))
+    kept = F.substring("body", F.lit(1), F.col("kept_chars"))
+    inserted = F.substring("next_body", F.lit(1), (F.col("n_chars") - F.col("kept_chars")).cast("int"))
+    parts = joined.withColumns({"kept": kept, "inserted": inserted}).drop("body", "next_body")
+    edited = parts.select(
         "doc_id",
         "n_chars",
         "sketch",
         "next_sketch",
-        F.concat("kept", "inserted").alias("edited"),
         "kept_sketch",
-        F.expr(anchor_expression(seam)).alias("anchors"),
+        F.concat("kept", "inserted").alias("edited"),
+        F.expr(anchor_expression(f"concat(right(kept, {KMER - 1}), inserted)")).alias("anchors"),
     )
     merged = edited.select(
         "doc_id",
