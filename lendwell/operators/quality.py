@@ -183,8 +183,10 @@ def row_checks(
     def message(i: int, rule: Rule) -> Column:
         bad = F.col(f"rule_{i}")
         if rule.check == "missing_values":
-            share = ratio(bad, F.col("total")) * 100
-            return F.when(bad > 0, F.format_string(f"{rule.name} has %.2f%% missing values", share))
+            share = ratio(bad, F.col("total"))
+            text = F.format_string(f"{rule.name} has %.2f%% missing values", share * 100)
+            limit = F.when(share > threshold, f" (threshold: {threshold:.2%})").otherwise("")
+            return F.when(bad > 0, F.concat(text, limit))
         return F.when(bad > 0, F.concat_ws(" ", bad.cast("string"), F.lit(rule.text)))
 
     def check_row(name: str) -> Column:
@@ -326,10 +328,15 @@ def outlier_counts(df: DataFrame, table: str, columns: Sequence[str]) -> DataFra
 
 def check_anomalies(df: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:
     """Warn about columns where outliers exceed five percent of the rows."""
+    return anomaly_check(outlier_counts(df, table, columns))
+
+
+def anomaly_check(counts: DataFrame) -> DataFrame:
+    """The check row of a table's outlier counts."""
     percent = ratio(F.col("bad_rows"), F.col("total_rows")) * 100
     text = F.format_string("%s: %d outliers (%.2f%%)", "rule", "bad_rows", percent)
     # One row per column of the table.
-    found = outlier_counts(df, table, columns).groupBy("table_name").agg(
+    found = counts.groupBy("table_name").agg(
         F.array_sort(F.collect_list(F.when(percent > OUTLIER_SHARE, text))).alias("hits")
     )
     return found.select(

@@ -108,29 +108,46 @@ def run_summary(
 def daily_run(
     spark: SparkSession, staging: str, root: str, at: dt.datetime, version: str = scoring.MODEL_VERSION
 ) -> dict:
-    """Run the jobs in order; a failed quality check stops the run."""
+    """Run the jobs in order; a failed quality check stops the run.
+
+    The summary is written to ``run_summary`` whatever happened, as a last step; after a failed
+    step it says so, holds what there is, and the error goes on to the caller.
+    """
     data = tables.read_staging(spark, staging)
     four = [data[k] for k in ("customers", "credit_history", "transactions", "loan_applications")]
+    customers, credit = four[0], four[1]
     newest = quality.latest_timestamps(*four).first().asDict()
     if newest["latest_customer"] is None:
         raise ValueError("no data in the staging tables")
-    customers, credit = four[0], four[1]
-    checks = quality.check_missing_values(customers, "customers", 0.1)
-    for other in (
-        quality.duplicates(customers, "customers", ["customer_id"]),
-        quality.check_business_rules(customers, "customers"),
-        quality.check_missing_values(credit, "credit_history", 0.1),
-        quality.check_business_rules(credit, "credit_history"),
-        quality.referential_integrity(
-            customers, credit, "customer_id", "customer_id", quality.RELATIONS[0]
-        ),
-    ):
-        checks = checks.unionByName(other)
-    passed = quality.gate(checks)
-    features = f"{root}/risk_features"
-    counted = build_features(spark, staging, features)
-    metrics = train(spark, features, f"{root}/models")
-    added = score(spark, features, f"{root}/models/model", f"{root}/risk_scores", at, version)
-    return {
-        "newest": newest, "quality": passed, "features": counted, "metrics": metrics, "predictions": added
-    }
+
+    def checked(df: DataFrame, table: str) -> DataFrame:
+        rules = quality.missing_rules(df) + quality.business_rules(table)
+        return quality.row_checks(df, table, ["missing_values", "business_rules"], rules, 0.1)
+
+    relation = quality.RELATIONS[0]
+    checks = (
+        checked(customers, "customers")
+        .unionByName(checked(credit, "credit_history"))
+        .unionByName(quality.duplicates(customers, "customers", ["customer_id"]))
+        .unionByName(quality.referential_integrity(customers, credit, "customer_id", "customer_id", relation))
+    )
+    features, predictions = f"{root}/risk_features", f"{root}/risk_scores"
+    made = spark.createDataFrame([], "loan_id bigint")
+    model = tables.metadata_row(spark, 0, SERVING_MODEL, version, {}, [], at).limit(0)
+    result: dict = {"newest": newest}
+    status = "success"
+    try:
+        result["quality"] = quality.gate(checks)
+        result["features"] = build_features(spark, staging, features)
+        made = tables.read_features(spark, features)
+        result["metrics"] = train(spark, features, f"{root}/models")
+        model = tables.metadata_row(spark, 0, SERVING_MODEL, version, result["metrics"], training.FEATURES, at)
+        result["predictions"] = score(spark, features, f"{root}/models/model", predictions, at, version)
+    except Exception as error:
+        status = f"failed: {error}"
+        raise
+    finally:
+        stored = tables.read_predictions(spark, predictions, at.date())
+        summary = run_summary(checks, made, model, stored, at.date())
+        tables.write_json(summary.withColumn("status", F.lit(status)), f"{root}/run_summary")
+    return result

@@ -55,22 +55,6 @@ def training_rows(features: DataFrame) -> DataFrame:
     return stratified_split(rows, "label", "loan_id", TEST_SHARE, SEED)
 
 
-def label_encoded(features: DataFrame) -> DataFrame:
-    """Encoded categories without a model: position of the value in alphabetical order.
-
-    Each column's few distinct values are gathered once and looked up per row.
-    """
-    rows = model_inputs(features, "loan_id")
-    domains = rows.agg(
-        F.struct(*[F.array_sort(F.collect_set(c)).alias(c) for c in CATEGORICAL_FEATURES]).alias("d")
-    ).scalar()
-    codes = {
-        f"{c}_encoded": (F.array_position(F.col(f"_domains.{c}"), F.col(c)) - 1).cast("int")
-        for c in CATEGORICAL_FEATURES
-    }
-    return rows.withColumn("_domains", domains).withColumns(codes).drop("_domains")
-
-
 def assembly(scaled: bool = False) -> list:
     stages = [
         StringIndexer(

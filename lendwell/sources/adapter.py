@@ -92,6 +92,8 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
         "loan_term_months": "CASE WHEN o_orderkey % 40 = 0 THEN NULL WHEN o_orderkey % 190 = 0 THEN '30' "
                             "WHEN o_orderkey % 230 = 0 THEN 'long' "
                             "ELSE CAST(12 * (1 + o_orderkey % 6) AS STRING) END",
+        "loan_purpose": "CASE substr(o_orderpriority,1,1) WHEN '1' THEN 'Home' WHEN '2' THEN 'Auto' "
+                        "WHEN '3' THEN 'Personal' WHEN '4' THEN 'Education' ELSE NULL END",
     }),
     # Customers with repeated, missing and unknown keys, wrong ages and extreme incomes.
     "dirty_customers": ("customer", {

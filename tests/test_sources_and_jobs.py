@@ -47,6 +47,9 @@ def test_daily_run_twice(spark, staging, tmp_path, monkeypatch):
     result = jobs.daily_run(spark, staging, str(tmp_path), AT)
     assert result["features"] == 1500 and result["predictions"] == 1500
     assert result["quality"]["failures"] == 0
+    summary = spark.read.json(f"{tmp_path}/run_summary").first()
+    assert (summary["status"], summary["features_generated"], summary["new_predictions"]) == ("success", 1500, 1500)
+    assert summary["failures"] == 0 and summary["auc_roc"] == result["metrics"]["auc_roc"]
     stored = tables.read_predictions(spark, f"{tmp_path}/risk_scores")
     assert stored.filter(F.col("prediction_day") == dt.date(2001, 8, 2)).count() == 1500
     features, model = f"{tmp_path}/risk_features", f"{tmp_path}/models/model"
@@ -66,6 +69,9 @@ def test_failed_quality_stops_the_run(spark, small, tmp_path):
     tables.overwrite_staging(dict(zip(schemas.STAGING, small.staging)), root)
     with pytest.raises(DataQualityError):
         jobs.daily_run(spark, root, str(tmp_path), AT)
+    summary = spark.read.json(f"{tmp_path}/run_summary").first()
+    assert summary["status"].startswith("failed: ") and summary["failures"] == 1
+    assert summary["features_generated"] == 0 and "auc_roc" not in summary
 
 
 def test_predictions_are_stored_once(spark, tmp_path):

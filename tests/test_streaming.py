@@ -1,5 +1,7 @@
 """Streams equal their batch twins, survive restarts and count late rows."""
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from lendwell.sources.adapter import stream, view
 from lendwell.streaming import daily, scoring
 from conftest import SMALL
 
+AT = dt.datetime(2001, 8, 2, 12, 0)
 SCORES = "prediction_date timestamp_ntz, risk_category string, risk_score double, default_probability double"
 
 
@@ -73,13 +76,16 @@ def test_request_stream_equals_batch(spark, small, model, tmp_path):
     out, progress = str(tmp_path / "out"), str(tmp_path / "progress")
 
     def run():
-        scoring.score_stream(stream(spark, SMALL, "requests"), model, people, out, progress).awaitTermination()
+        scoring.score_stream(stream(spark, SMALL, "requests"), model, people, out, progress, AT).awaitTermination()
         return spark.read.parquet(out).drop("batch")
 
-    batch = scoring.responses(model, rq.request_features(view(spark, SMALL, "requests"), people))
+    batch = scoring.responses(model, rq.request_features(view(spark, SMALL, "requests"), people), AT)
     columns = sorted(batch.columns)
     expected = sorted(map(str, batch.select(columns).collect()))
     assert sorted(map(str, run().select(columns).collect())) == expected
     assert sorted(map(str, run().select(columns).collect())) == expected
+    assert {r["timestamp"] for r in batch.select("status", "timestamp").filter("status = 'success'").collect()} == {AT}
+    # The purpose of a request reaches the model.
+    assert batch.count() == view(spark, SMALL, "requests").count()
     failed = batch.filter("status = 'error'")
-    assert failed.filter("risk_score IS NOT NULL OR message IS NULL").count() == 0
+    assert failed.filter("risk_score IS NOT NULL OR message IS NULL OR timestamp IS NOT NULL").count() == 0

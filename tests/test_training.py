@@ -106,15 +106,6 @@ def test_explanation_shows_values_of_the_top_features(forest, features):
     assert training.explain(forest, features, top=None).filter("loan_id = 7").count() == 20
 
 
-def test_encoding_matches_the_models(rows, features):
-    """Labels found without a model are those of the fitted encoding."""
-    fitted = rows.preparation.transform(training.model_inputs(features, "loan_id"))
-    pairs = fitted.select("loan_id", *[F.col(c).alias(f"m_{c}") for c in training.ENCODED]).join(
-        training.label_encoded(features), "loan_id")
-    for column in training.ENCODED:
-        assert pairs.filter(F.col(column) != F.col(f"m_{column}")).count() == 0
-
-
 def test_balanced_weights(rows):
     weighted = training.with_class_weights(rows.train)
     sums = [r["s"] for r in weighted.groupBy("label").agg(F.sum("weight").alias("s")).collect()]
