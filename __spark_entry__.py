@@ -157,7 +157,8 @@ TABLE_QUERIES: dict[str, Callable[[LendingTables], DataFrame]] = {
     "fq_recent_loans": lambda t: fq.recent_loans(t.loan_applications),
     "fq_utilization_trend": lambda t: rounded(fq.utilization_trend(t.credit_history), {"avg_utilization": 6}),
     "fq_high_risk_customers": lambda t: rounded(
-        fq.high_risk_customers(stored_features(t), t.risk_scores, AS_OF), {"delinquency_score": 6}),
+        fq.high_risk_customers(stored_features(t), t.risk_scores, AS_OF, loans=t.loan_applications),
+        {"delinquency_score": 6}),
     "fq_loan_capacity": lambda t: rounded(
         fq.loan_capacity(t.customers), {"max_recommended_loan": 4, "max_monthly_payment": 4}),
     "fq_retraining_set": lambda t: fq.retraining_set(t.customers, t.credit_history, t.loan_applications, AS_OF),

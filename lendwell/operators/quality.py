@@ -300,6 +300,47 @@ def referential_integrity(
     )
 
 
+def key_checks(
+    parent: DataFrame, children: dict[str, tuple[str, DataFrame]], key: str, parent_name: str,
+    unique: Sequence[str],
+) -> DataFrame:
+    """Duplicate and integrity checks of a parent and its children, from one grouping by key.
+
+    ``children`` maps a relation's name to its table's name and frame; ``unique`` names the tables in
+    which the key must not repeat. Each table is read once.
+    """
+    tables = [(parent_name, parent), *children.values()]
+    keys = reduce(
+        DataFrame.unionByName,
+        [df.select(F.col(key).alias("key"), F.lit(i).alias("source")) for i, (_, df) in enumerate(tables)],
+    )
+    names = [name for name, _ in tables]
+    per_key = keys.groupBy("key").agg(*[F.count_if(F.col("source") == i).alias(f"n{i}") for i in range(len(tables))])
+    repeated = {
+        name: F.coalesce(F.sum(F.when(F.col(f"n{i}") > 1, F.col(f"n{i}"))), F.lit(0)).alias(f"repeated_{i}")
+        for i, name in enumerate(names)
+        if name in unique
+    }
+    orphans = [F.count_if((F.col(f"n{i}") > 0) & (F.col("n0") == 0)).alias(f"orphans_{i}") for i in range(1, len(tables))]
+    found = per_key.agg(*repeated.values(), *orphans)
+
+    def row(check: str, subject: str, column: str, text: Column) -> Column:
+        bad = F.col(column)
+        status = F.when(bad > 0, "fail").otherwise("pass")
+        return F.struct(*as_check(check, F.lit(subject), status, bad, F.when(bad > 0, text).otherwise("")))
+
+    rows = [
+        row("duplicates", name, f"repeated_{names.index(name)}",
+            F.concat(F.lit(f"{name} has "), F.col(f"repeated_{names.index(name)}"), F.lit(" duplicate records")))
+        for name in repeated
+    ] + [
+        row("referential_integrity", relation, f"orphans_{i}",
+            F.concat(F.lit(f"{relation}: "), F.col(f"orphans_{i}"), F.lit(" orphaned records found")))
+        for i, relation in enumerate(children, 1)
+    ]
+    return found.select(F.inline(F.array(*rows)))
+
+
 def outlier_counts(df: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:
     """Rows more than three sample deviations from the mean, per numeric column.
 
@@ -418,12 +459,13 @@ def suite(
         rows_of(customers, "customers"),
         rows_of(credit, "credit_history"),
         rows_of(loans, "loan_applications"),
-        duplicates(customers, "customers", [key]),
-        duplicates(credit, "credit_history", [key]),
-        *[
-            referential_integrity(customers, child, key, key, relation)
-            for child, relation in zip((credit, transactions, loans), RELATIONS)
-        ],
+        key_checks(
+            customers,
+            dict(zip(RELATIONS, (
+                ("credit_history", credit), ("transactions", transactions), ("loan_applications", loans),
+            ))),
+            key, "customers", ("customers", "credit_history"),
+        ),
     ]
     return reduce(DataFrame.unionByName, checks)
 

@@ -115,13 +115,15 @@ def utilization_trend(credit: DataFrame) -> DataFrame:
 
 
 def high_risk_customers(
-    features: DataFrame, scores: DataFrame, as_of: dt.date | None = None, limit: int = 100
+    features: DataFrame, scores: DataFrame, as_of: dt.date | None = None, limit: int = 100,
+    loans: DataFrame | None = None,
 ) -> DataFrame:
     """Highest recent scores beside every feature row of their customer.
 
     Each score with a feature row yields at least one result, so the best ``limit``
     scores are enough; of each customer's feature rows no more than ``limit`` can
-    appear. Neither side is paired in full.
+    appear. Neither side is paired in full. A customer has a feature row if they have a
+    loan: with ``loans`` their keys decide, and the feature table is built once.
     """
     c = F.col
     recent = scores.filter(
@@ -129,7 +131,8 @@ def high_risk_customers(
     ).select(KEY, "prediction_id", "risk_score", "risk_category")
     best = top_per_key(recent, [KEY], [last_first("risk_score"), c("prediction_id")], limit)
     ranked = [last_first("risk_score"), c(KEY), c("prediction_id")]
-    best = best.join(features.select(KEY).distinct(), KEY, "left_semi").orderBy(*ranked).limit(limit)
+    owners = features if loans is None else loans
+    best = best.join(owners.select(KEY).distinct(), KEY, "left_semi").orderBy(*ranked).limit(limit)
     wanted = features.select(KEY, "loan_id", "credit_score", "debt_to_income", "delinquency_score")
     # ``best`` holds at most ``limit`` rows.
     held = wanted.join(F.broadcast(best.select(KEY).distinct()), KEY, "left_semi")

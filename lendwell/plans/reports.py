@@ -297,20 +297,37 @@ def potential_loss(
 ) -> DataFrame:
     """Largest loan amount times default probability over all loan and score pairs.
 
-    Within a customer the pair of the i-th largest loan and the j-th largest
-    probability has at least i*j - 1 pairs before it, so pairs with i*j above
-    ``limit`` cannot be in the result and are never formed.
+    The largest loan with the largest probability is a customer's best pair. Only the
+    ``limit`` customers with the best ones can be in the result; loans and scores of all
+    others are left out before pairing. Within a customer the pair of the i-th largest loan
+    and the j-th largest probability has at least i*j - 1 pairs before it, so pairs with i*j
+    above ``limit`` are filtered out; at most ``limit`` customers form up to limit * limit.
     """
     c = F.col
     known = c(KEY).isNotNull()
+    all_large = loans.filter(known & (c("loan_amount") > 50000)).select(KEY, "loan_id", "loan_amount")
+    all_risky = (
+        since(scores, days_before(as_of, 30))
+        .filter(known & c("risk_category").isin("Medium", "High"))
+        .select(KEY, "prediction_id", "risk_score", "risk_category", "default_probability")
+    )
+    most, chance = c("most"), c("chance")
+    best = (
+        all_large.groupBy(KEY).agg(F.max("loan_amount").alias("most"))
+        .join(all_risky.groupBy(KEY).agg(F.max("default_probability").alias("chance")), KEY)
+        .join(customers.select(KEY), KEY, "left_semi")
+        .join(credit.select(KEY), KEY, "left_semi")
+        .orderBy((most * chance).desc_nulls_last(), most.desc(), chance.desc_nulls_last(), KEY)
+        .limit(limit)
+        .select(KEY)
+    )
+    # ``best`` holds at most ``limit`` rows.
     large = top_per_key(
-        loans.filter(known & (c("loan_amount") > 50000)).select(KEY, "loan_id", "loan_amount"),
+        all_large.join(F.broadcast(best), KEY, "left_semi"),
         [KEY], [c("loan_amount").desc(), c("loan_id")], limit, rank="loan_rank",
     )
     risky = top_per_key(
-        since(scores, days_before(as_of, 30))
-        .filter(known & c("risk_category").isin("Medium", "High"))
-        .select(KEY, "prediction_id", "risk_score", "risk_category", "default_probability"),
+        all_risky.join(F.broadcast(best), KEY, "left_semi"),
         [KEY], [c("default_probability").desc_nulls_last(), c("prediction_id")], limit, rank="score_rank",
     )
     records = top_per_key(
