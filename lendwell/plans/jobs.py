@@ -89,7 +89,8 @@ def run_summary(
     as_of: dt.date | None = None,
 ) -> DataFrame:
     """One row: check totals, feature rows, newest model and scores of the day."""
-    model = scoring.latest_model(metadata)
+    shown = ("algorithm", "accuracy", "auc_roc")
+    model = scoring.latest_model(metadata).select(F.struct(*shown).alias("model")).scalar()
     of_the_day = scores.filter(F.col("prediction_date") >= day(as_of))
     total = F.count(F.lit(1))
     return (
@@ -98,10 +99,12 @@ def run_summary(
         .withColumns(
             {
                 "features_generated": features.agg(total).scalar(),
-                **{c: model.select(c).scalar() for c in ("algorithm", "accuracy", "auc_roc")},
+                "model": model,
                 "new_predictions": of_the_day.agg(total).scalar(),
             }
         )
+        .select("*", *[F.col(f"model.{c}").alias(c) for c in shown])
+        .drop("model")
     )
 
 

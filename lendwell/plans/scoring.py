@@ -82,11 +82,10 @@ def scored_loans(loans: DataFrame, scores: DataFrame) -> DataFrame:
 def metadata_from_outcomes(scored: DataFrame) -> DataFrame:
     """Model metadata of every version, measured on the outcomes of the loans it scored."""
     by_version = scored.withColumn(MODEL, F.col("model_version"))
-    month = F.date_trunc("month", F.min("prediction_date")).cast("timestamp_ntz")
-    trained = by_version.groupBy(MODEL).agg(month.alias("training_date"))
+    month = F.date_trunc("month", "prediction_date").cast("timestamp_ntz")
     return (
-        report(by_version)
-        .join(trained, MODEL)
+        report(by_version, least="prediction_date")
+        .withColumn("training_date", month)
         .select(
             (F.year("training_date") * 100 + F.month("training_date")).alias("model_id"),
             F.lit("Risk Prediction Model").alias("model_name"),
