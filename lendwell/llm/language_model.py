@@ -14,7 +14,8 @@ than 0.00025. A start mark is the context of a text's first word; the end mark i
 
 Cases: a null or empty text has one token, the end; a null id counts as the text '' when
 training texts are chosen; without training texts all counts are 0; repeated rows each count and
-each get a row; very long texts make batches of their own. Words are told apart by 64-bit hashes.
+each get a row; very long texts make batches of their own. Words are told apart by 64-bit hashes,
+successors of a context by 48 bits of them.
 No documents give no rows.
 """
 
@@ -31,14 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lendwell.llm.common import text_of
+from lendwell.llm.common import release, text_of
 from lendwell.llm.elias_fano import Trie
 from lendwell.llm.words import mixed, words_of
 from lendwell.session import checkpointed
 
 PRIOR = 200.0
-BATCH_BYTES = 10 << 20
-PIECE_BYTES = 2 << 20
+BATCH_BYTES = 8 << 20
+PIECE_BYTES = 1 << 20
 SHARD_TOKENS = 500_000
 # Contexts with this share of the tokens of a sample are spread; at most 1 / share of them.
 FREQUENT, SAMPLE_DOCS = 0.0005, 3000
@@ -66,6 +67,17 @@ def restored(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(size, -1).T).reshape(-1).view(kind)
 
 
+def shortened(hashes: np.ndarray) -> bytes:
+    """Six bytes of each hash: enough to tell the successors of one context apart."""
+    return np.ascontiguousarray(hashes.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def lengthened(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view(np.uint64)
+
+
 def quantised(chance: np.ndarray) -> np.ndarray:
     """Codes from 1: the root of -log10, so that steps are finest where probabilities are high."""
     return 1 + np.rint(np.sqrt((np.log10(chance) / LOWEST).clip(0, 1)) * CODES).astype(np.uint16)
@@ -215,7 +227,7 @@ def messages(shards: int, spread: np.ndarray):
                             batch.words[own].tobytes(),
                             squeezed(word_counts[own].astype(np.uint32)),
                             squeezed(sizes.astype(np.uint32)),
-                            batch.words[batch.successors[pairs]].tobytes(),
+                            shortened(batch.words[batch.successors[pairs]]),
                             squeezed(pair_counts[pairs].astype(np.uint32)),
                         )
                     )
@@ -241,7 +253,7 @@ def answered(shards: int, spread: np.ndarray, spread_totals: np.ndarray, prior:
         shard = int(frame["shard"].iloc[0])
         contexts = [np.frombuffer(c, np.uint64) for c in frame["contexts"]]
         sizes = [restored(c, np.uint32).astype(np.int64) for c in frame["sizes"]]
-        successors = [np.frombuffer(c, np.uint64) for c in frame["successors"]]
+        successors = [lengthened(c) for c in frame["successors"]]
         word_counts = [restored(c, np.uint32).astype(np.int64) for c in frame["counts"]]
         pair_counts = np.concatenate([restored(c, np.uint32).astype(np.int64) for c in frame["pair_counts"]])
         known, total = summed(np.concatenate([*contexts, spread]), np.concatenate([*word_counts, spread_totals]))
@@ -347,6 +359,7 @@ def scored(docs: DataFrame, prior: float = PRIOR) -> DataFrame:
         .groupBy("shard")
         .applyInPandas(answered(shards, spread, totals, prior), REPLY_SCHEMA)
     )
+    release(rows.sparkSession)
     sums = replies.groupBy("shard").agg(F.max("shard_tokens").alias("n"), F.max("shard_words").alias("v"))
     tokens, different = (x or 0 for x in sums.agg(F.sum("n"), F.sum("v")).first())
     # Names differ between the sides, as both come from the same batches.
