@@ -486,14 +486,22 @@ def entry(spark: SparkSession) -> DataFrame:
     return etl_risk_features(lending_tables(spark, "/root/testdata/sf0.001"))
 
 
+def present(module: str) -> bool:
+    """True if the module can be found; a left-over empty folder does not count."""
+    try:
+        return importlib.util.find_spec(module) is not None
+    except ModuleNotFoundError:
+        return False
+
+
 def training_data_queries() -> dict[str, Query]:
     """Queries of the optional subpackage for training data, and its pipeline."""
     found: dict[str, Query] = {}
-    if importlib.util.find_spec("lendwell.llm"):
+    if present("lendwell.llm.queries"):
         from lendwell.llm.queries import QUERIES
 
         found.update(QUERIES)
-    if importlib.util.find_spec("corpus_pipeline"):
+    if present("corpus_pipeline"):
         import corpus_pipeline
 
         found["pipeline"] = corpus_pipeline.run
@@ -501,7 +509,7 @@ def training_data_queries() -> dict[str, Query]:
 
 
 def training_data_sql() -> dict[str, str]:
-    if importlib.util.find_spec("lendwell.llm"):
+    if present("lendwell.llm.oracles"):
         from lendwell.llm.oracles import ORACLE_SQL
 
         return ORACLE_SQL
