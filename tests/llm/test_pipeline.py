@@ -1,3 +1,5 @@
+import random
+
 import __spark_entry__ as entry
 import corpus_pipeline
 
@@ -34,6 +36,33 @@ def test_stages_take_effect(spark):
     assert tokens.filter("parity AND restored").count() == sum(times.values())
 
 
+def near_copies_by_hand(rows):
+    """Least id of each group of texts with a 5-word Jaccard of at least 0.8, over all pairs."""
+    words = [text.split() for _, text in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in words]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and group[a] != group[b]:
+                group = [group[b] if g == group[a] else g for g in group]
+    return sorted(min(rows[i][0] for i in range(len(rows)) if group[i] == g) for g in set(group))
+
+
+def test_near_copies_by_five_words(spark):
+    rng = random.Random(7)
+    texts = []
+    for _ in range(8):
+        base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        texts.append(base)
+        for cut in (4, 16, 30, 60, 80):  # one run of words replaced, or words cut off
+            texts += [base[:50] + [f"x{rng.randrange(10**9)}" for _ in range(cut)] + base[50 + cut :], base[: 200 - cut]]
+        for changes in (2, 4, 8):
+            texts.append([w if i % (200 // changes) else f"y{rng.randrange(10**9)}" for i, w in enumerate(base)])
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), SMALL)
+    assert sorted(r["doc_id"] for r in got.collect()) == near_copies_by_hand(rows)
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SMALL).count() > 0
 
