@@ -3,9 +3,9 @@
 First pass: every page is parsed, its container elements are hashed bottom-up (tag, own text
 and child hashes), and Spark counts in how many different pages of a host each hash occurs.
 Pages with equal main text count once, so copies of one article do not turn it into a
-template. Second pass: subtrees that recur in a share of the host's pages are deleted, as are
-elements that by tag, role or class are no article text; what is left of the article becomes
-blocks.
+template. Second pass: subtrees that recur in a share of the host's pages, or in a number of
+pages that are no near copies of each other, are deleted, as are elements that by tag, role or
+class are no article text; what is left of the article becomes blocks.
 
 A page's article is its ``article`` elements, else its ``main`` element, else its body. Inside
 an article only containers can be templates; paragraphs, headings, lists and tables stay
@@ -22,6 +22,7 @@ import html as entities
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from fractions import Fraction
 
 import pandas as pd
 import xxhash
@@ -29,11 +30,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lendwell.llm.common import by_bytes, small_side
+from lendwell.llm.jaccard_join import linked
 from lendwell.session import checkpointed
 
-# A subtree is a template when it is in this share of a host's pages, and in so many at least.
+# A subtree is a template when it is in this share of a host's pages, and in so many at least,
 TEMPLATE_SHARE = 0.1
 TEMPLATE_PAGES = 5
+# or, on a host of any size, in so many pages whose texts are no near copies of each other.
+UNLIKE_PAGES = 20
+NEAR_SHINGLE, NEAR_THRESHOLD = 5, Fraction(4, 5)
 PIECE_CHARS = 16 << 20
 
 # Element names of HTML and words that name parts of a page.
@@ -236,11 +241,12 @@ def parse(source: str) -> Page:
 
 
 def subtrees(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Host, hash of the main text and container hashes of every page."""
+    """Page, host, hash of the main text and container hashes of every page."""
     for frame in by_bytes(frames, "html", PIECE_CHARS):
         pages = [parse(source or "") for source in frame["html"]]
         yield pd.DataFrame(
             {
+                "page": frame["page"],
                 "host": frame["host"],
                 "content": [xxhash.xxh64_intdigest(p.text()) >> 1 for p in pages],
                 "hashes": [sorted(set(p.hashes)) for p in pages],
@@ -266,15 +272,44 @@ def host_of(url: str) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(rest, r"^[^/?#]*", 0), F.lit("")))
 
 
+def main_texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Main text of every page with its hash."""
+    for frame in by_bytes(frames, "html", PIECE_CHARS):
+        texts = [parse(source or "").text() for source in frame["html"]]
+        yield pd.DataFrame({"content": [xxhash.xxh64_intdigest(t) >> 1 for t in texts], "text": texts})
+
+
+def unlike_pages(pages: DataFrame, holding: DataFrame) -> DataFrame:
+    """``host, hash, unlike``: in how many pages of ``holding`` (host, hash, page, content) that are no near copies.
+
+    Texts that the Jaccard join links, also by way of others, count once.
+    """
+    wanted = checkpointed(holding.select("page").distinct())
+    texts = checkpointed(
+        pages.join(small_side(wanted, wanted.count()), "page", "left_semi")
+        .select("html")
+        .mapInPandas(main_texts, "content long, text string")
+        .groupBy("content")
+        .agg(F.min("text").alias("text"))
+    )
+    group = F.coalesce("component", "doc_id").alias("group")
+    groups = linked(texts.withColumnRenamed("content", "doc_id"), NEAR_SHINGLE, NEAR_THRESHOLD).select(
+        F.col("doc_id").alias("content"), group
+    )
+    apart = holding.join(checkpointed(groups), "content").select("host", "hash", "group").distinct()
+    return apart.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("unlike"))
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """``host, templates``: hashes of the subtrees that recur across a host's pages.
+    """``page, templates``: each page's subtrees that recur on its host; pages without any have no row.
 
-    A host's list is short: with share s it holds at most 1/s times the mean number of
-    containers of a page.
+    ``pages`` has ``page`` (a hash of host and html), ``host`` and ``html``.
     """
-    found = pages.mapInPandas(subtrees, "host string, content long, hashes array<long>")
-    different = found.groupBy("host", "content").agg(F.min("hashes").alias("hashes"))
-    flat = different.select("host", F.explode(F.concat(F.array(F.lit(-1).cast("long")), "hashes")).alias("hash"))
+    found = checkpointed(pages.mapInPandas(subtrees, "page long, host string, content long, hashes array<long>"))
+    different = found.groupBy("host", "content").agg(F.min(F.struct("hashes", "page")).alias("least"))
+    flat = different.select(
+        "host", "content", "least.page", F.explode(F.concat(F.array(F.lit(-1).cast("long")), "least.hashes")).alias("hash")
+    )
     counts = checkpointed(
         flat.groupBy("host", "hash")
         .agg(F.count(F.lit(1)).alias("pages"))
@@ -282,13 +317,20 @@ def templates(pages: DataFrame) -> DataFrame:
     )
     # The hash -1 stands for the page itself.
     all_pages = counts.filter("hash = -1").select("host", F.col("pages").alias("all_pages"))
-    return (
-        counts.filter("hash <> -1")
-        .join(all_pages, "host")
-        .filter(F.col("pages") >= TEMPLATE_SHARE * F.col("all_pages"))
-        .groupBy("host")
-        .agg(F.sort_array(F.collect_set("hash")).alias("templates"))
+    recurring = counts.filter("hash <> -1").join(small_side(all_pages, all_pages.count()), "host")
+    by_share = F.col("pages") >= TEMPLATE_SHARE * F.col("all_pages")
+    known = recurring.filter(by_share).select("host", "hash")
+    open_ones = checkpointed(recurring.filter(~by_share & (F.col("pages") >= UNLIKE_PAGES)).select("host", "hash"))
+    number = open_ones.count()
+    if number:
+        holding = checkpointed(flat.join(small_side(open_ones, number), ["host", "hash"]))
+        enough = unlike_pages(pages, holding).filter(F.col("unlike") >= UNLIKE_PAGES)
+        known = known.union(enough.select("host", "hash"))
+    known = checkpointed(known)
+    own = found.select("page", "host", F.explode("hashes").alias("hash")).join(
+        small_side(known, known.count()), ["host", "hash"]
     )
+    return own.groupBy("page").agg(F.sort_array(F.collect_set("hash")).alias("templates"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -298,9 +340,9 @@ def main_text(pages: DataFrame) -> DataFrame:
         F.col("url").cast("string").alias("url"),
         host_of("url").alias("host"),
         F.col("html").cast("string").alias("html"),
-    )
-    by_host = checkpointed(templates(rows.select("host", "html")))
-    joined = rows.join(small_side(by_host, by_host.count()), "host", "left")
+    ).withColumn("page", F.xxhash64("host", "html"))
+    by_page = checkpointed(templates(rows.select("page", "host", "html")))
+    joined = rows.join(small_side(by_page, by_page.count()), "page", "left")
     return joined.select("page_id", "url", "html", "templates").mapInPandas(
         extracted, "page_id long, url string, text string, n_chars long"
     )

@@ -1,3 +1,5 @@
+import random
+
 from lendwell.llm import html_extract
 
 NAV = "<nav><ul><li><a href=/a>Home<li><a>News</ul></nav>"
@@ -55,6 +57,21 @@ def test_templates_go_and_copies_stay(spark):
     assert html_extract.main_text(pages_of(spark, [])).count() == 0
 
 
+def test_templates_of_few_pages_of_a_large_host(spark):
+    rng = random.Random(5)
+    words = lambda n: " ".join(f"w{rng.randrange(9000)}" for _ in range(n))
+    box = "<div><p>Tickets of the spring section are on sale</p></div>"
+    stories = [words(40) for _ in range(2000)]
+    rows = [(i, "http://big.org/", f"<body>{box if i % 50 == 0 else ''}<p>{s}</p></body>") for i, s in enumerate(stories)]
+    # Near copies of one article: its parts recur beside a line of their own.
+    parts = [words(60) for _ in range(3)]
+    article = "".join(f"<div><p>{p}</p></div>" for p in parts)
+    rows += [(5000 + i, "http://big.org/", f"<body>{article}<p>Copy {i}</p></body>") for i in range(60)]
+    got = {r["page_id"]: r["text"] for r in html_extract.main_text(pages_of(spark, rows)).collect()}
+    assert all(got[i] == s for i, s in enumerate(stories))
+    assert all(got[5000 + i] == "\n\n".join([*parts, f"Copy {i}"]) for i in range(60))
+
+
 def test_paragraphs_of_articles_are_no_templates(spark):
     rows = [(i, "http://h.org/", f"<article><p>Yes.</p><p>No {i}</p></article>") for i in range(30)]
     got = {r["page_id"]: r["text"] for r in html_extract.main_text(pages_of(spark, rows)).collect()}
