@@ -7,7 +7,8 @@ fallback. No piece of a model may hold the marker after another character; this
 and lets a text be cut before its spaces. Batches are encoded by the library's own threads.
 
 Parity: every different part is also encoded by the sentencepiece library; ``parity`` says that
-all parts of a text agree. ``restored`` says that decoding the ids gives the text again.
+all parts of a text agree. ``restored`` says that decoding the ids gives the text again, also by
+parts. Both hold for parts: the query compares no text as a whole; a test does.
 
 Cases: a null or empty text has no ids; a text with the marker character itself or, for models
 that change white space, with such white space is encoded and not restored; very long texts go

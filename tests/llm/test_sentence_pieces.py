@@ -2,6 +2,7 @@ import pytest
 import sentencepiece
 
 from lendwell.llm import sentence_pieces as s
+from lendwell.llm.common import table
 
 ODD = [
     "", " ", "  a  b ", "\n\n x", "日本語 test 🎉", "\x00a", "aaa aaaa aaaaaaaaaaaa", "\u00a0x", " lead", "trail  ", "end ",
@@ -25,6 +26,16 @@ def test_parity_and_round_trip(spark):
     assert sorted((str(r["doc_id"]), r["text"]) for r in back) == sorted((str(d), t or "") for d, t in rows)
 
 
+def test_whole_texts_of_a_table(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    got = {r["doc_id"]: r["ids"] for r in s.encoded(docs).collect()}
+    processor = sentencepiece.SentencePieceProcessor(model_file=s.MODEL_FILE)
+    assert got.keys() == texts.keys()
+    for doc, text in texts.items():
+        assert got[doc] == processor.encode(text) and processor.decode(got[doc]) == text, doc
+
+
 def test_marker_in_text_is_not_restored(spark):
     got = s.encoded(frame(spark, [(1, "a▁b")])).first()
     assert got["parity"] and not got["restored"]
