@@ -48,4 +48,34 @@ SELECT d.doc_id, d.size, p.source_size, p.target,
 FROM docs d JOIN plan p USING (k) JOIN placed g ON g.k = d.k AND g.h = d.h
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_mixing": MIXING}
+DECONTAMINATION = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM documents),
+items AS (
+    SELECT item_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark),
+sized AS (SELECT item_id, w, least(len(w), 10) AS size FROM items WHERE len(w) > 0),
+item_windows AS (
+    SELECT DISTINCT item_id, size, array_to_string(w[i : i + size - 1], ' ') AS part
+    FROM sized, unnest(range(1, len(w) - size + 2)) AS t(i)),
+sizes AS (SELECT DISTINCT size FROM sized),
+doc_windows AS (
+    SELECT r, size, i, array_to_string(w[i : i + size - 1], ' ') AS part
+    FROM docs, sizes, unnest(range(1, len(w) - size + 2)) AS t(i)),
+met AS (SELECT r, i, size, item_id FROM doc_windows JOIN item_windows USING (size, part)),
+hit AS (
+    SELECT r, count(DISTINCT place) AS n FROM met, unnest(range(i, i + size)) AS t(place) GROUP BY r),
+found AS (
+    SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS listed
+    FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM met WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(f.n, 0) AS n_items,
+       sha256(coalesce(f.listed, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hit h USING (r) LEFT JOIN found f USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_mixing": MIXING, "op13_decontamination": DECONTAMINATION}

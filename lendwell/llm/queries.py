@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendwell.llm import exact_topk, fingerprints, html_extract, jaccard_join, language_model, licenses, mixing, quality_model, sentence_pieces, url_rules
+from lendwell.llm import decontamination, exact_topk, fingerprints, html_extract, jaccard_join, language_model, licenses, mixing, quality_model, sentence_pieces, url_rules
 from lendwell.llm.common import send_package, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judged(pages, url_rules.page_labels(pages, table(spark, sf_dir, "labels")))
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def with_package(query: Query) -> Query:
     """The query, after the package's modules were sent to the executors."""
 
@@ -79,5 +83,6 @@ QUERIES: dict[str, Query] = {
         op8_sentence_pieces,
         op9_license_scan,
         op10_url_filter,
+        op13_decontamination,
     )
 }
