@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendwell.llm import decontamination, exact_topk, fingerprints, html_extract, jaccard_join, language_model, licenses, mixing, quality_model, sentence_pieces, token_alignment, url_rules
+from lendwell.llm import decontamination, exact_topk, fingerprints, html_extract, jaccard_join, language_model, licenses, mixing, quality_model, sentence_pieces, token_alignment, url_rules, whitening
 from lendwell.llm.common import send_package, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judged(pages, url_rules.page_labels(pages, table(spark, sf_dir, "labels")))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.compared(table(spark, sf_dir, "documents"))
 
@@ -87,6 +91,7 @@ QUERIES: dict[str, Query] = {
         op8_sentence_pieces,
         op9_license_scan,
         op10_url_filter,
+        op11_whitening,
         op12_token_alignment,
         op13_decontamination,
     )
