@@ -21,6 +21,7 @@ from lendwell.operators import evaluation, quality  # noqa: E402
 from lendwell.plans import (  # noqa: E402
     dashboard, feature_queries as fq, features as feat, jobs, reports as rq, requests as req, scoring, training,
 )
+from lendwell.sources import tables  # noqa: E402
 from lendwell.sources.adapter import LendingTables, lending_tables, stream, view  # noqa: E402
 from lendwell.session import scratch_path  # noqa: E402
 from lendwell.streaming import daily, scoring as stream_scoring  # noqa: E402
@@ -156,9 +157,6 @@ TABLE_QUERIES: dict[str, Callable[[LendingTables], DataFrame]] = {
         {"avg_monthly_spending": 6, "spending_volatility": 6, "total_debits": 4, "total_credits": 4}),
     "fq_recent_loans": lambda t: fq.recent_loans(t.loan_applications),
     "fq_utilization_trend": lambda t: rounded(fq.utilization_trend(t.credit_history), {"avg_utilization": 6}),
-    "fq_high_risk_customers": lambda t: rounded(
-        fq.high_risk_customers(stored_features(t), t.risk_scores, AS_OF, loans=t.loan_applications),
-        {"delinquency_score": 6}),
     "fq_loan_capacity": lambda t: rounded(
         fq.loan_capacity(t.customers), {"max_recommended_loan": 4, "max_monthly_payment": 4}),
     "fq_retraining_set": lambda t: fq.retraining_set(t.customers, t.credit_history, t.loan_applications, AS_OF),
@@ -174,7 +172,6 @@ TABLE_QUERIES: dict[str, Callable[[LendingTables], DataFrame]] = {
     "rq_risk_by_demographics": lambda t: rq.risk_by_demographics(t.customers, t.risk_scores, AS_OF),
     "rq_loans_by_amount": lambda t: rq.loans_by_amount(t.loan_applications),
     "rq_default_by_score": lambda t: rq.default_by_score(t.credit_history, t.loan_applications),
-    "rq_risk_factors": lambda t: rq.risk_factors(stored_features(t), t.credit_history, t.risk_scores, AS_OF),
     "rq_monthly_trend": lambda t: rq.monthly_trend(t.risk_scores, AS_OF),
     "rq_purpose_risk": lambda t: rq.purpose_risk(t.loan_applications, t.risk_scores),
     "rq_segments": lambda t: rq.segments(t.customers, t.credit_history, t.risk_scores, AS_OF),
@@ -213,9 +210,6 @@ TABLE_QUERIES: dict[str, Callable[[LendingTables], DataFrame]] = {
         evaluation.compare_models(evaluation.report(scored(t)), ["stored_score", "rule_scorecard"]), 6),
     "latest_risk_score": lambda t: scoring.latest_scores(t.risk_scores),
     "latest_model_metrics": lambda t: rounded(scoring.latest_model(metadata(t)), 6),
-    "unscored_customers": lambda t: scoring.unscored(
-        stored_features(t), t.risk_scores, dt.date(2001, 6, 1)
-    ).select("customer_id", "loan_id", "credit_score", "debt_to_income"),
     "daily_run_summary": lambda t: rounded(
         jobs.run_summary(suite(t), wide_features(t), metadata(t), t.risk_scores, dt.date(2001, 7, 1)), 6),
     "performance_drop_alerts": lambda t: rounded(training.performance_drops(metadata(t)).drop("model_name"), 6),
@@ -290,11 +284,11 @@ def dq_data_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dq_business_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = {"dirty_customers": "customers", "customers": "customers",
+    checked = {"dirty_customers": "customers", "customers": "customers",
               "credit_history": "credit_history", "loan_applications": "loan_applications"}
     return union([
         quality.count_rules(view(spark, sf_dir, name), name, quality.business_rules(rules))
-        for name, rules in tables.items()
+        for name, rules in checked.items()
     ])
 
 
@@ -329,6 +323,37 @@ def req_batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return req.batch_summary(req.with_status(request_frame(spark, sf_dir)))
 
 
+# Queries over the stored feature table, which is built once for a session and folder.
+_STORED: dict[tuple, str] = {}
+
+
+def kept_features(spark: SparkSession, sf_dir: str, by_customer: bool = True) -> DataFrame:
+    """The wide feature table as the daily job stores it: a day's folder, in buckets of the customer."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = scratch_path(spark, "features")
+        tables.store_features(wide_features(lending_tables(spark, sf_dir)), path, AS_OF)
+        _STORED[key] = path
+    return tables.read_features(spark, _STORED[key], by_customer)
+
+
+def fq_high_risk_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    features = feat.feature_store(kept_features(spark, sf_dir))
+    scores = view(spark, sf_dir, "risk_scores")
+    return rounded(fq.high_risk_customers(features, scores, AS_OF), {"delinquency_score": 6})
+
+
+def rq_risk_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lending_tables(spark, sf_dir)
+    return rq.risk_factors(feat.feature_store(kept_features(spark, sf_dir)), t.credit_history, t.risk_scores, AS_OF)
+
+
+def unscored_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    features = feat.feature_store(kept_features(spark, sf_dir))
+    return scoring.unscored(features, view(spark, sf_dir, "risk_scores"), dt.date(2001, 6, 1)).select(
+        "customer_id", "loan_id", "credit_score", "debt_to_income")
+
+
 # Queries that fit models; rows and fits are kept for all queries of a session and folder.
 _ROWS: dict[tuple, training.Rows] = {}
 _FITTED: dict[tuple, training.PipelineModel] = {}
@@ -470,6 +495,7 @@ FOLDER_QUERIES: dict[str, Query] = {
         dq_missing_values, dq_duplicates, dq_value_ranges, dq_referential_integrity, dq_anomalies,
         dq_data_types, dq_business_rules, dq_impute, req_validate, req_features, req_batch_status, req_batch_summary,
         ml_feature_prep, ml_model_comparison, ml_feature_importance, ml_batch_scores, ml_explain, req_batch_scores,
+        fq_high_risk_customers, rq_risk_factors, unscored_customers,
         stream_daily_counts, stream_request_scores,
         ml_batch_scores_invariants, ml_explain_invariants, ml_importance_invariants, ml_comparison_invariants,
         req_batch_scores_invariants, stream_request_invariants,
@@ -517,8 +543,8 @@ def training_data_sql() -> dict[str, str]:
 
 
 def queries() -> dict[str, Query]:
-    tables = {name: over_tables(plan) for name, plan in TABLE_QUERIES.items()}
-    return {**tables, **FOLDER_QUERIES, **training_data_queries()}
+    plans = {name: over_tables(plan) for name, plan in TABLE_QUERIES.items()}
+    return {**plans, **FOLDER_QUERIES, **training_data_queries()}
 
 
 def oracle_sql() -> dict[str, str]:

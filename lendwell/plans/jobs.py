@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lendwell.operators import evaluation, quality
@@ -12,18 +12,23 @@ from lendwell.plans import scoring, training
 from lendwell.plans.features import risk_features
 from lendwell.schemas import FEATURE_IMPORTANCE, MODEL_METRICS
 from lendwell.session import day
-from lendwell.sources import models, tables
+from lendwell.sources import models, stored, tables
 
 SERVING_MODEL = "random_forest"
 
 
-def build_features(spark: SparkSession, staging: str, out: str) -> int:
-    """Extract, transform and replace the feature table; returns its row count."""
+def build_features(
+    spark: SparkSession, staging: str, out: str, at: dt.date | None = None, buckets: int = stored.BUCKETS
+) -> int:
+    """Extract, transform and store the features of the day, today by default; returns their number.
+
+    A second run on a day replaces it; other days stay as they are.
+    """
     data = tables.read_staging(spark, staging)
     features = risk_features(
         data["customers"], data["credit_history"], data["transactions"], data["loan_applications"]
     )
-    tables.overwrite_features(features, out)
+    tables.store_features(features, out, at or dt.date.today(), buckets)
     return tables.read_features(spark, out).count()
 
 
@@ -61,13 +66,13 @@ def score(
 ) -> int:
     """Score customers without a score today; a second run on a day adds nothing."""
     features = tables.read_features(spark, features_path)
-    stored = tables.read_predictions(spark, predictions_path, at.date())
-    todo = scoring.unscored(features, stored, at.date())
+    of_the_day = tables.read_predictions(spark, predictions_path, at.date())
+    todo = scoring.unscored(features, of_the_day, at.date())
     scored = training.batch_scores(models.load_model(model_path), todo)
-    rows = scoring.not_yet_stored(scoring.prediction_rows(scored, at, version), stored)
-    before = stored.count()
-    tables.append_predictions(rows, predictions_path)
-    return tables.read_predictions(spark, predictions_path, at.date()).count() - before
+    rows = scoring.not_yet_stored(scoring.prediction_rows(scored, at, version), of_the_day)
+    added = Observation()
+    tables.append_predictions(rows.observe(added, F.count(F.lit(1)).alias("rows")), predictions_path)
+    return added.get["rows"]
 
 
 def full_evaluation(scores: DataFrame, importance: DataFrame | None = None, top: int = 20) -> dict[str, DataFrame]:
@@ -141,7 +146,7 @@ def daily_run(
     status = "success"
     try:
         result["quality"] = quality.gate(checks)
-        result["features"] = build_features(spark, staging, features)
+        result["features"] = build_features(spark, staging, features, at.date())
         made = tables.read_features(spark, features)
         result["metrics"] = train(spark, features, f"{root}/models")
         model = tables.metadata_row(spark, 0, SERVING_MODEL, version, result["metrics"], training.FEATURES, at)
@@ -150,7 +155,7 @@ def daily_run(
         status = f"failed: {error}"
         raise
     finally:
-        stored = tables.read_predictions(spark, predictions, at.date())
-        summary = run_summary(checks, made, model, stored, at.date())
+        of_the_day = tables.read_predictions(spark, predictions, at.date())
+        summary = run_summary(checks, made, model, of_the_day, at.date())
         tables.write_json(summary.withColumn("status", F.lit(status)), f"{root}/run_summary")
     return result

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from lendwell import schemas
 from lendwell.schemas import conform
+from lendwell.sources import stored
+
+# Day of a run that built features.
+BUILD_DAY = "build_day"
 
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -21,9 +25,20 @@ def read_staging(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {name: read_table(spark, f"{root}/{name}", schema) for name, schema in schemas.STAGING.items()}
 
 
-def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """The wide feature table as written; its columns are those of the build."""
-    return spark.read.parquet(path)
+def store_features(features: DataFrame, path: str, at: dt.date, buckets: int = stored.BUCKETS) -> None:
+    """Keep the wide feature table of a day in buckets of the customer; the day is replaced, others stay."""
+    stored.replace_days(features.withColumn(BUILD_DAY, F.lit(at)), path, "customer_id", BUILD_DAY, buckets)
+
+
+def read_features(spark: SparkSession, path: str, by_customer: bool = False) -> DataFrame:
+    """The wide feature table of the newest stored day; its columns are those of the build.
+
+    ``by_customer`` reads it in its buckets, for joins and groupings by customer without an exchange. A
+    folder that was written as a whole (``overwrite_features``) is read as it is.
+    """
+    if stored.layout_of(spark, path) is None:
+        return spark.read.parquet(path)
+    return stored.newest_day(spark, path, by_customer)
 
 
 def read_jdbc(
