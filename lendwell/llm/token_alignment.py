@@ -1,11 +1,12 @@
 """Alignment of two tokenizers' tokens by their end positions, along diagonals.
 
-A text is encoded by a byte-level BPE (A, of a space and the text) and by a SentencePiece model (B,
+A text is encoded by a byte-level BPE (A, of a space and the text; parts of Latin letters by the faster of two
+libraries, which is given the same file) and by a SentencePiece model (B,
 which adds that space). Both lists of tokens spell the same bytes, so tokens are told by where they
 end. ``walk`` compares the two ascending lists of ends at the current shift between their indexes:
 slices of 1, 2, 4, … ends as long as they are equal, then back by halves to the first difference; such a
 stretch is one to one. At a difference the list that lags is advanced until both end together: an
-irregular group, whose overlapping tokens are linked on the way, and after which the shift is new.
+irregular group, after which the shift is new. Tokens of a group that overlap are linked.
 
 1. Batches: texts are cut before spaces that follow no white space, where neither tokenizer has a token
    across; each different part is encoded once per worker. The walk goes over whole texts, one after the
@@ -26,15 +27,19 @@ columns do not matter.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,10 +51,17 @@ from lendwell.session import scratch_path
 BYTE_FILE = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 # Characters walked at once, and parts whose ids a worker process keeps.
-BLOCK_CHARS, KNOWN_PARTS = 256 << 10, 200_000
+BLOCK_CHARS, KNOWN_PARTS = 256 << 10, 100_000
+# Rows that are taken out of an Arrow batch at once.
+ROWS = 250
 # Pairs, the most frequent ones, that are sent to every task.
 FREQUENT = 1_000_000
 SPACE = "▁"
+# Fixed value: how the byte-level BPE cuts a text before it merges.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# Parts of Latin letters and older signs only, which do not end with white space; as many are encoded as one text.
+SETTLED = re.compile(r"[\x00-\u024f]*[^\s\u0250-\U0010ffff]")
+JOINED = 2_000
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 # White space before a space: such texts are cut by CUT, others at every space.
 LOOSE, CUT = re.compile(r"\s "), re.compile(r"(?<=\S)(?= )")
@@ -86,6 +98,20 @@ class Vocabulary:
         self.digits = np.where((ids[:, None] >= powers) | (powers == 1), ids[:, None] // powers % 10 + ord("0"), 0).astype(np.uint8)
 
 
+def ranked(byte_model: str, table: dict[str, int]) -> tiktoken.Encoding | None:
+    """The byte-level BPE for a faster library, which merges the pair of the least id first.
+
+    None unless ids rise with the order of the model's merges, so that both choose alike.
+    """
+    model = json.loads(byte_model)["model"]
+    vocabulary, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [vocabulary["".join(m)] for m in merges]
+    if any(x >= y for x, y in zip(made, made[1:])) or set(vocabulary.values()) - set(made) != {vocabulary[c] for c in table}:
+        return None
+    ranks = {byte_entry(entry, table): rank for entry, rank in vocabulary.items()}
+    return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class Coders:
     """Both tokenizers, their vocabularies, and the ids of parts met before."""
 
@@ -94,6 +120,7 @@ class Coders:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=piece_model)
         table = byte_of()
+        self.fast = ranked(byte_model, table)
         self.of_a = Vocabulary([byte_entry(self.a.id_to_token(i) or "", table) for i in range(self.a.get_vocab_size())])
         self.of_b = Vocabulary([piece_bytes(self.b.id_to_piece(i), self.b.is_byte(i)) for i in range(self.b.get_piece_size())])
         # A part without its first space: ids of A and B as bytes; and parts that are not spelled alike
@@ -105,17 +132,48 @@ class Coders:
             self.known.clear()
             self.odd.clear()
         new = [p for p in parts if p not in self.known]
-        for part, a, b in zip(new, self.a.encode_batch_fast([f" {p}" for p in new], add_special_tokens=False), self.b.encode(new, num_threads=1)):
-            # The model gives an empty text no marker, but a text that ends with a space has one there.
-            ids_b = b if part else [self.b.piece_to_id(SPACE)]
-            self.known[part] = (np.array(a.ids, np.uint32).tobytes(), np.array(ids_b, np.uint32).tobytes())
-            own = f" {part}".encode()
-            if self.spelled(a.ids, self.of_a) != own or self.spelled(ids_b, self.of_b) != own:
-                self.odd.add(part)
+        # Letters that every library knows as such, no white space at the end: such parts go in one text.
+        joined = [p for p in new if self.fast and SETTLED.fullmatch(p)]
+        for start in range(0, len(joined), JOINED):
+            self.learn_joined(joined[start : start + JOINED])
+        self.learn_alone([p for p in new if p not in self.known])
+
+    def learn_joined(self, parts: list[str]) -> None:
+        own = [f" {p}".encode() for p in parts]
+        ids = np.array(self.fast.encode_ordinary(" " + " ".join(parts)), np.uint32)
+        ends = np.cumsum([len(o) for o in own])
+        cuts = np.searchsorted(np.cumsum(self.of_a.lengths[ids]), ends) + 1
+        data = ids.tobytes()
+        a = [data[4 * x : 4 * y] for x, y in zip([0, *cuts.tolist()], cuts.tolist())]
+        b = self.b.encode(parts, num_threads=1)
+        # No token goes beyond a part, so the whole tells; odd parts are then looked for one by one.
+        if self.spelled(ids.tolist(), self.of_a) != b"".join(own):
+            return self.learn_alone(parts)
+        self.known.update(zip(parts, zip(a, [array("I", x).tobytes() for x in b])))
+        self.find_odd(parts, b, self.of_b, own)
+
+    def learn_alone(self, parts: list[str]) -> None:
+        spaced = [f" {p}" for p in parts]
+        a = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
+        # The model gives an empty text no marker, but a text that ends with a space has one there.
+        b = [ids or [self.b.piece_to_id(SPACE)] for ids in self.b.encode(parts, num_threads=1)]
+        self.known.update(zip(parts, zip([array("I", x).tobytes() for x in a], [array("I", x).tobytes() for x in b])))
+        own = [p.encode() for p in spaced]
+        self.find_odd(parts, a, self.of_a, own)
+        self.find_odd(parts, b, self.of_b, own)
+
+    def find_odd(self, parts: list[str], ids: list[list[int]], of: Vocabulary, own: list[bytes]) -> None:
+        """Note parts that are not spelled byte for byte; lengths and all parts joined tell if there are any."""
+        flat = list(chain.from_iterable(ids))
+        ends = np.cumsum([len(x) for x in ids], dtype=np.int64) - 1
+        reached = np.cumsum(of.lengths[flat])[ends] if flat else np.zeros(0)
+        if not (np.array_equal(reached, np.cumsum([len(o) for o in own])) and self.spelled(flat, of) == b"".join(own)):
+            self.odd.update(p for p, x, o in zip(parts, ids, own) if self.spelled(x, of) != o)
 
     @staticmethod
     def spelled(ids: Iterable[int], of: Vocabulary) -> bytes:
-        return b"".join([of.spelled[i] for i in ids])
+        spelled = of.spelled
+        return b"".join([spelled[i] for i in ids])
 
     def spells(self, text: str, parts: list[str]) -> bool:
         """Whether both lists of tokens spell a space and the text."""
@@ -139,58 +197,58 @@ def parts_of(text: str) -> list[str]:
     return text.split(" ")
 
 
-@dataclass
-class Walk:
-    past_a: list[int]  # for each group, the token after it
-    past_b: list[int]
-    link_a: list[int]  # pairs of overlapping tokens, in order
-    link_b: list[int]
-
-
-def walk(a: list[int], b: list[int]) -> Walk:
-    """Groups and links of two ascending lists of ends with the same last end."""
-    past_a: list[int] = []
-    past_b: list[int] = []
-    link_a: list[int] = []
-    link_b: list[int] = []
+def walk(a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """For each group of two ascending lists of ends with the same last end: the tokens after it."""
+    run_a: list[int] = []
+    run_b: list[int] = []
+    run_size: list[int] = []
+    odd_a: list[int] = []
+    odd_b: list[int] = []
     i = j = 0
     count = len(a)
     while i < count:
-        first, other = i, j
         if a[i] == b[j]:
+            first = i
+            run_a.append(i)
+            run_b.append(j)
             # The shift j - i holds: equal slices twice as long each time, then back by halves.
             i, j, step = i + 1, j + 1, 2
             while i < count and a[i : i + step] == b[j : j + step]:
                 i, j, step = i + step, j + step, 2 * step
             if i >= count:
-                i, j = count, len(b)
-            else:
-                while step > 1:
-                    step >>= 1
-                    if a[i : i + step] == b[j : j + step]:
-                        i, j = i + step, j + step
-            link_a.extend(range(first, i))
-            link_b.extend(range(other, j))
-            past_a.extend(range(first + 1, i + 1))
-            past_b.extend(range(other + 1, j + 1))
-            if i == count:
+                run_size.append(count - first)
                 break
+            while step > 1:
+                step >>= 1
+                if a[i : i + step] == b[j : j + step]:
+                    i, j = i + step, j + step
+            run_size.append(i - first)
+        # The list that lags goes on until both end together; the shift is new then.
         x, y = a[i], b[j]
         while x != y:
-            link_a.append(i)
-            link_b.append(j)
             if x < y:
                 i += 1
                 x = a[i]
             else:
                 j += 1
                 y = b[j]
-        link_a.append(i)
-        link_b.append(j)
         i, j = i + 1, j + 1
-        past_a.append(i)
-        past_b.append(j)
-    return Walk(past_a, past_b, link_a, link_b)
+        odd_a.append(i)
+        odd_b.append(j)
+    sizes = np.array(run_size, np.int64)
+    within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+    past_a = np.concatenate([np.repeat(np.array(run_a, np.int64), sizes) + within, np.array(odd_a, np.int64)])
+    past_b = np.concatenate([np.repeat(np.array(run_b, np.int64), sizes) + within, np.array(odd_b, np.int64)])
+    order = np.argsort(past_a, kind="stable")
+    return past_a[order], past_b[order]
+
+
+def links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of tokens that overlap, in order, from their ends."""
+    first = np.searchsorted(b, np.concatenate([[0], a[:-1]]), side="right")
+    number = np.searchsorted(b, a, side="left") - first + 1
+    token = np.repeat(np.arange(len(a)), number)
+    return token, np.arange(len(token)) - np.repeat(np.cumsum(number) - number, number) + np.repeat(first, number)
 
 
 def written(ids_a: np.ndarray, ids_b: np.ndarray, past_a: np.ndarray, past_b: np.ndarray, of_a: Vocabulary, of_b: Vocabulary):
@@ -241,21 +299,21 @@ class Aligner:
         ids_b = np.frombuffer(b"".join(joined_b), np.uint32).astype(np.int64)
         if not len(ids_a):
             return
-        found = walk(np.cumsum(of_a.lengths[ids_a]).tolist(), np.cumsum(of_b.lengths[ids_b]).tolist())
-        past_a, past_b = np.array(found.past_a), np.array(found.past_b)
-        link_a, link_b = np.array(found.link_a), np.array(found.link_b)
+        ends_a, ends_b = np.cumsum(of_a.lengths[ids_a]), np.cumsum(of_b.lengths[ids_b])
+        past_a, past_b = walk(ends_a.tolist(), ends_b.tolist())
+        link_a, link_b = links(ends_a, ends_b)
         text, offsets = written(ids_a, ids_b, past_a, past_b, of_a, of_b)
         # Where each text's tokens, groups and links end
         end_a, end_b = np.cumsum([len(j) // 4 for j in joined_a]), np.cumsum([len(j) // 4 for j in joined_b])
         group = np.searchsorted(past_a, end_a, side="right")
         link = np.searchsorted(link_a, end_a, side="left")
-        pair = ids_a[link_a] * len(of_b.spelled) + ids_b[link_b]
+        span = len(of_a.spelled) * len(of_b.spelled)
         owner = np.searchsorted(end_a, link_a, side="right")
-        order = np.lexsort((pair, owner))
-        pair, owner = pair[order], owner[order]
-        new = np.flatnonzero(np.concatenate([[True], (np.diff(pair) != 0) | (np.diff(owner) != 0)]))
-        times = np.diff(np.append(new, len(pair)))
-        cut = np.searchsorted(owner[new], np.arange(len(texts) + 1))
+        key = np.sort(owner * span + ids_a[link_a] * len(of_b.spelled) + ids_b[link_b])
+        new = np.flatnonzero(np.concatenate([[True], np.diff(key) != 0]))
+        times = np.diff(np.append(new, len(key)))
+        pair = key[new] % span
+        cut = np.searchsorted(key[new], np.arange(len(texts) + 1) * span)
         a = b = g = n = 0
         for k, (state, _) in enumerate(texts):
             own = text[offsets[a + b] : offsets[end_a[k] + end_b[k]]]
@@ -265,7 +323,7 @@ class Aligner:
             state.n_b += int(end_b[k] - b)
             state.n_groups += int(group[k] - g)
             state.n_links += int(link[k] - n)
-            state.pairs.append(pair[new[cut[k] : cut[k + 1]]])
+            state.pairs.append(pair[cut[k] : cut[k + 1]])
             state.times.append(times[cut[k] : cut[k + 1]])
             a, b, g, n = end_a[k], end_b[k], group[k], link[k]
 
@@ -327,7 +385,7 @@ def aligner(byte_model: str, piece_model: bytes):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         align = Aligner(byte_model, piece_model)
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             for done in align(batch["text"].to_pylist()):
                 if not done:
                     continue
