@@ -125,8 +125,7 @@ TABLE_QUERIES: dict[str, Callable[[LendingTables], DataFrame]] = {
     "fe_credit_age_score": loan_feature("credit_age_score",
                                         lambda: fx.credit_age_score(c("years_credit_history"), c("age"))),
     "fe_debt_burden": loan_feature("debt_burden", lambda: fx.debt_burden(c("total_debt"), c("annual_income"))),
-    "fe_utilization_category": loan_feature("utilization_category",
-                                            lambda: fx.utilization_category(c("credit_utilization_ratio")), None),
+    "fe_utilization_category": lambda t: feat.utilization_categories(t.credit_history, t.loan_applications),
     "fe_payment_consistency": lambda t: rounded(feat.payment_consistency(t.customers, t.transactions), 6),
     "fe_interactions": lambda t: rounded(
         wide_features(t).select("loan_id", *[v.alias(k) for k, v in fx.interactions().items()]), 6),
@@ -260,18 +259,15 @@ def dq_referential_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "transactions": "customers -> transactions",
         "loan_applications": "customers -> loans",
     }
-    return union([
-        quality.referential_integrity(parent, view(spark, sf_dir, name), "customer_id", "customer_id", relation)
-        for name, relation in children.items()
-    ])
+    # One grouping of all keys; every table is read once.
+    named = {relation: (name, view(spark, sf_dir, name)) for name, relation in children.items()}
+    return quality.key_checks(parent, named, "customer_id", "customers", unique=())
 
 
 def dq_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outliers by column, beside the check of their table."""
-    counts = quality.outlier_counts(
-        view(spark, sf_dir, "dirty_customers"), "dirty_customers", ["age", "annual_income"])
-    check = quality.anomaly_check(counts).select(c("subject").alias("table_name"), "status", "messages")
-    return counts.join(check, "table_name")
+    return quality.with_anomaly_check(
+        quality.outlier_counts(view(spark, sf_dir, "dirty_customers"), "dirty_customers", ["age", "annual_income"]))
 
 
 def dq_data_types(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -387,6 +387,27 @@ def anomaly_check(counts: DataFrame) -> DataFrame:
     )
 
 
+def with_anomaly_check(counts: DataFrame) -> DataFrame:
+    """Outlier counts beside the status and messages of their table's check, from one grouping."""
+    percent = ratio(F.col("bad_rows"), F.col("total_rows")) * 100
+    text = F.format_string("%s: %d outliers (%.2f%%)", "rule", "bad_rows", percent)
+    rest = [c for c in counts.columns if c != "table_name"]
+    # One row per column of the table.
+    return (
+        counts.groupBy("table_name")
+        .agg(
+            F.array_sort(F.collect_list(F.when(percent > OUTLIER_SHARE, text))).alias("hits"),
+            F.collect_list(F.struct(*rest)).alias("columns"),
+        )
+        .select(
+            "table_name",
+            F.inline("columns"),
+            F.when(F.size("hits") > 0, "warning").otherwise("pass").alias("status"),
+            F.array_join("hits", "; ").alias("messages"),
+        )
+    )
+
+
 def freshness(
     df: DataFrame, table: str, date_column: str, as_of: dt.date | None = None, max_age_days: int = 7
 ) -> DataFrame:

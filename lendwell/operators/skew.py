@@ -63,3 +63,12 @@ def spread_join(
         copied = with_parts(lookup).withColumn(SALT, copies).drop("parts")
         joined = joined.join(copied, [key, SALT], how)
     return joined.drop(SALT)
+
+
+def by_rows(df: DataFrame, keys: list[str], rows: int, rows_per_task: int) -> DataFrame:
+    """Deal rows over tasks by their number, for work that costs the same for every row, however few bytes it has.
+
+    At least as many tasks as there are cores. ``keys`` tell rows apart, so that a repeated task has the same ones.
+    """
+    least = min(df.sparkSession.sparkContext.defaultParallelism, max(rows, 1))
+    return df.repartition(max(least, -(-rows // rows_per_task)), *keys)

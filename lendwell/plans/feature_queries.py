@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from lendwell.functions import credit as fx
 from lendwell.functions.columns import below_bands, ratio, rounded
+from lendwell.functions.sketches import distinct_count
 from lendwell.operators.picks import top_per_key
 from lendwell.operators.skew import spread_join
 from lendwell.plans.features import newest_credit
+from lendwell.plans.scoring import latest_scores
 from lendwell.session import days_before, months_before
 
 KEY = "customer_id"
@@ -27,18 +29,42 @@ def for_customer(df: DataFrame, customer_id: int) -> DataFrame:
     return df.filter(F.col(KEY) == customer_id)
 
 
+def customer_view(
+    customer_id: int, customers: DataFrame, credit: DataFrame, transactions: DataFrame, loans: DataFrame, scores: DataFrame
+) -> dict[str, DataFrame]:
+    """The queries that ask about one customer, by name.
+
+    Every table is narrowed before anything else, so the filter reaches its scan and no query meets
+    rows of other customers.
+    """
+    own = [for_customer(df, customer_id) for df in (customers, credit, transactions, loans, scores)]
+    customers, credit, transactions, loans, scores = own
+    return {
+        "customer_profile": customer_profile(customers, credit, transactions, loans),
+        "transaction_features": transaction_totals(transactions),
+        "recent_loans": recent_loans(loans),
+        "utilization_trend": utilization_trend(credit),
+        "loan_capacity": loan_capacity(customers),
+        "employment_stability": employment_stability(customers),
+        "risk_trend": risk_trend(scores),
+        "latest_credit": latest_credit(credit),
+        "latest_score": latest_scores(scores),
+    }
+
+
 def last_first(column: str):
     return F.col(column).desc_nulls_last()
 
 
 def customer_profile(
-    customers: DataFrame, credit: DataFrame, transactions: DataFrame, loans: DataFrame
+    customers: DataFrame, credit: DataFrame, transactions: DataFrame, loans: DataFrame, approx: bool = False
 ) -> DataFrame:
     """Customer and credit attributes with transaction and loan totals.
 
     The totals are those of the customer's transactions paired with the customer's
     loans, worked out from per-customer sums: pairing n transactions with m loans
-    repeats every transaction m times and every default n times. Ids are counted once.
+    repeats every transaction m times and every default n times. Ids are counted once, with
+    ``approx`` by sketches, whose size does not grow with a customer's rows.
     """
     facts = ["credit_score", "credit_utilization_ratio", "num_delinquent_accounts",
              "total_debt", "bankruptcy_flag"]
@@ -47,14 +73,14 @@ def customer_profile(
     amount = F.col("transaction_amount")
     spending = transactions.filter(known).groupBy(KEY).agg(
         F.count(F.lit(1)).alias("n"),
-        F.count_distinct("transaction_id").alias("transactions"),
+        distinct_count("transaction_id", approx).alias("transactions"),
         F.count(amount).alias("n_amounts"),
         F.avg(amount).alias("mean"),
         (F.var_pop(amount) * F.count(amount)).alias("squares"),
     )
     borrowing = loans.filter(known).groupBy(KEY).agg(
         F.count(F.lit(1)).alias("m"),
-        F.count_distinct("loan_id").alias("loans"),
+        distinct_count("loan_id", approx).alias("loans"),
         F.count_if(F.col("default_flag")).alias("defaults"),
     )
     joined = (

@@ -79,6 +79,13 @@ def newest_credit(credit: DataFrame) -> DataFrame:
     )
 
 
+def utilization_categories(credit: DataFrame, loans: DataFrame, **spread) -> DataFrame:
+    """Every loan's utilisation category from the newest credit record of its customer; no other table is read."""
+    used = newest_credit(credit).select("customer_id", "credit_utilization_ratio")
+    joined = spread_join(loans.select("loan_id", "customer_id"), [used], "customer_id", "loan_id", **spread)
+    return joined.select("loan_id", fx.utilization_category(F.col("credit_utilization_ratio")).alias("utilization_category"))
+
+
 def risk_features(
     customers: DataFrame, credit: DataFrame, transactions: DataFrame, loans: DataFrame,
     every_record: bool = False, **spread,

@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lendwell.functions.columns import below_bands, ratio, rounded
-from lendwell.operators.ordered import in_runs, neighbour, numbered
+from lendwell.functions.sketches import distinct_count, sketch, sketched
+from lendwell.operators.ordered import in_runs, neighbour
 from lendwell.operators.picks import top_per_key
+from lendwell.operators.prefix import prefix_sums
 from lendwell.session import day, days_before, months_before
 
 KEY = "customer_id"
@@ -123,21 +125,28 @@ def loans_by_amount(loans: DataFrame) -> DataFrame:
     )
 
 
-def default_by_score(credit: DataFrame, loans: DataFrame) -> DataFrame:
+def default_by_score(credit: DataFrame, loans: DataFrame, approx: bool = False) -> DataFrame:
     """Loans and defaults by credit-score band; a band counts a loan id once, and loan
-    rows and their defaults once per credit record of the customer in the band."""
+    rows and their defaults once per credit record of the customer in the band.
+
+    With ``approx`` loan ids are counted by sketches, which are merged per customer first.
+    """
     known = F.col(KEY).isNotNull()
     band = below_bands(F.col("credit_score"), *SCORE_BANDS).alias("credit_score_range")
     records = credit.filter(known).groupBy(KEY, band).agg(rows().alias("records"))
-    # One row per loan id; a customer has a few bands at most.
-    borrowing = loans.filter(known).groupBy(KEY, "loan_id").agg(
-        rows().alias("loans"), F.count_if(F.col("default_flag")).alias("defaults")
-    )
+    counts = [rows().alias("loans"), F.count_if(F.col("default_flag")).alias("defaults")]
+    if approx:
+        # One row per customer, however many loans; a customer has a few bands at most.
+        borrowing = loans.filter(known).groupBy(KEY).agg(*counts, sketch("loan_id").alias("loan_ids"))
+        total = sketched(F.hll_union_agg("loan_ids"))
+    else:
+        borrowing = loans.filter(known).groupBy(KEY, "loan_id").agg(*counts)
+        total = F.count_distinct("loan_id")
     return (
         borrowing.join(records, KEY)
         .groupBy("credit_score_range")
         .agg(
-            F.count_distinct("loan_id").alias("total_loans"),
+            total.alias("total_loans"),
             weighted("defaults", "records").alias("defaults"),
             percent(weighted("defaults", "records"), weighted("loans", "records")).alias("default_rate"),
         )
@@ -229,7 +238,7 @@ def purpose_risk(loans: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def segments(
-    customers: DataFrame, credit: DataFrame, scores: DataFrame, as_of: dt.date | None = None
+    customers: DataFrame, credit: DataFrame, scores: DataFrame, as_of: dt.date | None = None, approx: bool = False
 ) -> DataFrame:
     """Income by credit segments; a customer counts once per segment, scores once per record."""
     recent = score_sums(since(scores, days_before(as_of, 30)))
@@ -242,7 +251,7 @@ def segments(
         .join(records, KEY)
         .groupBy("income_segment", "credit_segment")
         .agg(
-            F.count_distinct(KEY).alias("customer_count"),
+            distinct_count(KEY, approx).alias("customer_count"),
             rounded(ratio(weighted("score_sum", "records"), weighted("scored", "records")), 2).alias(
                 "avg_risk_score"
             ),
@@ -396,7 +405,7 @@ def weekly_alerts(
             for label, df in (("New High Risk Customers", new_high), ("Sudden Risk Increase", jumps))
         ],
     )
-    placed = numbered(alerts, ["alert_type"], ["prediction_id"])
+    placed = prefix_sums(alerts, ["alert_type"], "prediction_id", {"position": F.lit(1)})
     enough = c("all_position") > F.when(c("alert_type") == "New High Risk Customers", 10).otherwise(0)
     part = F.floor((c("position") - 1) / ids_per_row) + 1
     ids = F.transform(

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from lendwell.functions.columns import ratio
 from lendwell.operators.evaluation import MODEL, report
+from lendwell.operators.skew import by_rows
 from lendwell.operators.split import stratified_split
 from lendwell.schemas import CATEGORICAL_FEATURES, FEATURE_IMPORTANCE, NUMERIC_FEATURES
 from lendwell.session import scratch_path
@@ -31,6 +32,8 @@ BOOST_DEPTH = 5
 BOOST_STEP = 0.1
 MAX_ITERATIONS = 1000
 TREE_MEMORY = 1024
+# Rows that one task scores.
+SCORED_PER_TASK = 50_000
 MODELS = ("logistic", "random_forest", "gradient_boosting")
 ALERT_DROP = 0.05
 AUC_FLOOR = 0.75
@@ -176,9 +179,15 @@ def feature_importance(model: PipelineModel) -> DataFrame | None:
     return ranked.orderBy(F.col("importance").desc(), "feature")
 
 
-def batch_scores(model: PipelineModel, features: DataFrame) -> DataFrame:
-    """Loan, customer and default probability for every feature row."""
+def batch_scores(model: PipelineModel, features: DataFrame, rows: int | None = None) -> DataFrame:
+    """Loan, customer and default probability for every feature row.
+
+    Rows are dealt out before the model by their number, ``rows`` or else counted: a feature table has
+    few bytes, and its partitions would leave most cores without work.
+    """
     inputs = model_inputs(features, "loan_id", "customer_id")
+    number = features.count() if rows is None else rows
+    inputs = by_rows(inputs, ["loan_id", "customer_id"], number, SCORED_PER_TASK)
     return with_probability(model, inputs).select("loan_id", "customer_id", "default_probability")
 
 
