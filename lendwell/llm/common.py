@@ -10,6 +10,7 @@ import tempfile
 import zipfile
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 # Rows of a lookup that may be sent to every executor; larger ones are joined by shuffle.
 BROADCAST_ROWS = 100_000
+# Rows of one piece of work in a Python worker.
+PIECE_ROWS = 1_000
 
 
 _SENT: set[str] = set()
@@ -71,8 +74,8 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def by_bytes(frames: Iterable[pd.DataFrame], column: str, most: int) -> Iterator[pd.DataFrame]:
-    """Cut Arrow batches so that each piece holds about ``most`` characters of a text column.
+def by_bytes(frames: Iterable[pd.DataFrame], column: str, most: int, rows: int = PIECE_ROWS) -> Iterator[pd.DataFrame]:
+    """Cut Arrow batches so that each piece holds about ``most`` characters of a text column, and at most ``rows``.
 
     A single longer text makes a piece of its own.
     """
@@ -80,9 +83,32 @@ def by_bytes(frames: Iterable[pd.DataFrame], column: str, most: int) -> Iterator
         sizes = frame[column].str.len().fillna(0).to_numpy()
         start, held = 0, 0
         for at, size in enumerate(sizes):
-            if held and held + size > most:
+            if at > start and (held + size > most or at - start >= rows):
                 yield frame.iloc[start:at].reset_index(drop=True)
                 start, held = at, 0
             held += size
         if start < len(frame):
             yield frame.iloc[start:].reset_index(drop=True)
+
+
+class Forest:
+    """Groups of values that were joined."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def root(self, value: int) -> int:
+        up = self.up
+        while (above := up.get(value, value)) != value:
+            up[value] = up.get(above, above)
+            value = above
+        return value
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+
+    def edges(self) -> pd.DataFrame:
+        own = list(self.up)
+        return pd.DataFrame({"a": own, "b": [self.root(v) for v in own]}, dtype=np.int64)

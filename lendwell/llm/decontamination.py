@@ -37,8 +37,8 @@ WINDOW = 10
 SET_WINDOWS, SET_BYTES = 1_000_000, 24 << 20
 # Words of a segment of a long item.
 SEGMENT = 10_000
-# Rows and characters of a batch.
-BATCH_ROWS, BATCH_CHARS = 4_096, 512 << 10
+# Characters of a piece of work.
+BATCH_CHARS = 512 << 10
 FILTER_BITS = 20
 # Characters that are no part of a word, as Java and as DuckDB write them.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -68,7 +68,7 @@ def located(texts: list[str | None]) -> Located:
     letter = low != 0
     edges = np.flatnonzero(np.diff(letter.astype(np.int8), prepend=np.int8(0)))
     starts, ends = edges[0::2], edges[1::2]
-    up, down = powers(1 << max(21, len(raw).bit_length()))
+    up, down = powers(1 << max(19, len(raw).bit_length()))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(low * up[: len(low)], dtype=np.uint64)])
     hashes = mixed((sums[ends] - sums[starts]) * down[starts])
     limits = np.concatenate([[0], np.cumsum([len(e) + 1 for e in encoded])]).astype(np.int64)
@@ -87,7 +87,7 @@ def window_hashes(words: Located, size: int) -> tuple[np.ndarray, np.ndarray]:
     if count <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     inside = np.flatnonzero(words.docs[:count] == words.docs[size - 1 :])
-    up, down = powers(1 << max(21, len(words.hashes).bit_length()))
+    up, down = powers(1 << max(19, len(words.hashes).bit_length()))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.hashes * up[: len(words.hashes)], dtype=np.uint64)])
     return inside, mixed((sums[inside + size] - sums[inside]) * down[inside] + np.uint64(size))
 
@@ -181,33 +181,32 @@ def scanner(tests: Broadcast, hits_only: bool):
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table: TestSet = tests.value
         for frame in frames:
-            for start in range(0, len(frame), BATCH_ROWS):
-                for piece in by_bytes([frame.iloc[start : start + BATCH_ROWS]], "text", BATCH_CHARS):
-                    words = located(piece["text"].tolist())
-                    flags, met = confirmed(words, table)
-                    firsts, lasts = runs_of(flags, words.docs)
-                    # Code points: bytes that do not continue a character
-                    points = np.concatenate([[0], np.cumsum((words.raw & 0xC0) != 0x80)])
-                    base = points[words.limits[:-1]]
-                    before = np.cumsum(words.counts) - words.counts
-                    owner = words.docs[firsts]
-                    spans: list[list[dict]] = [[] for _ in range(len(piece))]
-                    for doc, a, b, f, l in zip(
-                        owner.tolist(),
-                        (points[words.starts[firsts]] - base[owner]).tolist(),
-                        (points[words.ends[lasts]] - base[owner]).tolist(),
-                        (firsts - before[owner]).tolist(),
-                        (lasts - before[owner] + 1).tolist(),
-                    ):
-                        spans[doc].append({"start": a, "end": b, "first_word": f, "past_word": l})
-                    hit = np.bincount(words.docs[flags], minlength=len(piece))
-                    out = piece.drop(columns=["text"]).assign(
-                        n_words=words.counts,
-                        n_hit=hit,
-                        items=[[table.items[i] for i in sorted(met.get(d, ()))] for d in range(len(piece))],
-                        spans=spans,
-                    )
-                    yield out[out["n_hit"] > 0] if hits_only else out
+            for piece in by_bytes([frame], "text", BATCH_CHARS):
+                words = located(piece["text"].tolist())
+                flags, met = confirmed(words, table)
+                firsts, lasts = runs_of(flags, words.docs)
+                # Code points: bytes that do not continue a character
+                points = np.concatenate([[0], np.cumsum((words.raw & 0xC0) != 0x80)])
+                base = points[words.limits[:-1]]
+                before = np.cumsum(words.counts) - words.counts
+                owner = words.docs[firsts]
+                spans: list[list[dict]] = [[] for _ in range(len(piece))]
+                for doc, a, b, f, l in zip(
+                    owner.tolist(),
+                    (points[words.starts[firsts]] - base[owner]).tolist(),
+                    (points[words.ends[lasts]] - base[owner]).tolist(),
+                    (firsts - before[owner]).tolist(),
+                    (lasts - before[owner] + 1).tolist(),
+                ):
+                    spans[doc].append({"start": a, "end": b, "first_word": f, "past_word": l})
+                hit = np.bincount(words.docs[flags], minlength=len(piece))
+                out = piece.drop(columns=["text"]).assign(
+                    n_words=words.counts,
+                    n_hit=hit,
+                    items=[[table.items[i] for i in sorted(met.get(d, ()))] for d in range(len(piece))],
+                    spans=spans,
+                )
+                yield out[out["n_hit"] > 0] if hits_only else out
 
     return run
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lendwell.llm.common import text_of
+from lendwell.llm.common import PIECE_ROWS, text_of
 from lendwell.llm.words import CHUNK_BYTES, mixed, words_of
 
 GOOD, BAD, ABSTAIN = 1, 0, 2
@@ -163,7 +163,7 @@ def features(texts: list[str], table: np.ndarray) -> np.ndarray:
 def in_pieces(texts: list[str]) -> Iterator[list[str]]:
     piece, size = [], 0
     for text in texts:
-        if piece and size + len(text) > CHUNK_BYTES:
+        if piece and (size + len(text) > CHUNK_BYTES or len(piece) >= PIECE_ROWS):
             yield piece
             piece, size = [], 0
         piece.append(text)

@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import numpy as np
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 256 << 10
 # An odd base of the polynomial and two odd factors that mix its value.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -61,7 +61,7 @@ def words_of(texts: Sequence[str | None], table: np.ndarray = PLAIN) -> Words:
     letter = low != 0
     edges = np.flatnonzero(np.diff(letter.astype(np.int8), prepend=np.int8(0)))
     starts, ends = edges[0::2], edges[1::2]
-    size = 1 << max(21, int(len(joined) + 1).bit_length())
+    size = 1 << max(19, int(len(joined) + 1).bit_length())
     up, down = powers(size)
     sums = np.cumsum(low * up[: len(low)], dtype=np.uint64)
     sums = np.concatenate([np.zeros(1, np.uint64), sums])

@@ -1,18 +1,21 @@
 import random
+import re
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from pyspark.sql import functions as F
 
 from lendwell.llm import jaccard_join, mixing, quality_model
 from lendwell.llm.common import table
 
 SMALL = "/root/testdata/sf0.001"
+LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def test_registered():
     names = entry.queries()
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
 
 
@@ -25,8 +28,10 @@ def test_stages_take_effect(spark):
     assert {r["doc_id"] for r in good.collect()} == kept
     single = stages[1](spark, good, SMALL)
     assert single.columns == docs.columns
-    firsts = {r["component_id"] for r in jaccard_join.joined(good).collect() if r["n_shingles"]}
+    near = jaccard_join.linked(good, corpus_pipeline.NEAR_SHINGLE, corpus_pipeline.NEAR_THRESHOLD)
+    firsts = {r["component_id"] for r in near.collect() if r["n_shingles"]}
     assert sorted(r["doc_id"] for r in single.collect()) == sorted(firsts)
+    assert sorted(firsts) == near_copies_by_hand([(r["doc_id"], r["text"].translate(LOWER)) for r in good.collect()])
     mixed = stages[2](spark, single, SMALL)
     assert mixed.columns == docs.columns
     taken = {r["doc_id"]: r["taken"] // max(r["size"], 1) for r in mixing.mixed(single).collect()}
@@ -38,8 +43,8 @@ def test_stages_take_effect(spark):
 
 def near_copies_by_hand(rows):
     """Least id of each group of texts with a 5-word Jaccard of at least 0.8, over all pairs."""
-    words = [text.split() for _, text in rows]
-    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in words]
+    words = [[w for w in re.split("[\\x20\\x09-\\x0D]+", text) if w] for _, text in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} for w in words]
     group = list(range(len(rows)))
     for a in range(len(rows)):
         for b in range(a):
@@ -63,8 +68,36 @@ def test_near_copies_by_five_words(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == near_copies_by_hand(rows)
 
 
-def test_run(spark):
-    assert corpus_pipeline.run(spark, SMALL).count() > 0
+def test_run_equals_its_stages(spark):
+    docs = table(spark, SMALL, "documents")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SMALL)
+    want = sorted((r["doc_id"], r["n_tokens"], tuple(r["ids"])) for r in docs.collect())
+    got = corpus_pipeline.run(spark, SMALL).collect()
+    assert len(got) > 100 and sorted((r["doc_id"], r["n_tokens"], tuple(r["ids"])) for r in got) == want
+
+
+def test_odd_documents(spark):
+    """Nulls, empty and long texts, ties, repeated rows, and columns with names of the stages' own."""
+    rng = random.Random(2)
+    vocabulary = ["the", "old", "house", "stood", "near", "a", "river", "and", "trees", "grew", "around", "it", "slowly"]
+    sentence = lambda: " ".join(rng.choice(vocabulary) + str(rng.randrange(40)) for _ in range(9)).capitalize() + "."
+    prose = lambda n: " ".join(sentence() for _ in range(n))
+    copy, long = prose(30), prose(3000)
+    rows = [(i, prose(12), "en", f"s{i % 3}", 1) for i in range(40)]
+    rows += [(100, None, None, None, None), (101, "", "en", "s0", 0), (None, prose(12), "en", None, 1), (102, long, "en", "s1", 2)]
+    rows += [(103, copy, "en", "s1", 3), (103, copy, "en", "s1", 3), (104, copy, "de", None, 4), (105, "!!! $$$ |||" * 30, "en", "s2", 5)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(rows, schema).withColumns({c: F.lit(7) for c in ("size", "row", "point", "ids", "target")})
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        after = stage(spark, docs, SMALL)
+        assert after.columns == docs.columns
+        docs = spark.createDataFrame(after.collect(), docs.schema)
+    kept = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert len({t for d, t in kept if t == copy}) == 1 and {d for d, t in kept if t == copy} == {103}
+    assert any(t == long for _, t in kept) and any(d is None for d, _ in kept)
+    tokens = corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).collect()
+    assert len(tokens) == len(kept) and all(r["restored"] and r["parity"] for r in tokens)
 
 
 def test_empty_documents(spark):
