@@ -10,8 +10,10 @@ smaller one.
 Cases: a null text has size 0; null sources form one source of their own, last in order; a
 source without words has target 0. Rows that are alike in id and text have the same hash.
 If the budget ends at a single row, that row is taken whole when this comes nearer to the
-target; if it ends at several alike rows, they share what is left evenly, in words. No
-documents give no sources and no rows.
+target; if it ends at several alike rows, they share what is left evenly, in words, to the word:
+each takes the words between two steps of the running share. Alike rows are numbered by their place
+in written partitions, so that any number of them is dealt with by many tasks. Very long texts are
+counted whole; other columns do not matter. No documents give no sources and no rows.
 """
 
 from __future__ import annotations
@@ -143,33 +145,58 @@ def plan(rows: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE
 
 
 def taken(size: Column) -> Column:
-    """Words the mix takes from a document, from its hash and its source's plan."""
+    """Words the mix takes from a document that does not share its hash, from its hash and its source's plan."""
     rest = F.col("budget") - F.col("spent")
     nearer = F.when(2 * rest >= F.col("edge_words"), size).otherwise(0)
-    shared = F.floor(F.try_divide(size * rest, F.col("edge_words")))
-    part = (
-        F.when(F.col("mix_hash") < F.col("edge"), size)
-        .when(F.col("mix_hash") > F.col("edge"), 0)
-        .when(F.col("edge_rows") == 1, nearer)
-        .otherwise(shared)
-    )
+    part = F.when(F.col("mix_hash") < F.col("edge"), size).when(F.col("mix_hash") == F.col("edge"), nearer).otherwise(0)
     return (F.col("repeats") * size + F.coalesce(part, F.lit(0))).cast("long")
 
 
+def sharing() -> Column:
+    """Rows at which the budget ends together with rows that are alike."""
+    return F.coalesce((F.col("mix_hash") == F.col("edge")) & (F.col("edge_rows") > 1), F.lit(False))
+
+
+def with_words_before(written: DataFrame) -> DataFrame:
+    """Written rows with ``words_before``: those of the rows of the same source before, in order of place."""
+    placed = written.withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id()})
+    inside = Window.partitionBy("mix_key", "part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per source and partition that holds such rows
+    parts = placed.groupBy("mix_key", "part").agg(F.sum("size").alias("words"))
+    earlier = Window.partitionBy("mix_key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = checkpointed(parts.select("mix_key", "part", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("offset")))
+    return (
+        placed.withColumn("words_before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        .join(small_side(offsets, offsets.count()), ["mix_key", "part"])
+        .withColumn("words_before", F.col("words_before") + F.col("offset"))
+        .drop("part", "place", "offset")
+    )
+
+
 def mixed(docs: DataFrame) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` for every row of ``docs``."""
     rows = checkpointed(sized(docs))
     by_source = plan(rows)
-    return rows.join(small_side(by_source, by_source.count()), "mix_key").select(
-        "doc_id", "size", "source_size", "target", taken(F.col("size")).alias("taken")
-    )
+    joined = rows.join(small_side(by_source, by_source.count()), "mix_key")
+    columns = ["doc_id", "size", "source_size", "target"]
+    alone = joined.filter(~sharing()).select(*columns, taken(F.col("size")).alias("taken"))
+    if not by_source.filter("edge_rows > 1").head(1):
+        return alone
+    rest = F.col("budget") - F.col("spent")
+
+    def share(words: Column) -> Column:
+        return F.floor(words * rest / F.col("edge_words"))
+
+    own = share(F.col("words_before") + F.col("size")) - share(F.col("words_before"))
+    words = (F.col("repeats") * F.col("size") + own).cast("long")
+    alike = with_words_before(checkpointed(joined.filter(sharing())))
+    return alone.unionByName(alike.select(*columns, words.alias("taken")))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as the mix takes it, with its own columns.
 
-    A row taken in part, which happens among alike rows only, counts as taken from half of
-    its words on.
+    Of alike rows at which a budget ends, as many are taken whole as come nearest to it.
     """
     by_source = plan(checkpointed(sized(docs)))
     own = docs.columns
@@ -178,13 +205,16 @@ def mix(docs: DataFrame) -> DataFrame:
         source_key().alias("mix_key"),
         document_hash().alias("mix_hash"),
         word_count(text_of("text")).alias("size"),
-    )
+    ).join(small_side(by_source, by_source.count()), "mix_key")
     size = F.col("size")
-    times = F.when(size > 0, F.round(taken(size) / size)).otherwise(F.col("repeats")).cast("int")
+    whole = F.when(size > 0, F.round(taken(size) / size)).otherwise(F.col("repeats")).cast("int")
+    times = marked.filter(~sharing()).select("mix_row", whole.alias("times"))
+    if by_source.filter("edge_rows > 1").head(1):
+        alike = with_words_before(checkpointed(marked.filter(sharing())))
+        again = (F.col("words_before") + size / 2 <= F.col("budget") - F.col("spent")).cast("long")
+        times = times.unionByName(alike.select("mix_row", (F.col("repeats") + again).cast("int").alias("times")))
     return (
-        marked.join(small_side(by_source, by_source.count()), "mix_key")
-        .withColumn("times", times)
-        .filter(F.col("times") > 0)
+        times.filter(F.col("times") > 0)
         .withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times"))))
         .select(*[F.col("mix_row").getField(c).alias(c) for c in own])
     )

@@ -43,9 +43,12 @@ SELECT d.doc_id, d.size, p.source_size, p.target,
            WHEN g.before > p.target - p.repeats * p.source_size THEN 0
            WHEN g.alike = 1 THEN CASE
                WHEN 2 * (p.target - p.repeats * p.source_size - g.before) >= g.words THEN d.size ELSE 0 END
-           ELSE floor(d.size * (p.target - p.repeats * p.source_size - g.before) / g.words)
+           -- alike rows share what is left, to the word
+           ELSE floor((d.nth * d.size + d.size) * (p.target - p.repeats * p.source_size - g.before) / g.words)
+              - floor(d.nth * d.size * (p.target - p.repeats * p.source_size - g.before) / g.words)
        END AS BIGINT) AS taken
-FROM docs d JOIN plan p USING (k) JOIN placed g ON g.k = d.k AND g.h = d.h
+FROM (SELECT *, row_number() OVER (PARTITION BY k, h) - 1 AS nth FROM docs) d
+JOIN plan p USING (k) JOIN placed g ON g.k = d.k AND g.h = d.h
 """
 
 DECONTAMINATION = r"""

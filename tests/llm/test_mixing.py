@@ -1,7 +1,6 @@
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from lendwell.llm import mixing
 
@@ -54,12 +53,43 @@ def test_targets_and_sums(spark):
         assert abs(taken[s] - want[s]) <= largest / 2 + 1e-6
 
 
-def test_repeated_rows_share_what_is_left(spark):
-    rows = [(7, "one two three", "a")] * 500 + [(8, "w " * 3000, "b")]
-    got = mixing.mixed(frame(spark, rows)).groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()
+def taken_by_size(got):
+    out = {}
     for r in got:
-        if r["source_size"] == 1500:
-            assert abs(r["taken"] - r["target"]) <= 500
+        size, target, words = out.get(r["source_size"], (0, r["target"], 0))
+        out[r["source_size"]] = (size + r["size"], target, words + r["taken"])
+    return out
+
+
+@pytest.mark.parametrize("text", ["one", "one two three"])
+def test_alike_rows_share_what_is_left(spark, text):
+    """A source of rows alike in id and text whose target is neither its size nor twice as much."""
+    rows = [(7, text, "b")] * 20_000 + [(8, "w " * 40_000 * len(text.split()), "a")]
+    docs = frame(spark, rows).repartition(7)
+    got = mixing.mixed(docs).collect()
+    assert len(got) == len(rows) and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
+    size, target, words = taken_by_size(got)[20_000 * len(text.split())]
+    assert size < target < 2 * size and abs(words - target) <= 1
+    mix = mixing.mix(docs).filter("source = 'b'").count()
+    assert abs(mix * len(text.split()) - target) <= len(text.split()) / 2 + 1
+    again = mixing.mixed(frame(spark, rows[::-1]).repartition(3)).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got))
+
+
+def test_alike_rows_with_other_columns_of_their_own(spark):
+    rows = [(7, "one two", "b", i, "x") for i in range(501)] + [(8, "w " * 2000, "a", 0, "x")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    mix = mixing.mix(docs)
+    assert mix.columns == docs.columns
+    target = {r["source_size"]: r["target"] for r in mixing.mixed(docs).collect()}[1002]
+    assert abs(2 * mix.filter("source = 'b'").count() - target) <= 2
+    assert mix.filter("source = 'b'").select("size").distinct().count() == 501
+
+
+def test_long_texts(spark):
+    rows = [(1, "ab " * 400_000, "a"), (2, "ab", "a"), (3, "x y", "b")]
+    got = {r["doc_id"]: r["size"] for r in mixing.mixed(frame(spark, rows)).collect()}
+    assert got == {1: 400_000, 2: 1, 3: 2}
 
 
 def test_same_on_every_run_and_layout(spark):
