@@ -20,6 +20,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -34,12 +35,14 @@ from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_toke
 from lendwell.llm.common import text_of
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
-BATCH_CHARS = 4 << 20
+BATCH_CHARS = 512 << 10
 THREADS = 2
 MARK = "▁"
 SPACED = re.compile(r" +[^ ]*")
-# Parts whose ids a worker process keeps between batches.
-KNOWN_PARTS = 300_000
+# Parts whose ids a worker process keeps between batches, and parts that it encodes at once.
+KNOWN_PARTS, NEW_PARTS = 150_000, 20_000
+# Rows that are taken out of an Arrow batch at once.
+ROWS = 500
 
 # Field numbers and codes of the model format.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
@@ -183,8 +186,10 @@ class Encoder:
         self.in_parts = model.dummy_prefix and not model.trim_spaces and not model.character_map
         self.marker = self.tokenizer.token_to_id(MARK)
         self.in_parts = self.in_parts and self.marker is not None
-        # Ids, decoding gives the part again, both libraries agree
-        self.known: dict[str, tuple[list[int], bool, bool]] = {}
+        # Ids of a part as bytes; parts that decoding does not give again, and those the libraries differ on
+        self.known: dict[str, bytes] = {}
+        self.unlike: set[str] = set()
+        self.unequal: set[str] = set()
 
     def parts(self, text: str) -> list[str]:
         if not text:
@@ -197,31 +202,31 @@ class Encoder:
 
     def learn(self, parts: set[str]) -> None:
         if len(self.known) > KNOWN_PARTS:
-            self.known.clear()
+            for kept in (self.known, self.unlike, self.unequal):
+                kept.clear()
         new = [part for part in parts if part not in self.known]
-        ours = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        theirs = self.processor.encode(new, num_threads=1)
-        restored = self.tokenizer.decode_batch(ours, skip_special_tokens=False)
-        for part, ids, other, again in zip(new, ours, theirs, restored):
-            self.known[part] = (ids, again == part, ids == other)
+        for start in range(0, len(new), NEW_PARTS):
+            some = new[start : start + NEW_PARTS]
+            ours = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            theirs = self.processor.encode(some, num_threads=1)
+            restored = self.tokenizer.decode_batch(ours, skip_special_tokens=False)
+            self.known.update(zip(some, [array("i", ids).tobytes() for ids in ours]))
+            self.unlike.update(part for part, again in zip(some, restored) if part != again)
+            self.unequal.update(part for part, ids, other in zip(some, ours, theirs) if ids != other)
         # Nothing after the last space of a text: the marker alone.
-        self.known[""] = ([self.marker], True, True)
+        if self.marker is not None:
+            self.known[""] = array("i", [self.marker]).tobytes()
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool], list[bool]]:
         """All ids in one array, the texts' ends in it, and both checks per text."""
         cut = [self.parts(text) for text in texts]
-        different = set().union(*cut)
-        self.learn(different)
-        known, flat, ends, restored, parity = self.known, [], [0], [], []
-        unlike = {p for p in different if not known[p][1]}
-        unequal = {p for p in different if not known[p][2]}
-        for parts in cut:
-            for part in parts:
-                flat += known[part][0]
-            ends.append(len(flat))
-            restored.append(not unlike or unlike.isdisjoint(parts))
-            parity.append(not unequal or unequal.isdisjoint(parts))
-        return np.array(flat, np.int32), np.array(ends, np.int32), restored, parity
+        self.learn(set().union(*cut))
+        known = self.known
+        lists = [b"".join([known[part] for part in parts]) for parts in cut]
+        ends = np.cumsum([0, *(len(ids) // 4 for ids in lists)])
+        restored = [not self.unlike or self.unlike.isdisjoint(parts) for parts in cut]
+        parity = [not self.unequal or self.unequal.isdisjoint(parts) for parts in cut]
+        return np.frombuffer(b"".join(lists), np.int32), ends.astype(np.int32), restored, parity
 
 
 def pieces_of(columns: pa.Table, most: int) -> Iterator[pa.Table]:
@@ -240,7 +245,7 @@ def encoder(data: bytes, threads: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use_threads(threads)
         encode = Encoder(data)
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             for piece in pieces_of(pa.Table.from_batches([batch]), BATCH_CHARS):
                 flat, ends, restored, parity = encode(piece["text"].to_pylist())
                 yield pa.RecordBatch.from_arrays(

@@ -1,3 +1,5 @@
+import struct
+
 import pytest
 import sentencepiece
 
@@ -60,3 +62,61 @@ def test_model_file(tmp_path):
 
 def test_empty_table(spark):
     assert s.encoded(frame(spark, [])).count() == 0
+
+
+def message(fields):
+    """Fields of one message in the wire format: numbers, floats, text or bytes."""
+
+    def varint(n):
+        out = bytearray()
+        while n > 0x7F:
+            out.append(n & 0x7F | 0x80)
+            n >>= 7
+        return bytes(out + bytes([n]))
+
+    out = b""
+    for number, value in fields:
+        if isinstance(value, bool) or isinstance(value, int):
+            out += varint(number << 3) + varint(int(value))
+        elif isinstance(value, float):
+            out += varint(number << 3 | 5) + struct.pack("<f", value)
+        else:
+            data = value.encode() if isinstance(value, str) else value
+            out += varint(number << 3 | 2) + varint(len(data)) + data
+    return out
+
+
+def unigram_model(fallback, trim, mapped):
+    """A small unigram model, with or without byte fallback, trimmed spaces and a map of characters."""
+    pieces = [("<unk>", 0.0, s.UNKNOWN), ("<s>", 0.0, s.CONTROL), ("</s>", 0.0, s.CONTROL)]
+    if fallback:
+        pieces += [(f"<0x{b:02X}>", 0.0, s.BYTE) for b in range(256)]
+    words = ["▁", "▁the", "▁th", "e", "h", "t", "he", "▁cat", "▁c", "at", "a", "c", "s", "▁s", "sat", "on", "▁on", "o", "n", ".", "fi", "1", "2", "Å", "ñ"]
+    pieces += [(w, -1.0 - 0.37 * i, s.NORMAL) for i, w in enumerate(words)]
+    rules = [(1, "test"), (2, b"")]
+    if mapped:
+        whole = dict(s.fields(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()))[s.NORMALIZER]
+        rules = [(1, "nmt_nfkc"), (2, dict(s.fields(whole))[2])]
+    rules += [(3, True), (4, trim), (5, True)]
+    trainer = [(3, s.UNIGRAM), (35, fallback)]
+    return message(
+        [(s.PIECES, message([(1, p), (2, score), (3, kind)])) for p, score, kind in pieces]
+        + [(s.TRAINER, message(trainer)), (s.NORMALIZER, message(rules))]
+    )
+
+
+@pytest.mark.parametrize("fallback", [True, False])
+@pytest.mark.parametrize("trim", [True, False])
+@pytest.mark.parametrize("mapped", [True, False])
+def test_unigram_models(spark, tmp_path, fallback, trim, mapped):
+    data = unigram_model(fallback, trim, mapped)
+    model = s.parsed(data)
+    assert model.kind == s.UNIGRAM and model.byte_fallback == fallback and bool(model.character_map) == mapped
+    path = tmp_path / "unigram.model"
+    path.write_bytes(data)
+    processor = sentencepiece.SentencePieceProcessor(model_proto=data)
+    texts = ["the cat sat on the cat.", "  the   cat ", "ﬁ ﬁt Å ñ １２", "the\tcat\nsat", "zebra 日本 🎉", "", " ", "cat" * 50, "the  ", "é ñ"]
+    got = {r["doc_id"]: r for r in s.encoded(frame(spark, list(enumerate(texts))), str(path)).collect()}
+    for i, text in enumerate(texts):
+        assert got[i]["ids"] == processor.encode(text), (text, fallback, trim, mapped)
+        assert got[i]["parity"]
