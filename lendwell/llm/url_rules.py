@@ -1,21 +1,28 @@
 """URL filter by association rules, beside a list of given host and path rules.
 
 Urls are cut into tokens (words of the host, of the path, names of query parameters, ending,
-fragment). Combinations of up to three tokens are counted exactly over all tokens that are frequent
-in blocked urls, larger ones grown from frequent smaller ones; combinations that imply the block
-label with enough support and confidence become rules. Rules are matched by
-an inverted index: each rule is listed under its least frequent token, the tokens of the
-different urls are joined with that list, and a rule holds when the url has all its tokens.
+fragment). Tokens that are frequent in blocked urls are looked at:
+
+1. A token that alone implies the block label with enough confidence is a rule; combinations with it
+   would add nothing, so it is left out of the rest.
+2. Tokens that occur in exactly the same labelled urls become one item, which stands for all of them.
+3. Spark's FP-growth mines the items of all labelled urls together with the label. Its association
+   rules from combinations of items to the label are kept by support and confidence.
+
+Rules are matched by an inverted index: each rule is listed under its least frequent token, the tokens
+of the different urls are joined with that list, and a rule holds when the url has all its tokens.
 
 A url is labelled by whoever calls: the registered query blocks pages whose document is
 labelled low or toxic, and, as weak labels, urls with a word of a list of spam words.
 
 Given rules name a host and the start of a path; the longest that fits decides, and mined
-rules decide for all other urls.
+rules decide for all other urls. Mined rules are shown for every url that one fits.
 
 Cases: a url that is null or has no ``://`` has an empty host and path, no tokens, and is
-allowed; repeated rows each give a row; null labels are left out; without labelled urls
-nothing is mined; no pages give no rows.
+allowed; long urls are cut into tokens whole; repeated rows each give a row; null labels are left out;
+without labelled urls nothing is mined; of several rules that fit, the first in order of text is shown; other
+columns do not matter; no pages give no rows. Combinations grow with the number of frequent items that vary within one url,
+as FP-growth does; the first two steps take out those that do not vary.
 """
 
 from __future__ import annotations
@@ -24,8 +31,8 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from fractions import Fraction
-from functools import reduce
 
+from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +44,6 @@ ALLOW, BLOCK = "allow", "block"
 MIN_SUPPORT = 0.001
 MIN_URLS = 10
 MIN_CONFIDENCE = 0.9
-# A combination has so many tokens at most.
-RULE_TOKENS = 3
 # Words that mark spam sites, as weak labels.
 SPAM_WORDS = ("bet", "bets", "betting", "casino", "pills", "poker", "porn", "viagra", "xxx", "ads")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -113,6 +118,22 @@ def given_rule(rules: Sequence[Rule]) -> Column:
     return F.coalesce(*fitting, F.lit(None).cast("struct<rule:string,verdict:string>"))
 
 
+RULES = "rule_tokens array<string>, confidence double, support double"
+
+
+def merged_items(flat: DataFrame) -> DataFrame:
+    """``token, item, tokens``: tokens of the same rows are one item, named by the first of them.
+
+    Rows are told by their number and two sums of hashes of row numbers.
+    """
+    rows_of = flat.groupBy("token").agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("row")).alias("x"), F.sum(F.hash("row").cast("long")).alias("s")
+    )
+    # At most (tokens of a url) / MIN_SUPPORT tokens are frequent.
+    items = rows_of.groupBy("n", "x", "s").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+    return items.select(F.explode("tokens").alias("token"), F.col("tokens")[0].alias("item"), "tokens")
+
+
 def mined_rules(
     labelled: DataFrame,
     min_support: float = MIN_SUPPORT,
@@ -124,47 +145,55 @@ def mined_rules(
     rows = checkpointed(
         labelled.filter(F.col("blocked").isNotNull()).select(
             F.monotonically_increasing_id().alias("row"),
-            F.col("blocked").cast("boolean").cast("long").alias("blocked"),
+            F.col("blocked").cast("boolean").alias("blocked"),
             tokens_of(url, host_of(url), path_of(url)).alias("tokens"),
         )
     )
     total = rows.count()
+    none = rows.sparkSession.createDataFrame([], RULES)
     if not total:
-        return rows.sparkSession.createDataFrame([], "rule_tokens array<string>, confidence double, support double")
+        return none
     # Support counts all labelled urls, also those without a frequent token.
     needed = max(min_urls, math.ceil(Fraction(str(min_support)) * total))
-    sums = (F.sum("blocked").alias("blocked"), F.sum("urls").alias("urls"))
-    flat = rows.select("row", "blocked", F.lit(1).cast("long").alias("urls"), F.explode("tokens").alias("token"))
-    # At most (tokens of a url) * total / needed tokens are in so many blocked urls.
-    frequent = checkpointed(flat.groupBy("token").agg(*sums).filter(F.col("blocked") >= needed))
-    # Urls with equal frequent tokens count together.
-    sets = checkpointed(
-        flat.join(small_side(frequent.select("token"), frequent.count()), "token")
-        .groupBy("row", "blocked", "urls")
-        .agg(F.sort_array(F.collect_list("token")).alias("rest"))
-        .groupBy("rest")
-        .agg(*sums)
+    flat = rows.select("row", "blocked", F.explode("tokens").alias("token"))
+    frequent = checkpointed(
+        flat.groupBy("token")
+        .agg(F.count_if("blocked").alias("blocked"), F.count(F.lit(1)).alias("urls"))
+        .filter(F.col("blocked") >= needed)
     )
-    found = [frequent.select(F.array("token").alias("rule_tokens"), "blocked", "urls")]
-    grown = sets.select(F.array().cast("array<string>").alias("rule_tokens"), "rest", "blocked", "urls")
-    for size in range(1, RULE_TOKENS + 1):
-        # A combination can only be frequent when the one without its last token is.
-        if size > 2:
-            last = found[-1].select("rule_tokens")
-            grown = grown.join(small_side(last, last.count()), "rule_tokens", "left_semi")
-        grown = grown.select("rule_tokens", "rest", "blocked", "urls", F.posexplode("rest").alias("at", "token")).select(
-            F.concat("rule_tokens", F.array("token")).alias("rule_tokens"),
-            F.slice("rest", F.col("at") + 2, F.size("rest")).alias("rest"),
-            "blocked", "urls",
-        )
-        if size > 1:
-            found.append(checkpointed(grown.groupBy("rule_tokens").agg(*sums).filter(F.col("blocked") >= needed)))
     confidence = F.col("blocked") / F.col("urls")
-    return (
-        reduce(DataFrame.union, found)
-        .select("rule_tokens", confidence.alias("confidence"), (F.col("blocked") / total).alias("support"))
-        .filter(F.col("confidence") >= min_confidence)
+    single = confidence >= min_confidence
+    alone = frequent.filter(single).select(
+        F.array("token").alias("rule_tokens"), confidence.alias("confidence"), (F.col("blocked") / total).alias("support")
+    )
+    rest = frequent.filter(~single).select("token")
+    number = rest.count()
+    if number < 2:
+        return alone
+    kept = checkpointed(flat.join(small_side(rest, number), "token"))
+    items = checkpointed(merged_items(kept))
+    sets = (
+        kept.join(small_side(items.select("token", "item"), number), "token")
+        .groupBy("row", "blocked")
+        .agg(F.collect_set("item").alias("items"))
+    )
+    label = F.when(F.col("blocked"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>"))
+    baskets = checkpointed(sets.select(F.concat("items", label).alias("items")))
+    # Half an url less, so that the product does not round up to one url more.
+    share = (needed - 0.5) / baskets.count()
+    mined = FPGrowth(itemsCol="items", minSupport=min(share, 1.0), minConfidence=min_confidence).fit(baskets)
+    to_block = mined.associationRules.filter(F.col("consequent")[0] == BLOCK)
+    numbered = checkpointed(
+        to_block.select(F.sort_array("antecedent").alias("antecedent"), "confidence", (F.col("support") * F.lit(float(baskets.count())) / total).alias("support"))
+    )
+    tokens = items.select("item", "tokens").distinct()
+    spelled = (
+        numbered.select("*", F.explode("antecedent").alias("item"))
+        .join(small_side(tokens, number), "item")
+        .groupBy("antecedent", "confidence", "support")
+        .agg(F.sort_array(F.flatten(F.collect_list("tokens"))).alias("rule_tokens"))
     )
+    return alone.unionByName(spelled.select("rule_tokens", "confidence", "support"))
 
 
 def inverted_index(rules: DataFrame, urls: DataFrame) -> DataFrame:
@@ -173,7 +202,7 @@ def inverted_index(rules: DataFrame, urls: DataFrame) -> DataFrame:
     used = parts.select("token").distinct()
     counts = (
         urls.select(F.explode("tokens").alias("token"))
-        .join(F.broadcast(used) if used.count() < 100_000 else used, "token", "left_semi")
+        .join(small_side(used, used.count()), "token", "left_semi")
         .groupBy("token")
         .agg(F.count(F.lit(1)).alias("urls"))
     )
@@ -195,17 +224,18 @@ def judged(pages: DataFrame, labelled: DataFrame, given: Sequence[Rule] = GIVEN)
     count = rules.count()
     listed = given_rule(given)
     if count:
-        different = rows.filter(listed.isNull()).select("url", "host", "path").filter("url IS NOT NULL").distinct()
+        different = rows.select("url", "host", "path").filter("url IS NOT NULL").distinct()
         urls = different.select("url", tokens_of(F.col("url"), F.col("host"), F.col("path")).alias("tokens"))
         index = small_side(checkpointed(inverted_index(rules, urls)), count)
-        hits = (
+        hits = checkpointed(
             urls.withColumn("token", F.explode("tokens"))
             .join(index, "token")
             .filter(F.size(F.array_except("rule_tokens", "tokens")) == 0)
             .groupBy("url")
             .agg(F.min(F.concat_ws(" ", "rule_tokens")).alias("mined_rule"))
         )
-        rows = rows.join(hits, "url", "left")
+        found = rows.filter("url IS NOT NULL").join(small_side(hits, hits.count()), "url", "left")
+        rows = found.unionByName(rows.filter("url IS NULL").withColumn("mined_rule", F.lit(None).cast("string")))
     else:
         rows = rows.withColumn("mined_rule", F.lit(None).cast("string"))
     by_method = F.when(F.col("mined_rule").isNotNull(), BLOCK).otherwise(ALLOW)
