@@ -1,19 +1,25 @@
 """Main text of web pages, with site templates found by counting element subtrees per host.
 
 First pass: every page is parsed, its container elements are hashed bottom-up (tag, own text
-and child hashes), and Spark counts in how many different pages of a host each hash occurs.
-Pages with equal main text count once, so copies of one article do not turn it into a
-template. Second pass: subtrees that recur in a share of the host's pages, or in a number of
-pages that are no near copies of each other, are deleted, as are elements that by tag, role or
-class are no article text; what is left of the article becomes blocks.
+and child hashes), and Spark counts in how many pages of a host each hash occurs. Pages that are near
+copies of each other count once, so that copies of one article do not turn its parts into templates.
+They are told by MinHash bands over runs of five words of the main text, 16 numbers a page: texts that share 0.8
+of their runs share a band with a probability of 0.9998, others with less than half in common rarely.
+Second pass: subtrees that recur in a share of the host's unlike pages, or in a number of
+them, are deleted, as are elements that by tag, role or class are no article text; what is left of the
+article becomes blocks.
 
 A page's article is its ``article`` elements, else its ``main`` element, else its body. Inside
-an article only containers can be templates; paragraphs, headings, lists and tables stay
-however often they recur.
+an article paragraphs, headings and quotations stay however often they recur; lists, tables, figures
+and other containers are counted. A class or id says that an element is no text if a whole name does, such as
+``sidebar``, or all words of a name say so or nothing, such as ``site-footer`` or ``share-buttons``, but not
+``social-history``; inside an article fewer names count.
 
 Cases: null or empty html gives an empty text; unclosed and crossed tags are closed as
-browsers do; a page without a host is counted with all others without one; repeated rows each
-give a row; no pages give no rows. Parsing is linear in the page's length.
+browsers do; a reference that is cut by a tag is none; a page without a host is counted with all others
+without one; repeated rows each give a row; very long and deeply nested pages are parsed in time and memory
+that grow with their length, alone in their piece; no pages give no rows; other columns do not matter. A box that is most
+of the text of its pages makes them near copies, and stays.
 """
 
 from __future__ import annotations
@@ -22,24 +28,28 @@ import html as entities
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from fractions import Fraction
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lendwell.llm.common import by_bytes, small_side
-from lendwell.llm.jaccard_join import linked
+from lendwell.llm.components import components
+from lendwell.llm.words import mixed, shingles, words_of
 from lendwell.session import checkpointed
 
-# A subtree is a template when it is in this share of a host's pages, and in so many at least,
+# A subtree is a template when it is in this share of a host's unlike pages, and in so many at least,
 TEMPLATE_SHARE = 0.1
 TEMPLATE_PAGES = 5
-# or, on a host of any size, in so many pages whose texts are no near copies of each other.
+# or, on a host of any size, in so many unlike pages.
 UNLIKE_PAGES = 20
-NEAR_SHINGLE, NEAR_THRESHOLD = 5, Fraction(4, 5)
-PIECE_CHARS = 16 << 20
+# Runs of words, bands and values of a band that tell near copies.
+NEAR_SHINGLE, BANDS, BAND_ROWS = 5, 16, 4
+# Texts with fewer runs have a hash for every value.
+FEW_RUNS = 256
+PIECE_CHARS = 1 << 20
 
 # Element names of HTML and words that name parts of a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,9 +59,9 @@ BLOCK = frozenset(
     "form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section "
     "summary table caption tbody td tfoot th thead tr ul".split()
 )
+# Not counted inside an article: its prose, and parts of lists and tables, which are counted as wholes.
 PROSE = frozenset(
-    "p h1 h2 h3 h4 h5 h6 hgroup blockquote pre ul ol li dl dt dd table caption thead tbody tfoot tr td th figure "
-    "figcaption address".split()
+    "p h1 h2 h3 h4 h5 h6 hgroup blockquote pre li dt dd caption thead tbody tfoot tr td th figcaption address".split()
 )
 # Elements that end an open element of their own kind, up to the list or table they are in.
 ENDS = {
@@ -75,6 +85,18 @@ NO_TEXT_NAMES = frozenset(
     "respond share sharing social related recommended newsletter subscribe popup modal footer masthead pagination "
     "pager login signup".split()
 )
+# Words of compound names that say nothing by themselves.
+FILLER = frozenset(
+    "site page main top bottom left right list lists item items box boxes bar bars wrapper wrap container inner outer area "
+    "block section widget widgets link links post posts button buttons icon icons title header head primary secondary "
+    "global mobile desktop form forms".split()
+)
+# The names that also count inside an article.
+NEVER_TEXT = frozenset(
+    "ad ads adv advert adverts advertisement advertisements sponsor sponsored cookie cookies consent gdpr sidebar "
+    "sidebars nav navbar navigation breadcrumb breadcrumbs comment comments disqus respond share sharing newsletter "
+    "subscribe popup modal pagination pager login signup".split()
+)
 NO_ARTICLE_NAMES = frozenset("comment ad ads advert sponsored promo related teaser".split())
 DEEP = 64
 
@@ -85,6 +107,7 @@ TAG = re.compile(
     r"|<[!?/][^>]*+>",
     re.S,
 )
+COMMENT = re.compile(r"<!--.*", re.S)
 MARKS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true", re.I)
 NAME = re.compile(r"[a-z0-9]+")
@@ -94,26 +117,34 @@ NAME = re.compile(r"[a-z0-9]+")
 class Block:
     text: str
     place: str  # article, main or body
-    inside: tuple[int, ...]  # hashes' positions of the containers around it
+    inside: int  # number of the innermost container around it, or -1
 
 
 @dataclass
 class Page:
     blocks: list[Block] = field(default_factory=list)
     hashes: list[int] = field(default_factory=list)  # by container; 0 while open
+    around: list[int] = field(default_factory=list)  # the next container around each, a smaller number, or -1
     article: bool = False
     main: bool = False
 
     def text(self, templates: frozenset[int] | set[int] = frozenset()) -> str:
         place = "article" if self.article else "main" if self.main else "body"
-        left = [
-            b.text
-            for b in self.blocks
-            if (b.place == place or place == "body") and not any(self.hashes[i] in templates for i in b.inside)
-        ]
+        gone = [False] * (len(self.hashes) + 1)  # the last one stands for no container
+        for number, (digest, outer) in enumerate(zip(self.hashes, self.around)):
+            gone[number] = gone[outer] or digest in templates
+        left = [b.text for b in self.blocks if (b.place == place or place == "body") and not gone[b.inside]]
         return "\n\n".join(left)
 
 
+def says_no_text(name: str, names: frozenset[str]) -> bool:
+    """Whether a whole class name, or all its words together, are among ``names``."""
+    if name in names:
+        return True
+    words = NAME.findall(name)
+    return not names.isdisjoint(words) and all(w in names or w in FILLER for w in words)
+
+
 def unwanted(tag: str, attributes: str, in_article: bool) -> bool:
     """True for elements that by tag, role or class hold no article text."""
     if tag in NO_TEXT_TAGS or (tag == "header" and not in_article):
@@ -132,7 +163,7 @@ def unwanted(tag: str, attributes: str, in_article: bool) -> bool:
         elif tag in ("article", "main"):
             if not NO_ARTICLE_NAMES.isdisjoint(value.split()):
                 return True
-        elif not NO_TEXT_NAMES.isdisjoint(NAME.findall(value)):
+        elif any(says_no_text(name, NEVER_TEXT if in_article else NO_TEXT_NAMES) for name in value.split()):
             return True
     return False
 
@@ -140,21 +171,21 @@ def unwanted(tag: str, attributes: str, in_article: bool) -> bool:
 def parse(source: str) -> Page:
     """Blocks and container hashes of a page."""
     page = Page()
-    # Frames: tag, hash parts, hidden, place, container number or -1
-    stack: list[tuple[str, list[str], bool, str, int]] = [("", [], False, "body", -1)]
+    # Frames: tag, hash parts, hidden, place, container number or -1, number of the innermost container
+    stack: list[tuple[str, list[str], bool, str, int, int]] = [("", [], False, "body", -1, -1)]
     open_tags: dict[str, int] = {}
     words: list[str] = []
 
     def end_block() -> None:
         if words:
-            text = " ".join(entities.unescape("".join(words)).split())
+            text = " ".join("".join(words).split())
             words.clear()
             if text:
                 top = stack[-1]
-                page.blocks.append(Block(text, top[3], tuple(f[4] for f in stack if f[4] >= 0)))
+                page.blocks.append(Block(text, top[3], top[5]))
 
     def close() -> None:
-        tag, parts, _, _, number = stack[-1]
+        tag, parts, _, _, number, _ = stack[-1]
         if tag in BLOCK:
             end_block()
         stack.pop()
@@ -179,17 +210,18 @@ def parse(source: str) -> Page:
             frame = stack[-1]
             frame[1].append(piece)
             if not frame[2]:
-                words.append(piece)
+                words.append(entities.unescape(piece))
 
-    at, size = 0, len(source)
+    at, size, last = 0, len(source), source.rfind(">")
     while at < size:
-        found = TAG.search(source, at)
+        # Without another ">" only a comment can follow; looking for tags would start over at every "<".
+        found = TAG.search(source, at) if at <= last else COMMENT.search(source, at)
         if not found:
             text(source[at:])
             break
         text(source[at : found.start()])
         at = found.end()
-        tag = (found[2] or found[5] or "").lower()
+        tag = (found[2] or found[5] or "").lower() if found.re is TAG else ""
         if not tag:
             continue
         attributes = found[3] or found[6] or ""
@@ -220,7 +252,7 @@ def parse(source: str) -> Page:
             if tag in ENDS and any(open_tags.get(t) for t in ENDS[tag][0]):
                 close_to(*ENDS[tag])
             end_block()
-        _, _, hidden, place, _ = stack[-1]
+        _, _, hidden, place, _, inner = stack[-1]
         hidden = hidden or unwanted(tag, attributes, place == "article")
         if tag in ("article", "main") and not hidden:
             if tag == "article":
@@ -231,8 +263,10 @@ def parse(source: str) -> Page:
         if block and tag not in ("html", "body", "head", "article", "main") and (place != "article" or tag not in PROSE):
             number = len(page.hashes)
             page.hashes.append(0)
+            page.around.append(inner)
+            inner = number
         # A self-closing mark means nothing on HTML elements.
-        stack.append((tag, [], hidden, place, number))
+        stack.append((tag, [], hidden, place, number, inner))
         open_tags[tag] = open_tags.get(tag, 0) + 1
     while len(stack) > 1:
         close()
@@ -240,16 +274,57 @@ def parse(source: str) -> Page:
     return page
 
 
+def bands(texts: list[str]) -> np.ndarray:
+    """MinHash bands of texts: 64-bit numbers, which near copies share some of.
+
+    In long texts a run of words has one hash, whose first bits choose the value that it may lower; in
+    texts with few runs it has a hash for every value. A text without a run of so many words has
+    bands of its own.
+    """
+    values = BANDS * BAND_ROWS
+    words = words_of(texts)
+    hashes, valid = shingles(words, NEAR_SHINGLE)
+    hashes, docs = hashes[valid], words.docs[: len(hashes)][valid]
+    empty = np.uint64(2**64 - 1)
+    table = np.full((len(texts), values), empty)
+    many = np.bincount(docs, minlength=len(texts)) >= FEW_RUNS
+    long = many[docs]
+    np.minimum.at(table, (docs[long], (hashes[long] >> np.uint64(58)).astype(np.int64) % values), mixed(hashes[long]))
+    # Values that no run chose take the next one's.
+    for _ in range(values - 1):
+        gaps = (table == empty) & many[:, None]
+        if not gaps.any():
+            break
+        table = np.where(gaps, np.roll(table, -1, axis=1), table)
+    hashes, docs = hashes[~long], docs[~long]
+    if len(docs):
+        starts = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]]))
+        for value in range(values):
+            table[docs[starts], value] = np.minimum.reduceat(mixed(hashes + mixed(np.uint64([value + 1]))), starts)
+    whole = np.array([xxhash.xxh64_intdigest(t) for t in texts], np.uint64)
+    table = np.where((table == empty).all(axis=1)[:, None], mixed(whole)[:, None], table)
+    out = np.zeros((len(texts), BANDS), np.uint64)
+    for row in range(BAND_ROWS):
+        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + table[:, row::BAND_ROWS])
+    # A band is only compared with the same band.
+    return mixed(out + np.arange(BANDS, dtype=np.uint64)) >> np.uint64(1)
+
+
 def subtrees(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Page, host, hash of the main text and container hashes of every page."""
+    """Page, host, hash and bands of the main text, and container hashes of every page."""
     for frame in by_bytes(frames, "html", PIECE_CHARS):
-        pages = [parse(source or "") for source in frame["html"]]
+        texts, hashes = [], []
+        for source in frame["html"]:
+            page = parse(source or "")
+            texts.append(page.text())
+            hashes.append(sorted(set(page.hashes)))
         yield pd.DataFrame(
             {
                 "page": frame["page"],
                 "host": frame["host"],
-                "content": [xxhash.xxh64_intdigest(p.text()) >> 1 for p in pages],
-                "hashes": [sorted(set(p.hashes)) for p in pages],
+                "content": [xxhash.xxh64_intdigest(t) >> 1 for t in texts],
+                "bands": list(bands(texts).astype(np.int64)),
+                "hashes": hashes,
             }
         )
 
@@ -272,32 +347,15 @@ def host_of(url: str) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(rest, r"^[^/?#]*", 0), F.lit("")))
 
 
-def main_texts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Main text of every page with its hash."""
-    for frame in by_bytes(frames, "html", PIECE_CHARS):
-        texts = [parse(source or "").text() for source in frame["html"]]
-        yield pd.DataFrame({"content": [xxhash.xxh64_intdigest(t) >> 1 for t in texts], "text": texts})
-
-
-def unlike_pages(pages: DataFrame, holding: DataFrame) -> DataFrame:
-    """``host, hash, unlike``: in how many pages of ``holding`` (host, hash, page, content) that are no near copies.
-
-    Texts that the Jaccard join links, also by way of others, count once.
-    """
-    wanted = checkpointed(holding.select("page").distinct())
-    texts = checkpointed(
-        pages.join(small_side(wanted, wanted.count()), "page", "left_semi")
-        .select("html")
-        .mapInPandas(main_texts, "content long, text string")
-        .groupBy("content")
-        .agg(F.min("text").alias("text"))
+def near_copies(different: DataFrame, hosts: DataFrame) -> DataFrame:
+    """``page, group``: pages of some hosts that share a band with another, also by way of others, and their least page."""
+    keyed = different.join(small_side(hosts, hosts.count()), "host", "left_semi").select(
+        "host", "page", F.explode("bands").alias("band")
     )
-    group = F.coalesce("component", "doc_id").alias("group")
-    groups = linked(texts.withColumnRenamed("content", "doc_id"), NEAR_SHINGLE, NEAR_THRESHOLD).select(
-        F.col("doc_id").alias("content"), group
-    )
-    apart = holding.join(checkpointed(groups), "content").select("host", "hash", "group").distinct()
-    return apart.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("unlike"))
+    least = keyed.groupBy("host", "band").agg(F.min("page").alias("b"), F.max("page").alias("most")).filter("b <> most")
+    least = checkpointed(least.select("host", "band", "b"))
+    edges = keyed.join(small_side(least, least.count()), ["host", "band"]).select(F.col("page").alias("a"), "b")
+    return components(edges).select(F.col("vertex").alias("page"), F.col("component").alias("group"))
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -305,28 +363,34 @@ def templates(pages: DataFrame) -> DataFrame:
 
     ``pages`` has ``page`` (a hash of host and html), ``host`` and ``html``.
     """
-    found = checkpointed(pages.mapInPandas(subtrees, "page long, host string, content long, hashes array<long>"))
-    different = found.groupBy("host", "content").agg(F.min(F.struct("hashes", "page")).alias("least"))
-    flat = different.select(
-        "host", "content", "least.page", F.explode(F.concat(F.array(F.lit(-1).cast("long")), "least.hashes")).alias("hash")
-    )
-    counts = checkpointed(
-        flat.groupBy("host", "hash")
-        .agg(F.count(F.lit(1)).alias("pages"))
-        .filter((F.col("hash") == -1) | (F.col("pages") >= TEMPLATE_PAGES))
+    fields = "page long, host string, content long, bands array<long>, hashes array<long>"
+    found = checkpointed(pages.mapInPandas(subtrees, fields))
+    # Pages with equal main text count once.
+    least = F.min(F.struct("hashes", "page", "bands")).alias("least")
+    different = found.groupBy("host", "content").agg(least).select("host", "least.*")
+    flat = different.select("host", "page", F.explode("hashes").alias("hash"))
+    counts = flat.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= TEMPLATE_PAGES)
+    candidates = checkpointed(counts.select("host", "hash"))
+    number = candidates.count()
+    if not number:
+        return found.select("page", F.col("hashes").alias("templates")).limit(0)
+    hosts = checkpointed(candidates.select("host").distinct())
+    groups = checkpointed(near_copies(different, hosts))
+    copies = groups.count()
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        return rows.join(small_side(groups, copies), "page", "left").withColumn("group", F.coalesce("group", "page"))
+
+    all_groups = grouped(different.select("host", "page")).select("host", "group").distinct()
+    sizes = checkpointed(all_groups.groupBy("host").agg(F.count(F.lit(1)).alias("all_groups")))
+    holding = grouped(flat.join(small_side(candidates, number), ["host", "hash"])).select("host", "hash", "group").distinct()
+    unlike = holding.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("unlike"))
+    enough = (F.col("unlike") >= TEMPLATE_PAGES) & (F.col("unlike") >= TEMPLATE_SHARE * F.col("all_groups"))
+    known = checkpointed(
+        unlike.join(small_side(sizes, sizes.count()), "host")
+        .filter(enough | (F.col("unlike") >= UNLIKE_PAGES))
+        .select("host", "hash")
     )
-    # The hash -1 stands for the page itself.
-    all_pages = counts.filter("hash = -1").select("host", F.col("pages").alias("all_pages"))
-    recurring = counts.filter("hash <> -1").join(small_side(all_pages, all_pages.count()), "host")
-    by_share = F.col("pages") >= TEMPLATE_SHARE * F.col("all_pages")
-    known = recurring.filter(by_share).select("host", "hash")
-    open_ones = checkpointed(recurring.filter(~by_share & (F.col("pages") >= UNLIKE_PAGES)).select("host", "hash"))
-    number = open_ones.count()
-    if number:
-        holding = checkpointed(flat.join(small_side(open_ones, number), ["host", "hash"]))
-        enough = unlike_pages(pages, holding).filter(F.col("unlike") >= UNLIKE_PAGES)
-        known = known.union(enough.select("host", "hash"))
-    known = checkpointed(known)
     own = found.select("page", "host", F.explode("hashes").alias("hash")).join(
         small_side(known, known.count()), ["host", "hash"]
     )
