@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from checks import oracles  # noqa: E402
 from lendwell.functions import credit as fx  # noqa: E402
 from lendwell.functions.columns import rounded as exact  # noqa: E402
-from lendwell.operators import evaluation, quality  # noqa: E402
+from lendwell.operators import check_state, evaluation, quality  # noqa: E402
 from lendwell.plans import (  # noqa: E402
     dashboard, feature_queries as fq, features as feat, jobs, reports as rq, requests as req, scoring, training,
 )
@@ -264,6 +264,17 @@ def dq_referential_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.key_checks(parent, named, "customer_id", "customers", unique=())
 
 
+def dq_suite_from_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suite from the state of three deliveries that hold all rows of the tables between them."""
+    t = lending_tables(spark, sf_dir)
+    path = scratch_path(spark, "check-state")
+    for number in range(3):
+        rows = {name: df.filter(F.pmod(F.xxhash64(*df.columns), F.lit(3)) == number)
+                for name, df in zip(check_state.TABLES, t.staging)}
+        check_state.record(rows, path, AS_OF + dt.timedelta(days=number))
+    return check_state.suite_from_state(spark, path)
+
+
 def dq_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outliers by column, beside the check of their table."""
     return quality.with_anomaly_check(
@@ -488,7 +499,7 @@ def stream_request_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
 FOLDER_QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        dq_missing_values, dq_duplicates, dq_value_ranges, dq_referential_integrity, dq_anomalies,
+        dq_suite_from_deliveries, dq_missing_values, dq_duplicates, dq_value_ranges, dq_referential_integrity, dq_anomalies,
         dq_data_types, dq_business_rules, dq_impute, req_validate, req_features, req_batch_status, req_batch_summary,
         ml_feature_prep, ml_model_comparison, ml_feature_importance, ml_batch_scores, ml_explain, req_batch_scores,
         fq_high_risk_customers, rq_risk_factors, unscored_customers,

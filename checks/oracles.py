@@ -692,6 +692,7 @@ BODIES: dict[str, str] = {
     "dq_documented_rules": " UNION ALL ".join(rule_rows(t, rules) for t, rules in DOCUMENTED.items()),
     "dq_summary": SUMMARY,
     "dq_suite": SUITE,
+    "dq_suite_from_deliveries": SUITE,
     "dq_latest_timestamps": """
         SELECT (SELECT max(created_at) FROM customers) AS latest_customer,
                (SELECT max(created_at) FROM credit_history) AS latest_credit,

@@ -25,6 +25,8 @@ def parser() -> argparse.ArgumentParser:
     for command in (etl, check):
         command.add_argument("--staging", required=True)
     etl.add_argument("--features", required=True)
+    check.add_argument("--state", help="keep counts of this delivery here, and check all deliveries")
+    check.add_argument("--at", type=dt.datetime.fromisoformat, default=None)
     train = commands.add_parser("train", help="fit, compare and save the models")
     train.add_argument("--features", required=True)
     train.add_argument("--models", required=True)
@@ -48,6 +50,8 @@ def run(args: argparse.Namespace, spark: SparkSession):
     now = dt.datetime.now()
     if args.job == "etl":
         return jobs.build_features(spark, args.staging, args.features)
+    if args.job == "check" and args.state:
+        return jobs.check_delivery(spark, args.staging, args.state, (args.at or now).date())
     if args.job == "check":
         data = tables.read_staging(spark, args.staging)
         names = ("customers", "credit_history", "transactions", "loan_applications")

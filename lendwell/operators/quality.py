@@ -179,6 +179,14 @@ def row_checks(
     counted = df.agg(
         F.count(F.lit(1)).alias("total"), *[F.count_if(r.bad).alias(f"rule_{i}") for i, r in enumerate(rules)]
     )
+    return checks_of_counts(counted, table, checks, rules, threshold, strict)
+
+
+def checks_of_counts(
+    counted: DataFrame, table: str, checks: Sequence[str], rules: Sequence[Rule],
+    threshold: float = 0.3, strict: bool = False,
+) -> DataFrame:
+    """Check rows from one row of counts: ``total`` rows, and the bad rows ``rule_<i>`` of every rule."""
 
     def message(i: int, rule: Rule) -> Column:
         bad = F.col(f"rule_{i}")
@@ -316,12 +324,17 @@ def key_checks(
     )
     names = [name for name, _ in tables]
     per_key = keys.groupBy("key").agg(*[F.count_if(F.col("source") == i).alias(f"n{i}") for i in range(len(tables))])
+    return checks_of_keys(per_key, names, list(children), unique)
+
+
+def checks_of_keys(per_key: DataFrame, names: Sequence[str], relations: Sequence[str], unique: Sequence[str]) -> DataFrame:
+    """Check rows from one row per key with the number ``n<i>`` of its rows in every table, the parent first."""
     repeated = {
         name: F.coalesce(F.sum(F.when(F.col(f"n{i}") > 1, F.col(f"n{i}"))), F.lit(0)).alias(f"repeated_{i}")
         for i, name in enumerate(names)
         if name in unique
     }
-    orphans = [F.count_if((F.col(f"n{i}") > 0) & (F.col("n0") == 0)).alias(f"orphans_{i}") for i in range(1, len(tables))]
+    orphans = [F.count_if((F.col(f"n{i}") > 0) & (F.col("n0") == 0)).alias(f"orphans_{i}") for i in range(1, len(names))]
     found = per_key.agg(*repeated.values(), *orphans)
 
     def row(check: str, subject: str, column: str, text: Column) -> Column:
@@ -336,7 +349,7 @@ def key_checks(
     ] + [
         row("referential_integrity", relation, f"orphans_{i}",
             F.concat(F.lit(f"{relation}: "), F.col(f"orphans_{i}"), F.lit(" orphaned records found")))
-        for i, relation in enumerate(children, 1)
+        for i, relation in enumerate(relations, 1)
     ]
     return found.select(F.inline(F.array(*rows)))
 
@@ -464,6 +477,13 @@ def latest_timestamps(
     )
 
 
+def standard_rules(table: str, columns: DataFrame) -> tuple[list[str], list[Rule]]:
+    """Names of a table's row checks in the suite, and their rules; ``columns`` is any frame with its columns."""
+    rules = missing_rules(columns) + range_rules(RANGES.get(table, {})) + business_rules(table)
+    names = ["missing_values", *(["value_ranges"] if table in RANGES else []), "business_rules"]
+    return names, applicable(columns, rules)
+
+
 def suite(
     customers: DataFrame, credit: DataFrame, transactions: DataFrame, loans: DataFrame,
     threshold: float = 0.1, strict: bool = False,
@@ -472,9 +492,7 @@ def suite(
     key = "customer_id"
 
     def rows_of(df: DataFrame, table: str) -> DataFrame:
-        rules = missing_rules(df) + range_rules(RANGES.get(table, {})) + business_rules(table)
-        names = ["missing_values", *(["value_ranges"] if table in RANGES else []), "business_rules"]
-        return row_checks(df, table, names, rules, threshold, strict)
+        return row_checks(df, table, *standard_rules(table, df), threshold, strict)
 
     checks = [
         rows_of(customers, "customers"),

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from lendwell.operators import evaluation, quality
+from lendwell.operators import check_state, evaluation, quality
 from lendwell.plans import scoring, training
 from lendwell.plans.features import risk_features
 from lendwell.schemas import FEATURE_IMPORTANCE, MODEL_METRICS
@@ -32,6 +32,15 @@ def build_features(
     return tables.read_features(spark, out).count()
 
 
+def check_delivery(spark: SparkSession, staging: str, state: str, at: dt.date) -> dict:
+    """Check the rows that were delivered on a day together with all recorded before, without reading those.
+
+    Returns the summary of the suite over all deliveries; a failed check raises, after the day was recorded.
+    """
+    check_state.record(tables.read_staging(spark, staging), state, at)
+    return quality.gate(check_state.suite_from_state(spark, state))
+
+
 def train(spark: SparkSession, features_path: str, model_root: str) -> dict:
     """Fit all models, save the serving one with importances and metrics."""
     rows = training.prepare(tables.read_features(spark, features_path))
