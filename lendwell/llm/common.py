@@ -21,6 +21,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 100_000
 # Rows of one piece of work in a Python worker.
 PIECE_ROWS = 1_000
+BATCH_CONF, BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 
 _SENT: set[str] = set()
@@ -29,9 +30,13 @@ _SENT: set[str] = set()
 def send_package(spark: SparkSession) -> None:
     """Send this package's modules to the Python workers of a session, once.
 
-    Functions that run there are imported by name, also where the package is not installed.
+    Functions that run there are imported by name, also where the package is not installed. Batches
+    of rows for them are made smaller than Spark's default, which suits numbers, not whole texts; a session
+    that names a size of its own keeps it.
     """
     context = spark.sparkContext
+    if spark.conf.get(BATCH_CONF) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_CONF, str(PIECE_ROWS))
     if context.applicationId in _SENT:
         return
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
