@@ -16,10 +16,11 @@ score is the sum over slices. Rows are dealt into shards, queries into blocks, a
 Components become ``floor(scale * x)``. Scores are exact: they are computed in doubles while
 all sums stay below 2**53, else in Python integers, and held to the range of a long.
 
-Cases: vectors that are null, empty, or hold null or non-finite components take no part;
-shorter vectors count as filled up with zeros; rows with the same id are rows of their own
-(only the query's own row is left out); equal scores go to the smaller id, then to the row
-read first; fewer than k candidates give fewer ranks; no vectors give no rows.
+Cases: vectors that are null or hold null or non-finite components take no part;
+shorter vectors, also empty ones, count as filled up with zeros; rows with the same id are rows of their own
+(only the query's own row is left out); a row with a null id is a candidate, after all others of its score;
+equal scores go to the smaller id, then to the row read first; fewer than k candidates give fewer ranks; other
+columns do not matter; no vectors give no rows.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ EXACT_DOUBLE = float(2**53)
 LONG = np.iinfo(np.int64)
 
 FIRST_SCHEMA = "query_row long, slice int, low double, rows array<long>, scores array<double>"
-LAST_SCHEMA = "query_row long, query_id long, vec_id long, cand_row long, score long"
+LAST_SCHEMA = "query_row long, query_id long, vec_id long, nameless boolean, cand_row long, score long"
 
 
 def whole_components(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -48,7 +49,7 @@ def whole_components(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     usable = F.forall(parts, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     return (
         vectors.select(F.col("vec_id").cast("long").alias("vec_id"), parts.alias("parts"))
-        .filter(F.col("vec_id").isNotNull() & (F.size("parts") > 0) & usable)
+        .filter(F.col("parts").isNotNull() & usable)
         .select(F.monotonically_increasing_id().alias("row"), "vec_id", "parts")
     )
 
@@ -146,7 +147,7 @@ def last_entries(k: int, width: int, slices: int):
         if len(queries) and len(cands):
             q, c, own = loaded(queries, cands, width)
             cuts = bounds(width, slices)
-            ids, rows = cands["cand_id"].to_numpy(), cands["cand"].to_numpy()
+            ids, rows, nameless = (cands[c].to_numpy() for c in ("cand_id", "cand", "cand_nameless"))
             lows = np.array([list(x)[: len(cuts)] for x in queries["lows"]], dtype=float)
             cutoff = queries["cutoff"].to_numpy(dtype=float)
             bound = np.where(np.isnan(cutoff), -np.inf, cutoff)
@@ -164,11 +165,11 @@ def last_entries(k: int, width: int, slices: int):
                 if np.isfinite(least[i]):
                     enough = (total >= least[i] - 1).astype(bool)
                     at, total = at[enough], total[enough]
-                best = sorted(zip((-total).tolist(), ids[at].tolist(), rows[at].tolist()))[:k]
+                best = sorted(zip((-total).tolist(), nameless[at].tolist(), ids[at].tolist(), rows[at].tolist()))[:k]
                 out.extend(
-                    (row, query, vec, cand, max(LONG.min, min(LONG.max, int(-score)))) for score, vec, cand in best
+                    (row, query, vec, none, cand, max(LONG.min, min(LONG.max, int(-score)))) for score, none, vec, cand in best
                 )
-        return pd.DataFrame(out, columns=["query_row", "query_id", "vec_id", "cand_row", "score"])
+        return pd.DataFrame(out, columns=["query_row", "query_id", "vec_id", "nameless", "cand_row", "score"])
 
     return run
 
@@ -179,6 +180,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = SCALE,
     count, asked, width = rows.agg(F.count(F.lit(1)), F.count_if("is_query"), F.max(F.size("parts"))).first()
     if not asked:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    width = max(width, 1)
     slices = min(slices, width)
     shards, blocks = -(-count // SHARD_ROWS), -(-asked // BLOCK_ROWS)
     number = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
@@ -187,14 +189,18 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = SCALE,
     cands = (
         rows.select(
             F.col("row").alias("cand"),
-            F.col("vec_id").alias("cand_id"),
+            # A column with nulls would come to Python as doubles.
+            F.coalesce("vec_id", F.lit(0)).alias("cand_id"),
+            F.col("vec_id").isNull().alias("cand_nameless"),
             F.col("parts").alias("cand_parts"),
             number("row", shards).alias("cand_shard"),
         )
         .withColumn("cand_block", all_of(blocks))
         .groupBy("cand_block", "cand_shard")
     )
-    queries = rows.filter("is_query").select("row", "vec_id", "parts", number("row", blocks).alias("block"))
+    queries = rows.filter("is_query").select(
+        "row", F.coalesce("vec_id", F.lit(0)).alias("vec_id"), "parts", number("row", blocks).alias("block")
+    )
 
     def everywhere(side: DataFrame):
         return side.withColumn("shard", all_of(shards)).groupBy("block", "shard")
@@ -208,9 +214,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = SCALE,
         .cogroup(cands)
         .applyInPandas(last_entries(k, width, slices), LAST_SCHEMA)
     )
-    best = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id", "cand_row")
+    best = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "nameless", "vec_id", "cand_row")
     return (
         entries.withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
+        .select("query_id", "rank", F.when(~F.col("nameless"), F.col("vec_id")).alias("vec_id"), "score")
     )

@@ -81,4 +81,53 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit,
 FROM docs d LEFT JOIN hit h USING (r) LEFT JOIN found f USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_mixing": MIXING, "op13_decontamination": DECONTAMINATION}
+EXACT_TOPK = """
+WITH usable AS (
+    SELECT row_number() OVER () AS r, vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+scores AS (
+    SELECT q.r AS query_row, q.vec_id AS query_id, c.r AS cand_row, c.vec_id AS vec_id,
+           CAST(list_sum([q.v[i] * c.v[i] FOR i IN range(1, least(len(q.v), len(c.v)) + 1)]) AS BIGINT) AS score
+    FROM usable q JOIN usable c ON q.r <> c.r AND q.vec_id % 50 = 0),
+ranked AS (
+    SELECT *, CAST(row_number() OVER (
+        PARTITION BY query_row ORDER BY score DESC, vec_id NULLS LAST, cand_row) AS INT) AS rank
+    FROM scores)
+SELECT query_id, rank, vec_id, coalesce(score, 0) AS score FROM ranked WHERE rank <= 5
+"""
+
+# Rows meet the rows of equal sets through one set each; links are closed by repetition.
+JACCARD = r"""
+WITH RECURSIVE docs AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w
+    FROM documents),
+shingled AS (
+    SELECT r, doc_id, list_sort(list_distinct(CASE
+        WHEN len(w) >= 3 THEN [array_to_string(w[i : i + 2], ' ') FOR i IN range(1, len(w) - 1)]
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s
+    FROM docs),
+sets AS (
+    SELECT row_number() OVER () AS k, s, len(s) AS n, min(doc_id) AS least FROM shingled WHERE len(s) > 0 GROUP BY s),
+flat AS (SELECT k, n, unnest(s) AS shingle FROM sets),
+links AS (
+    SELECT a.k AS a, b.k AS b
+    FROM flat a JOIN flat b ON a.shingle = b.shingle AND a.k <> b.k AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n
+    GROUP BY a.k, b.k, a.n, b.n
+    HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reached AS (
+    SELECT k, k AS other FROM sets
+    UNION
+    SELECT reached.k, links.b FROM reached JOIN links ON links.a = reached.other),
+component AS (SELECT reached.k, min(sets.least) AS least FROM reached JOIN sets ON sets.k = reached.other GROUP BY reached.k)
+SELECT shingled.doc_id, CAST(len(shingled.s) AS BIGINT) AS n_shingles, coalesce(component.least, shingled.doc_id) AS component_id
+FROM shingled LEFT JOIN sets ON sets.s = shingled.s LEFT JOIN component ON component.k = sets.k
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_exact_topk": EXACT_TOPK,
+    "op7_jaccard_join": JACCARD,
+    "op2_mixing": MIXING, "op13_decontamination": DECONTAMINATION,
+}
