@@ -369,7 +369,7 @@ _FITTED: dict[tuple, training.PipelineModel] = {}
 def rows(spark: SparkSession, sf_dir: str) -> training.Rows:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _ROWS:
-        _ROWS[key] = training.prepare(wide_features(lending_tables(spark, sf_dir)))
+        _ROWS[key] = training.prepare(kept_features(spark, sf_dir, by_customer=False))
     return _ROWS[key]
 
 
@@ -386,7 +386,7 @@ def forest(spark: SparkSession, sf_dir: str) -> training.PipelineModel:
 
 def ml_feature_prep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model inputs of every loan under the encoding that was fitted on the training rows."""
-    inputs = training.model_inputs(wide_features(lending_tables(spark, sf_dir)), "loan_id")
+    inputs = training.model_inputs(kept_features(spark, sf_dir, by_customer=False), "loan_id")
     encoded = rows(spark, sf_dir).preparation.transform(inputs)
     codes = [c(name).cast("int").alias(name) for name in training.ENCODED]
     return rounded(
@@ -404,12 +404,12 @@ def ml_feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ml_batch_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = wide_features(lending_tables(spark, sf_dir))
+    rows = kept_features(spark, sf_dir, by_customer=False)
     return scoring.categorize(training.batch_scores(forest(spark, sf_dir), rows))
 
 
 def ml_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training.explain(forest(spark, sf_dir), wide_features(lending_tables(spark, sf_dir)))
+    return training.explain(forest(spark, sf_dir), kept_features(spark, sf_dir, by_customer=False))
 
 
 def req_batch_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,10 +18,11 @@ def hot_keys(df: DataFrame, key: str, rows_per_task: int | None = None) -> DataF
     """
     rows_per_task = rows_per_task or ROWS_PER_TASK
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("key_rows"))
-    total = df.agg(F.count(F.lit(1))).scalar()
-    return counts.filter(
-        (F.col("key_rows") > rows_per_task) & (F.col("key_rows") * MOST_HOT_KEYS > total)
-    ).select(
+    # The largest key and all rows come from one pass; keys are looked at again only if one is hot.
+    most, total = counts.agg(F.max("key_rows"), F.sum("key_rows")).first()
+    least = max(rows_per_task, (total or 0) // MOST_HOT_KEYS)
+    found = counts.filter(F.col("key_rows") > least) if (most or 0) > least else counts.limit(0)
+    return found.select(
         F.col(key).alias("hot_key"),
         F.ceil(F.col("key_rows") / rows_per_task).cast("int").alias("parts"),
     )
@@ -45,6 +46,7 @@ def spread_join(
     dealt out too, although they match nothing.
     """
     counted = hot_keys(left, key, rows_per_task) if hot is None else hot
+    # A plan that is known to be empty runs no job.
     hot_rows = counted.collect()
     lookups = [lookup.filter(F.col(key).isNotNull()) for lookup in lookups]
     if not hot_rows:
