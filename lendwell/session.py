@@ -52,6 +52,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path below the shared folder that nothing reads any more."""
+    if not path.startswith(shared_folder(spark).rstrip("/") + "/"):
+        raise ValueError(f"{path} is not below the shared folder")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to reliable storage and go on from the written copy."""
     shared_folder(df.sparkSession)
