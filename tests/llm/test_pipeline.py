@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lendwell.llm import jaccard_join, mixing, quality_model
 from lendwell.llm.common import table
+from lendwell.session import shared_folder
 
 SMALL = "/root/testdata/sf0.001"
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -73,7 +75,11 @@ def test_run_equals_its_stages(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SMALL)
     want = sorted((r["doc_id"], r["n_tokens"], tuple(r["ids"])) for r in docs.collect())
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
     got = corpus_pipeline.run(spark, SMALL).collect()
+    # Only the last stage's rows are left in the shared folder.
+    assert [n[:10] for n in set(os.listdir(folder)) - before if n.startswith("pipeline-")] == ["pipeline-3"]
     assert len(got) > 100 and sorted((r["doc_id"], r["n_tokens"], tuple(r["ids"])) for r in got) == want
 
 
