@@ -1,9 +1,12 @@
 import random
+import re
 
 import pytest
 
 from lendwell.llm import licenses
+from lendwell.llm.common import table
 
+LOWER = {c: c + 32 for c in range(65, 91)}
 MIT = licenses.TEMPLATES["MIT"]
 
 
@@ -68,3 +71,30 @@ def test_short_templates_and_empty_table(spark):
     with pytest.raises(ValueError):
         licenses.Index({"short": "only four words here"})
     assert licenses.scanned(frame(spark, [])).count() == 0
+
+
+def by_hand(texts, width):
+    """Texts and templates of which 0.8 of the shingles stand in some run of words of a width, over all runs."""
+    cut = lambda text: [w for w in re.split(r"[^a-z0-9\x80-\U0010ffff]+", (text or "").translate(LOWER)) if w]
+    found = set()
+    for name, template in licenses.TEMPLATES.items():
+        own = cut(template)
+        wanted = {tuple(own[i : i + 5]) for i in range(len(own) - 4)}
+        for doc, text in texts:
+            words = cut(text)
+            here = [tuple(words[i : i + 5]) in wanted for i in range(len(words) - 4)]
+            if sum(here) < 0.8 * len(wanted):
+                continue
+            size = width(len(own)) - 4
+            runs = (words[i : i + size + 4] for i in range(max(len(here) - size, 0) + 1))
+            if any(len({tuple(r[j : j + 5]) for j in range(len(r) - 4)} & wanted) >= 0.8 * len(wanted) for r in runs):
+                found.add((doc, name))
+    return found
+
+
+def test_whole_table_between_two_brute_forces(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    got = {(r["doc_id"], r["license"]) for r in licenses.scanned(docs).collect()}
+    texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    certain, possible = by_hand(texts, lambda n: n), by_hand(texts, lambda n: 4 * n + 24)
+    assert certain <= got <= possible and len(certain) > 3

@@ -85,3 +85,39 @@ def test_same_texts_same_scores_and_empty_table(spark):
 def test_signals_of_odd_texts(text):
     table_, count = q.signals([text, ""])
     assert np.isfinite(table_).all() and count[1] == 0
+
+
+def estimated_by_hand(rows):
+    """Expectation-maximisation over single texts' votes in plain Python."""
+    chance = [0.1 if q.BAD in votes else 0.9 for votes in rows]
+    labellers = range(len(rows[0]))
+    for _ in range(q.EM_STEPS):
+        good, bad = sum(chance), sum(1 - c for c in chance)
+        prior = [(bad + 1) / (good + bad + 2), (good + 1) / (good + bad + 2)]
+        rates = []
+        for j in labellers:
+            said = [(votes[j] == q.BAD, c) for votes, c in zip(rows, chance) if votes[j] != q.ABSTAIN]
+            on_bad = (sum(1 - c for b, c in said if b) + 1) / (sum(1 - c for _, c in said) + 2)
+            on_good = (sum(c for b, c in said if b) + 0.001) / (sum(c for _, c in said) + 1)
+            rates.append((min(max(on_bad, 2 * q.FALSE_ALARMS), 0.99), min(on_good, q.FALSE_ALARMS)))
+        chance = []
+        for votes in rows:
+            odds = list(prior)
+            for j in labellers:
+                if votes[j] != q.ABSTAIN:
+                    odds = [o * (r if votes[j] == q.BAD else 1 - r) for o, r in zip(odds, rates[j])]
+            chance.append(odds[1] / sum(odds))
+    return chance
+
+
+def test_expectation_maximisation_equals_plain_python():
+    rng = random.Random(8)
+    rows = []
+    for _ in range(300):
+        low = rng.random() < 0.3
+        rows.append([rng.choices([q.BAD, q.GOOD, q.ABSTAIN], [0.4 if low else 0.002, 0.5, 0.2])[0] for _ in q.LABELLERS])
+    patterns = q.pattern_of(np.array(rows))
+    different, counts = np.unique(patterns, return_counts=True)
+    by_pattern = dict(zip(different.tolist(), q.estimated(different, counts.astype(float)).tolist()))
+    want = estimated_by_hand(rows)
+    assert np.allclose([by_pattern[p] for p in patterns.tolist()], want, atol=1e-9)
