@@ -135,23 +135,37 @@ def default_by_score(credit: DataFrame, loans: DataFrame, approx: bool = False)
     band = below_bands(F.col("credit_score"), *SCORE_BANDS).alias("credit_score_range")
     records = credit.filter(known).groupBy(KEY, band).agg(rows().alias("records"))
     counts = [rows().alias("loans"), F.count_if(F.col("default_flag")).alias("defaults")]
+    totals = [
+        weighted("defaults", "records").alias("defaults"),
+        percent(weighted("defaults", "records"), weighted("loans", "records")).alias("default_rate"),
+    ]
+    band_name = "credit_score_range"
     if approx:
         # One row per customer, however many loans; a customer has a few bands at most.
         borrowing = loans.filter(known).groupBy(KEY).agg(*counts, sketch("loan_id").alias("loan_ids"))
-        total = sketched(F.hll_union_agg("loan_ids"))
-    else:
-        borrowing = loans.filter(known).groupBy(KEY, "loan_id").agg(*counts)
-        total = F.count_distinct("loan_id")
-    return (
-        borrowing.join(records, KEY)
-        .groupBy("credit_score_range")
-        .agg(
-            total.alias("total_loans"),
-            weighted("defaults", "records").alias("defaults"),
-            percent(weighted("defaults", "records"), weighted("loans", "records")).alias("default_rate"),
-        )
-        .orderBy("credit_score_range")
-    )
+        total = sketched(F.hll_union_agg("loan_ids")).alias("total_loans")
+        by_band = borrowing.join(records, KEY).groupBy(band_name).agg(total, *totals)
+        return by_band.orderBy(band_name)
+    per_id = loans.filter(known).groupBy(KEY, "loan_id").agg(*counts)
+    borrowing = per_id.groupBy(KEY).agg(
+        F.sum("loans").alias("loans"), F.sum("defaults").alias("defaults"), F.count("loan_id").alias("ids")
+    )
+    by_band = borrowing.join(records, KEY).groupBy(band_name).agg(F.sum("ids").alias("ids"), *totals)
+    # Ids of several customers count once a band: only they meet the records one by one.
+    shared = per_id.filter(F.col("loan_id").isNotNull()).groupBy("loan_id").agg(rows().alias("owners")).filter("owners > 1")
+    again = (
+        per_id.select(KEY, "loan_id")
+        .join(shared.select("loan_id"), "loan_id")
+        .join(records.select(KEY, band_name), KEY)
+        .groupBy(band_name, "loan_id")
+        .agg((rows() - 1).alias("more"))
+        .groupBy(band_name)
+        .agg(F.sum("more").alias("more"))
+        .withColumnRenamed(band_name, "again_in")
+    )
+    total = (F.col("ids") - F.coalesce("more", F.lit(0))).alias("total_loans")
+    joined = by_band.join(again, F.col(band_name).eqNullSafe(F.col("again_in")), "left")
+    return joined.select(band_name, total, "defaults", "default_rate").orderBy(band_name)
 
 
 def risk_factors(

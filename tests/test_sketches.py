@@ -73,3 +73,19 @@ def test_one_customer(small):
             assert sorted(map(str, df.collect())) == sorted(map(str, whole[name].filter(F.col("customer_id") == customer).collect())), name
     plan = fq.customer_view(7, *small.staging, scores)["loan_capacity"]._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(c_custkey,7)" in plan  # the filter reaches the scan
+
+
+def test_loan_ids_of_several_customers_count_once(spark):
+    credit = spark.createDataFrame([(1, 620), (1, 630), (2, 640), (3, 800), (4, 610), (None, 620)], "customer_id long, credit_score int")
+    loans = spark.createDataFrame(
+        [(1, 10, True), (1, 10, False), (2, 10, True), (3, 10, False), (2, 11, None), (4, None, True), (3, 12, True), (3, 12, True), (None, 13, True)],
+        "customer_id long, loan_id long, default_flag boolean",
+    )
+    want = {
+        (r["credit_score_range"], r["n"], r["d"])
+        for r in loans.join(credit.withColumn("credit_score_range", F.when(F.col("credit_score") < 650, "600-649").otherwise("750+")), "customer_id")
+        .groupBy("credit_score_range").agg(F.count_distinct("loan_id").alias("n"), F.count_if("default_flag").alias("d")).collect()
+    }
+    for approx in (False, True):
+        got = rq.default_by_score(credit, loans, approx=approx).collect()
+        assert {(r["credit_score_range"], r["total_loans"], r["defaults"]) for r in got} == want
