@@ -122,3 +122,26 @@ def test_equal_under_skew(spark, skewed, many_runs, monkeypatch, name):
     names = [d[0] for d in cursor.description]
     assert sorted(df.columns) == sorted(names)
     assert canonical(df.columns, [tuple(r) for r in df.collect()]) == canonical(names, cursor.fetchall())
+
+
+# Plans that the registered queries run over the stored feature table.
+OVER_STORED = {
+    "fq_high_risk_customers": lambda f, t: entry.rounded(
+        entry.fq.high_risk_customers(f, t.risk_scores, entry.AS_OF), {"delinquency_score": 6}),
+    "rq_risk_factors": lambda f, t: entry.rq.risk_factors(f, t.credit_history, t.risk_scores, entry.AS_OF),
+}
+
+
+@pytest.mark.parametrize("name", sorted(OVER_STORED))
+def test_stored_features_under_skew(spark, skewed, many_runs, monkeypatch, tmp_path, name):
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 25)
+    tables, con = skewed
+    path = str(tmp_path / "features")
+    entry.tables.store_features(entry.wide_features(tables), path, entry.AS_OF)
+    assert entry.tables.stored.layout_of(spark, path).hot
+    features = entry.feat.feature_store(entry.tables.read_features(spark, path, by_customer=True))
+    df = OVER_STORED[name](features, tables)
+    cursor = con.execute(SQL[name])
+    names = [d[0] for d in cursor.description]
+    assert sorted(df.columns) == sorted(names)
+    assert canonical(df.columns, [tuple(r) for r in df.collect()]) == canonical(names, cursor.fetchall())
