@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendwell.operators import check_state, evaluation, quality
 from lendwell.plans import scoring, training
 from lendwell.plans.features import risk_features
 from lendwell.schemas import FEATURE_IMPORTANCE, MODEL_METRICS
-from lendwell.session import day
+from lendwell.session import checkpointed, day
 from lendwell.sources import models, stored, tables
 
 SERVING_MODEL = "random_forest"
@@ -79,9 +79,10 @@ def score(
     todo = scoring.unscored(features, of_the_day, at.date())
     scored = training.batch_scores(models.load_model(model_path), todo)
     rows = scoring.not_yet_stored(scoring.prediction_rows(scored, at, version), of_the_day)
-    added = Observation()
-    tables.append_predictions(rows.observe(added, F.count(F.lit(1)).alias("rows")), predictions_path)
-    return added.get["rows"]
+    # Written once, so that counting them does not score them again.
+    fresh = checkpointed(rows)
+    tables.append_predictions(fresh, predictions_path)
+    return fresh.count()
 
 
 def full_evaluation(scores: DataFrame, importance: DataFrame | None = None, top: int = 20) -> dict[str, DataFrame]:
