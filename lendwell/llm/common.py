@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import os
 import shutil
 import tempfile
 import zipfile
 from collections.abc import Iterable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pandas as pd
@@ -79,6 +81,12 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def give_back() -> None:
+    """Return what a task has freed to the system: workers are kept for later tasks, and their peak with them."""
+    with suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def by_bytes(frames: Iterable[pd.DataFrame], column: str, most: int, rows: int = PIECE_ROWS) -> Iterator[pd.DataFrame]:
     """Cut Arrow batches so that each piece holds about ``most`` characters of a text column, and at most ``rows``.
 
@@ -94,6 +102,7 @@ def by_bytes(frames: Iterable[pd.DataFrame], column: str, most: int, rows: int =
             held += size
         if start < len(frame):
             yield frame.iloc[start:].reset_index(drop=True)
+    give_back()
 
 
 class Forest:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lendwell.llm.common import Forest
@@ -41,18 +41,17 @@ def small_star(edges: DataFrame) -> DataFrame:
     return pointed.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def observed(edges: DataFrame) -> tuple[DataFrame, tuple]:
-    """The written edges, and their number and hash from the same job."""
-    seen = Observation()
-    written = checkpointed(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")))
-    return written, (seen.get["n"], seen.get["h"])
+def written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The written edges, and their number and hash."""
+    kept = checkpointed(edges)
+    return kept, tuple(kept.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``vertex, component`` for the vertices of ``edges`` (a, b) that are not the least of their component."""
-    current, before = observed(edges.filter("a <> b").select("a", "b").mapInPandas(merged, "a long, b long").distinct())
+    current, before = written(edges.filter("a <> b").select("a", "b").mapInPandas(merged, "a long, b long").distinct())
     while before[0]:
-        current, after = observed(small_star(large_star(current)))
+        current, after = written(small_star(large_star(current)))
         if after == before:
             break
         before = after

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lendwell.llm.common import PIECE_ROWS, text_of
+from lendwell.llm.common import PIECE_ROWS, give_back, text_of
 from lendwell.llm.words import CHUNK_BYTES, mixed, words_of
 
 GOOD, BAD, ABSTAIN = 1, 0, 2
@@ -170,6 +170,7 @@ def in_pieces(texts: list[str]) -> Iterator[list[str]]:
         size += len(text)
     if piece:
         yield piece
+    give_back()
 
 
 def estimated(patterns: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
-from lendwell.llm.common import text_of
+from lendwell.llm.common import give_back, text_of
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 BATCH_CHARS = 512 << 10
@@ -258,6 +258,8 @@ def encoder(data: bytes, threads: int):
                     ],
                     names=["doc_id", "n_tokens", "ids", "restored", "parity"],
                 )
+        del encode
+        give_back()
 
     return run
 
