@@ -40,7 +40,7 @@ THREADS = 2
 MARK = "▁"
 SPACED = re.compile(r" +[^ ]*")
 # Parts whose ids a worker process keeps between batches, and parts that it encodes at once.
-KNOWN_PARTS, NEW_PARTS = 150_000, 20_000
+KNOWN_PARTS, NEW_PARTS = 300_000, 20_000
 # Rows that are taken out of an Arrow batch at once.
 ROWS = 500
 
