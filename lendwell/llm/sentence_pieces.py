@@ -35,14 +35,14 @@ from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_toke
 from lendwell.llm.common import give_back, text_of
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
-BATCH_CHARS = 512 << 10
+BATCH_CHARS = 4 << 20
 THREADS = 2
 MARK = "▁"
 SPACED = re.compile(r" +[^ ]*")
 # Parts whose ids a worker process keeps between batches, and parts that it encodes at once.
 KNOWN_PARTS, NEW_PARTS = 300_000, 20_000
 # Rows that are taken out of an Arrow batch at once.
-ROWS = 500
+ROWS = 1_000
 
 # Field numbers and codes of the model format.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
