@@ -1,9 +1,12 @@
 """Training, scoring, explanation, saving and the choice of a model."""
 
+import datetime as dt
+
 import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from lendwell.functions import credit as fx
 from lendwell.operators import evaluation
 from lendwell.plans import training
@@ -123,3 +126,25 @@ def test_grid_search(features):
     train = training.training_rows(features).filter("split = 'train'")
     found = training.cross_validate(train, LogisticRegression(maxIter=5), {"regParam": [0.01, 10.0]}, folds=2, scaled=True)
     assert len(found.avgMetrics) == 2 and found.avgMetrics[0] >= found.avgMetrics[1]
+
+
+def test_checked_explanations_are_not_sent_to_all_tasks(spark, tmp_path, monkeypatch):
+    day = dt.datetime(2001, 7, 1)
+    tables = {
+        "customer": ([(i, 100.0) for i in range(1, 4)], "c_custkey long, c_acctbal double"),
+        "orders": ([(i, 1 + i % 3, "F", 1000.0, day, "1-URGENT") for i in range(1, 7)],
+                   "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+                   "o_orderdate timestamp_ntz, o_orderpriority string"),
+        "events": ([(1, day, 1, "view", 5.0)],
+                   "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    places = [(loan, place, "loan_amount" if place == 1 else f"f{place}", 7.0 if loan == 3 else 1000.0)
+              for loan in (1, 2, 2, 3, None) for place in (1, 2)]
+    shown = spark.createDataFrame(places, "loan_id long, place int, feature string, value double")
+    monkeypatch.setattr(entry, "ml_explain", lambda *_: shown)
+    found = entry.ml_explain_invariants(spark, str(tmp_path))
+    assert {tuple(r) for r in found.collect()} == {(1, 2, 2, 0), (2, 2, 2, 0), (3, 2, 2, 1)}
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join Inner" in line]
+    assert any("loan_id" in line and "strategy=merge" in line for line in joins)
