@@ -128,6 +128,32 @@ def test_grid_search(features):
     assert len(found.avgMetrics) == 2 and found.avgMetrics[0] >= found.avgMetrics[1]
 
 
+def wide_rows(spark, count):
+    """Made-up feature rows with a label that follows one of them."""
+    numbers = [F.pmod(F.hash("id", F.lit(name)), F.lit(50)).cast("double").alias(name) for name in training.NUMERIC_FEATURES]
+    texts = [F.concat(F.lit("k"), F.col("id") % 3).alias(name) for name in training.CATEGORICAL_FEATURES]
+    rows = spark.range(count).select(F.col("id").alias("loan_id"), F.col("id").alias("customer_id"), *numbers, *texts)
+    return rows.withColumn("default_flag", F.col("credit_score") > 20)
+
+
+def test_tasks_hold_bounded_rows_while_a_model_is_fitted(spark, monkeypatch):
+    monkeypatch.setattr(training, "FITTED_PER_TASK", 20)
+    cost = spark.conf.get(training.FILE_COST)
+    rows = training.prepare(wide_rows(spark, 1000).coalesce(1))
+    assert rows.train_size == rows.train.count() == 800
+    held = []
+
+    class Noting:
+        def fit(self, train):
+            held.extend(train.select("label").rdd.glom().map(len).collect())
+            return LogisticRegression(maxIter=1).fit(train)
+
+    monkeypatch.setattr(training, "classifier", lambda name, size: Noting())
+    training.fit(rows, "logistic")
+    assert sum(held) == 800 and max(held) <= 30
+    assert spark.conf.get(training.FILE_COST) == cost
+
+
 def test_checked_explanations_are_not_sent_to_all_tasks(spark, tmp_path, monkeypatch):
     day = dt.datetime(2001, 7, 1)
     tables = {
