@@ -202,8 +202,10 @@ class Encoder:
 
     def learn(self, parts: set[str]) -> None:
         if len(self.known) > KNOWN_PARTS:
-            for kept in (self.known, self.unlike, self.unequal):
-                kept.clear()
+            # Frequent parts are in this batch, too; the others make room.
+            self.known = {part: self.known[part] for part in parts if part in self.known}
+            self.unlike &= parts
+            self.unequal &= parts
         new = [part for part in parts if part not in self.known]
         for start in range(0, len(new), NEW_PARTS):
             some = new[start : start + NEW_PARTS]
@@ -211,8 +213,10 @@ class Encoder:
             theirs = self.processor.encode(some, num_threads=1)
             restored = self.tokenizer.decode_batch(ours, skip_special_tokens=False)
             self.known.update(zip(some, [array("i", ids).tobytes() for ids in ours]))
-            self.unlike.update(part for part, again in zip(some, restored) if part != again)
-            self.unequal.update(part for part, ids, other in zip(some, ours, theirs) if ids != other)
+            if restored != some:
+                self.unlike.update(part for part, again in zip(some, restored) if part != again)
+            if theirs != ours:
+                self.unequal.update(part for part, ids, other in zip(some, ours, theirs) if ids != other)
         # Nothing after the last space of a text: the marker alone.
         if self.marker is not None:
             self.known[""] = array("i", [self.marker]).tobytes()
@@ -222,7 +226,7 @@ class Encoder:
         cut = [self.parts(text) for text in texts]
         self.learn(set().union(*cut))
         known = self.known
-        lists = [b"".join([known[part] for part in parts]) for parts in cut]
+        lists = [b"".join(map(known.__getitem__, parts)) for parts in cut]
         ends = np.cumsum([0, *(len(ids) // 4 for ids in lists)])
         restored = [not self.unlike or self.unlike.isdisjoint(parts) for parts in cut]
         parity = [not self.unequal or self.unequal.isdisjoint(parts) for parts in cut]

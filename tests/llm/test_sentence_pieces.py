@@ -53,6 +53,24 @@ def test_small_caches_change_nothing(monkeypatch):
     assert [p[0].tolist() for p in pieces] == [flat[a:b].tolist() for a, b in zip(ends, ends[1:])]
 
 
+def test_full_caches_keep_the_parts_of_the_batch(monkeypatch):
+    monkeypatch.setattr(s, "KNOWN_PARTS", 3)
+    encoder = s.Encoder(s.model_bytes(s.MODEL_FILE))
+    own, asked = encoder.processor, []
+
+    class Noting:
+        def encode(self, some, num_threads):
+            asked.append(sorted(some))
+            return own.encode(some, num_threads=num_threads)
+
+    encoder.processor = Noting()
+    for text in ("a b c d▁e", "a b c d", "a b x", "c"):
+        encoder([text])
+    # The first text goes whole; then "a" and "b" stay, "c" and "d" make room.
+    assert asked == [["a b c d▁e"], ["a", "b", "c", "d"], ["x"], ["c"]]
+    assert encoder.unlike == set()
+
+
 def test_model_file(tmp_path):
     model = s.parsed(s.model_bytes(s.MODEL_FILE))
     assert model.kind == s.BPE and model.byte_fallback and len(model.pieces) == 32000 and model.unknown == 0
