@@ -129,8 +129,9 @@ class Coders:
 
     def learn(self, parts: set[str]) -> None:
         if len(self.known) > KNOWN_PARTS:
-            self.known.clear()
-            self.odd.clear()
+            # Frequent parts are among these, too; the others make room.
+            self.known = {part: self.known[part] for part in parts if part in self.known}
+            self.odd &= parts
         new = [p for p in parts if p not in self.known]
         # Letters that every library knows as such, no white space at the end: such parts go in one text.
         joined = [p for p in new if self.fast and SETTLED.fullmatch(p)]

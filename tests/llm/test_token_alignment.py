@@ -115,6 +115,19 @@ def test_long_texts_in_blocks_and_small_caches(spark, monkeypatch):
     assert summed(one) == summed(two)
 
 
+def test_full_caches_keep_the_parts_at_hand(monkeypatch):
+    monkeypatch.setattr(t, "KNOWN_PARTS", 3)
+    own = t.coders(t.file_text(t.BYTE_FILE), t.file_bytes(t.PIECE_FILE))
+    coders = object.__new__(t.Coders)
+    coders.__dict__.update(own.__dict__, known={}, odd=set())
+    asked = []
+    monkeypatch.setattr(coders, "learn_alone", lambda parts: asked.append(sorted(parts)) or t.Coders.learn_alone(coders, parts))
+    coders.fast = None
+    for parts in ({"a", "b", "c", "d"}, {"a", "b", "x"}, {"c"}):
+        coders.learn(parts)
+    assert asked == [["a", "b", "c", "d"], ["x"], ["c"]]
+
+
 def test_walk_against_sets():
     rng = random.Random(11)
     for _ in range(400):
