@@ -40,7 +40,7 @@ THREADS = 2
 MARK = "▁"
 SPACED = re.compile(r" +[^ ]*")
 # Parts whose ids a worker process keeps between batches, and parts that it encodes at once.
-KNOWN_PARTS, NEW_PARTS = 300_000, 20_000
+KNOWN_PARTS, NEW_PARTS = 150_000, 4_000
 # Rows that are taken out of an Arrow batch at once.
 ROWS = 1_000
 
@@ -223,14 +223,19 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bool], list[bool]]:
         """All ids in one array, the texts' ends in it, and both checks per text."""
-        cut = [self.parts(text) for text in texts]
-        self.learn(set().union(*cut))
-        known = self.known
-        lists = [b"".join(map(known.__getitem__, parts)) for parts in cut]
-        ends = np.cumsum([0, *(len(ids) // 4 for ids in lists)])
-        restored = [not self.unlike or self.unlike.isdisjoint(parts) for parts in cut]
-        parity = [not self.unequal or self.unequal.isdisjoint(parts) for parts in cut]
-        return np.frombuffer(b"".join(lists), np.int32), ends.astype(np.int32), restored, parity
+        # Texts are cut twice: the parts of a whole batch would take ten times the memory of its text.
+        different: set[str] = set()
+        for text in texts:
+            different.update(self.parts(text))
+        self.learn(different)
+        known, ids, ends, restored, parity = self.known, bytearray(), [0], [], []
+        for text in texts:
+            parts = self.parts(text)
+            ids += b"".join(map(known.__getitem__, parts))
+            ends.append(len(ids) // 4)
+            restored.append(not self.unlike or self.unlike.isdisjoint(parts))
+            parity.append(not self.unequal or self.unequal.isdisjoint(parts))
+        return np.frombuffer(ids, np.int32), np.array(ends, np.int32), restored, parity
 
 
 def pieces_of(columns: pa.Table, most: int) -> Iterator[pa.Table]:
@@ -243,26 +248,28 @@ def pieces_of(columns: pa.Table, most: int) -> Iterator[pa.Table]:
             start, before = at + 1, end
 
 
+def encoded_batches(encode: Encoder, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
+        for piece in pieces_of(pa.Table.from_batches([batch]), BATCH_CHARS):
+            flat, ends, restored, parity = encode(piece["text"].to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    piece["doc_id"].combine_chunks(),
+                    pa.array(np.diff(ends).astype(np.int64)),
+                    pa.ListArray.from_arrays(ends, flat),
+                    pa.array(restored),
+                    pa.array(parity),
+                ],
+                names=["doc_id", "n_tokens", "ids", "restored", "parity"],
+            )
+
+
 def encoder(data: bytes, threads: int):
     """Arrow batches of ``doc_id, text`` to ids and checks."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use_threads(threads)
-        encode = Encoder(data)
-        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
-            for piece in pieces_of(pa.Table.from_batches([batch]), BATCH_CHARS):
-                flat, ends, restored, parity = encode(piece["text"].to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        piece["doc_id"].combine_chunks(),
-                        pa.array(np.diff(ends).astype(np.int64)),
-                        pa.ListArray.from_arrays(ends, flat),
-                        pa.array(restored),
-                        pa.array(parity),
-                    ],
-                    names=["doc_id", "n_tokens", "ids", "restored", "parity"],
-                )
-        del encode
+        yield from encoded_batches(Encoder(data), batches)
         give_back()
 
     return run

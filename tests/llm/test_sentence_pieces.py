@@ -1,4 +1,5 @@
 import struct
+import weakref
 
 import pytest
 import sentencepiece
@@ -138,3 +139,24 @@ def test_unigram_models(spark, tmp_path, fallback, trim, mapped):
     for i, text in enumerate(texts):
         assert got[i]["ids"] == processor.encode(text), (text, fallback, trim, mapped)
         assert got[i]["parity"]
+
+
+def test_parts_of_one_text_at_a_time(monkeypatch):
+    encoder = s.Encoder(s.model_bytes(s.MODEL_FILE))
+    cut, alive = encoder.parts, []
+
+    class Parts(list):
+        """A list that can be watched."""
+
+    def watched(text):
+        parts = Parts(cut(text))
+        alive.append(weakref.ref(parts))
+        return parts
+
+    monkeypatch.setattr(encoder, "parts", watched)
+    most = []
+    monkeypatch.setattr(encoder, "learn", lambda parts: (most.append(sum(a() is not None for a in alive)), s.Encoder.learn(encoder, parts)))
+    texts = [f"some words of text {n}" for n in range(50)]
+    flat, ends, _, _ = encoder(texts)
+    assert max(most) <= 1
+    assert [flat[a:b].tolist() for a, b in zip(ends, ends[1:])] == encoder.processor.encode(texts)
