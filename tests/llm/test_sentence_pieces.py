@@ -54,6 +54,12 @@ def test_small_caches_change_nothing(monkeypatch):
     assert [p[0].tolist() for p in pieces] == [flat[a:b].tolist() for a, b in zip(ends, ends[1:])]
 
 
+def test_short_of_memory_changes_no_rows(spark):
+    assert s.Encoder(s.model_bytes(s.MODEL_FILE), True).most_known < s.KNOWN_PARTS
+    docs = frame(spark, list(enumerate(ODD)))
+    assert s.encoded(docs, short_of_memory=True).collect() == s.encoded(docs).collect()
+
+
 def test_full_caches_keep_the_parts_of_the_batch(monkeypatch):
     monkeypatch.setattr(s, "KNOWN_PARTS", 3)
     encoder = s.Encoder(s.model_bytes(s.MODEL_FILE))
