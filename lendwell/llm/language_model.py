@@ -32,10 +32,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lendwell.llm.common import release, text_of
+from lendwell.llm.common import text_of
 from lendwell.llm.elias_fano import Trie
 from lendwell.llm.words import mixed, words_of
-from lendwell.session import checkpointed
+from lendwell.session import checkpointed, release
 
 PRIOR = 200.0
 BATCH_BYTES = 8 << 20
