@@ -1,6 +1,7 @@
 """Training, scoring, explanation, saving and the choice of a model."""
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.ml.classification import LogisticRegression
@@ -11,6 +12,7 @@ from lendwell.functions import credit as fx
 from lendwell.operators import evaluation
 from lendwell.plans import training
 from lendwell.plans.features import risk_features
+from lendwell.session import shared_folder
 from lendwell.sources import models
 
 
@@ -154,7 +156,47 @@ def test_tasks_hold_bounded_rows_while_a_model_is_fitted(spark, monkeypatch):
     assert spark.conf.get(training.FILE_COST) == cost
 
 
-def test_checked_explanations_are_not_sent_to_all_tasks(spark, tmp_path, monkeypatch):
+def test_of_the_split_only_test_rows_stay_on_disk(spark):
+    folder = shared_folder(spark).removeprefix("file:")
+    files = lambda: {os.path.join(at, n) for at, _, names in os.walk(folder) for n in names if n.endswith(".parquet")}
+    before = files()
+    rows = training.prepare(wide_rows(spark, 1000))
+    left = {os.path.relpath(os.path.dirname(f), folder) for f in files() - before}
+    assert {x.split("-")[0] for x in left} == {"train", "split"}
+    assert {os.path.basename(x) for x in left if x.startswith("split")} == {"split=test"}
+    assert (rows.train.count(), rows.test.count()) == (800, 200)
+
+
+def test_forest_in_groups_of_trees(spark, rows, features, tmp_path, monkeypatch):
+    """What a fit keeps of the rows is bounded: trees are fitted in groups, and none of it is checkpointed."""
+    monkeypatch.setattr(training, "FOREST_DRAWS", rows.train_size * 40)
+    folder = shared_folder(spark).removeprefix("file:")
+    checkpoints = lambda: {os.path.join(at, n) for at, names, _ in os.walk(folder) for n in names if n.startswith("rdd-")}
+    before, held = checkpoints(), []
+    fit = training.RandomForestClassifier._fit
+
+    def noting(self, train):
+        held.append((self.getNumTrees(), self.getSeed()))
+        return fit(self, train)
+
+    monkeypatch.setattr(training.RandomForestClassifier, "_fit", noting)
+    model = training.fit(rows, "random_forest")
+    assert [n for n, _ in held] == [33, 33, 34] and len({s for _, s in held}) == 3
+    assert checkpoints() == before
+    last = model.stages[-1]
+    assert last.getNumTrees == len(last.trees) == 100 and len({t.toDebugString for t in last.trees}) > 90
+    assert sum(r["importance"] for r in training.feature_importance(model).collect()) == pytest.approx(1)
+    scores = training.test_scores(rows, {"random_forest": model})
+    assert training.model_comparison(scores).first()["auc_roc"] > 0.9
+    models.save_model(model, str(tmp_path / "model"))
+    loaded = models.load_model(str(tmp_path / "model"))
+    first, second = (training.batch_scores(m, features).orderBy("loan_id").collect() for m in (model, loaded))
+    assert first == second
+
+
+@pytest.mark.parametrize("at_once", [10, 2])
+def test_checked_explanations_are_not_sent_to_all_tasks(spark, tmp_path, monkeypatch, at_once):
+    monkeypatch.setattr(entry, "CHECKED_AT_ONCE", at_once)
     day = dt.datetime(2001, 7, 1)
     tables = {
         "customer": ([(i, 100.0) for i in range(1, 4)], "c_custkey long, c_acctbal double"),
@@ -172,5 +214,7 @@ def test_checked_explanations_are_not_sent_to_all_tasks(spark, tmp_path, monkeyp
     monkeypatch.setattr(entry, "ml_explain", lambda *_: shown)
     found = entry.ml_explain_invariants(spark, str(tmp_path))
     assert {tuple(r) for r in found.collect()} == {(1, 2, 2, 0), (2, 2, 2, 0), (3, 2, 2, 1)}
+    if at_once == 2:  # written part by part
+        return
     joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join Inner" in line]
     assert any("loan_id" in line and "strategy=merge" in line for line in joins)
