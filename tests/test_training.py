@@ -8,11 +8,11 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from lendwell import session
 from lendwell.functions import credit as fx
 from lendwell.operators import evaluation
 from lendwell.plans import training
 from lendwell.plans.features import risk_features
-from lendwell.session import shared_folder
 from lendwell.sources import models
 
 
@@ -156,12 +156,19 @@ def test_tasks_hold_bounded_rows_while_a_model_is_fitted(spark, monkeypatch):
     assert spark.conf.get(training.FILE_COST) == cost
 
 
-def test_of_the_split_only_test_rows_stay_on_disk(spark):
-    folder = shared_folder(spark).removeprefix("file:")
-    files = lambda: {os.path.join(at, n) for at, _, names in os.walk(folder) for n in names if n.endswith(".parquet")}
-    before = files()
+@pytest.fixture
+def own_folder(spark, tmp_path, monkeypatch):
+    """A shared folder that nothing else writes to."""
+    before = session.shared_folder(spark)
+    monkeypatch.setattr(session, "shared_folder", lambda _: str(tmp_path))
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    yield str(tmp_path)
+    spark.sparkContext.setCheckpointDir(before)
+
+
+def test_of_the_split_only_test_rows_stay_on_disk(spark, own_folder):
     rows = training.prepare(wide_rows(spark, 1000))
-    left = {os.path.relpath(os.path.dirname(f), folder) for f in files() - before}
+    left = {os.path.relpath(at, own_folder) for at, _, names in os.walk(own_folder) if any(n.endswith(".parquet") for n in names)}
     assert {x.split("-")[0] for x in left} == {"train", "split"}
     assert {os.path.basename(x) for x in left if x.startswith("split")} == {"split=test"}
     assert (rows.train.count(), rows.test.count()) == (800, 200)
@@ -170,9 +177,8 @@ def test_of_the_split_only_test_rows_stay_on_disk(spark):
 def test_forest_in_groups_of_trees(spark, rows, features, tmp_path, monkeypatch):
     """What a fit keeps of the rows is bounded: trees are fitted in groups, and none of it is checkpointed."""
     monkeypatch.setattr(training, "FOREST_DRAWS", rows.train_size * 40)
-    folder = shared_folder(spark).removeprefix("file:")
-    checkpoints = lambda: {os.path.join(at, n) for at, names, _ in os.walk(folder) for n in names if n.startswith("rdd-")}
-    before, held = checkpoints(), []
+    assert training.classifier("random_forest", 1).getCheckpointInterval() == -1
+    held = []
     fit = training.RandomForestClassifier._fit
 
     def noting(self, train):
@@ -182,7 +188,6 @@ def test_forest_in_groups_of_trees(spark, rows, features, tmp_path, monkeypatch)
     monkeypatch.setattr(training.RandomForestClassifier, "_fit", noting)
     model = training.fit(rows, "random_forest")
     assert [n for n, _ in held] == [33, 33, 34] and len({s for _, s in held}) == 3
-    assert checkpoints() == before
     last = model.stages[-1]
     assert last.getNumTrees == len(last.trees) == 100 and len({t.toDebugString for t in last.trees}) > 90
     assert sum(r["importance"] for r in training.feature_importance(model).collect()) == pytest.approx(1)
